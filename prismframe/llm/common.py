@@ -188,11 +188,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_bounds(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than space and 0x09-0x0D, and for each text its first word's number."""
+def word_bounds(t: Texts, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are not `between` (space and 0x09-0x0D), and for each text its first word's number."""
     raw, n = t.bytes, len(t.bytes)
     inside = np.empty(n + 1, bool)
-    np.logical_not(_SPACE[raw], out=inside[:n])
+    np.logical_not(between[raw], out=inside[:n])
     inside[n] = False
     edge = np.zeros(n + 1, bool)
     edge[t.offsets] = True

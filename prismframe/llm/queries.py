@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, flac, packing, secrets, toxicity
 from .common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -24,5 +32,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {"op4_packing": op4_packing, "op5_bpe": op5_bpe}
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_secrets, op4_packing, op5_bpe, op8_flac)}
 ORACLES: dict[str, str] = {}
