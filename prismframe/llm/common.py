@@ -141,10 +141,10 @@ def _chunker(limit: int):
                 size += int(ends[stop - 1]) - before
                 start = stop
                 if size >= limit:
-                    yield _close(pa.Table.from_batches(held).combine_chunks(), (part << 33) + seq)
+                    yield _close(pa.Table.from_batches(held).combine_chunks(), (part << 20) + seq)
                     seq, held, size = seq + 1, [], 0
         if held:
-            yield _close(pa.Table.from_batches(held).combine_chunks(), (part << 33) + seq)
+            yield _close(pa.Table.from_batches(held).combine_chunks(), (part << 20) + seq)
 
     return run
 
@@ -203,6 +203,52 @@ def word_bounds(t: Texts, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.
     return starts, ends, np.searchsorted(starts, t.offsets)
 
 
+def doc_keys(table: pa.Table) -> np.ndarray:
+    """doc_id of each row as int64; null ids come before all others."""
+    import pyarrow.compute as pc
+
+    return np.asarray(pc.fill_null(table.column("doc_id").cast(pa.int64()), -(2**63)).combine_chunks())
+
+
+def row_ids(chunk: int, rows: int) -> np.ndarray:
+    """A number for each row of a chunk, unique in the table: repeated doc_ids stay apart."""
+    return (chunk << 24) + np.arange(rows, dtype=np.int64)
+
+
+def cut_out(t: Texts, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that are not gone, end to end, and each text's first."""
+    keep = ~gone
+    return t.bytes[keep], np.append(0, np.cumsum(keep))[t.offsets]
+
+
+def with_texts(table: pa.Table, raw: np.ndarray, offsets: np.ndarray) -> pa.Table:
+    """table with new texts (null ones stay null), and n_chars after them where there is such a column."""
+    import pyarrow.compute as pc
+
+    old = table.column("text")
+    new = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw.tobytes())])
+    none = pc.is_null(old).combine_chunks()
+    new = pc.if_else(none, pa.scalar(None, pa.large_string()), new)
+    out = table.set_column(table.schema.names.index("text"), table.schema.field("text"), new.cast(old.type))
+    if "n_chars" in table.column_names:
+        kind = table.schema.field("n_chars").type
+        count = pc.if_else(none, table.column("n_chars").combine_chunks(), pc.utf8_length(new).cast(kind))
+        out = out.set_column(table.schema.names.index("n_chars"), table.schema.field("n_chars"), count)
+    return out
+
+
+def runs_per_text(gone: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes gone of each text, and the maximal runs they form (a run ends with its text)."""
+    n = len(gone)
+    sums = np.append(0, np.cumsum(gone))
+    begin = gone.copy()
+    begin[1:] &= ~gone[:-1]
+    edges = offsets[:-1][offsets[:-1] < n]
+    begin[edges] = gone[edges]
+    starts = np.append(0, np.cumsum(begin))
+    return np.diff(sums[offsets]), np.diff(starts[offsets])
+
+
 # --- 64-bit hashes ------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15
@@ -228,6 +274,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """For span_hashes(), of bytes or of 64-bit items."""
     n = len(raw)
     up, _ = _powers(n + 1)
     out = np.zeros(n + 1, U64)
@@ -270,11 +317,21 @@ def blob_rows(bins: list[int], chunks: list[int], blobs: list[bytes]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["bin", "chunk", "blob"])
 
 
-def by_bin(chunk: int, bins: int, keys: np.ndarray, *payload: np.ndarray) -> pa.RecordBatch:
-    """A row for each key range that has keys (sorted), with the payload arrays that go along."""
+def by_bin(chunk: int, bins: int, keys: np.ndarray, *payload: np.ndarray, whole: tuple = ()) -> pa.RecordBatch:
+    """A row for each key range that has keys (sorted), with the payload arrays that go along, and `whole` arrays uncut."""
     cuts = cut_bins(keys, bins)
     used = np.flatnonzero(np.diff(cuts)).tolist()
-    return blob_rows(used, [chunk] * len(used), [pack_arrays(keys[cuts[b] : cuts[b + 1]], *(narrow(p[cuts[b] : cuts[b + 1]]) for p in payload)) for b in used])
+    return blob_rows(used, [chunk] * len(used), [pack_arrays(keys[cuts[b] : cuts[b + 1]], *(narrow(p[cuts[b] : cuts[b + 1]]) for p in payload), *whole) for b in used])
+
+
+def from_least(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as small differences from the least, and the least."""
+    low = ids.min() if len(ids) else np.int64(0)
+    return (ids.astype(U64) - np.uint64(int(low) % 2**64)), np.array([low], np.int64)
+
+
+def to_ids(difference: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (difference.astype(U64) + low.view(U64)[0]).view(np.int64)
 
 
 def emit(chunks: DataFrame, function, schema: str = BLOB_SCHEMA) -> DataFrame:
