@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, lm, packing, secrets, spans, toxicity
+from . import bpe, flac, lm, packing, secrets, spans, suffixes, toxicity
 from .common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(read_table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentence_spans, op3_secrets, op4_packing, op5_bpe, op7_lm, op8_flac)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentence_spans, op3_secrets, op4_packing, op5_bpe, op6_suffixes, op7_lm, op8_flac)}
 ORACLES: dict[str, str] = {}
