@@ -349,11 +349,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def in_slices(batch: pa.RecordBatch, limit: int = 2 << 20):
+def in_slices(batch: pa.RecordBatch, limit: int = 2 << 20, column: int = 1):
     """Slices of about so many text bytes: bounds what one step holds."""
     import pyarrow.compute as pc
 
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64) + 16)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 16)
     start = 0
     while start < batch.num_rows:
         before = int(ends[start - 1]) if start else 0

@@ -304,7 +304,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         at = names.index("text")
-        for b in batches:
+        for b in (part for whole in batches for part in in_slices(whole, column=at)):
             texts = b.column(at)
             flags = worth(Texts(texts)).tolist()
             if any(flags):
