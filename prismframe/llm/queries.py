@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, lm, neardup, packing, secrets, spans, suffixes, toxicity
+from . import ann, bpe, flac, lm, neardup, packing, secrets, spans, suffixes, toxicity
 from .common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -48,9 +48,13 @@ def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentence_spans, op3_secrets, op4_packing, op5_bpe, op6_suffixes, op7_lm, op8_flac, op10_neardup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentence_spans, op3_secrets, op4_packing, op5_bpe, op6_suffixes, op7_lm, op8_flac, op9_ann, op10_neardup)}
 ORACLES: dict[str, str] = {}
