@@ -37,6 +37,8 @@ SEED = 32
 STRETCH = 512
 #: Bytes that are hashed at a time: what fits the processor's caches.
 STEP = 1 << 18
+#: Windows that are sorted at a time (more only where one digit has more).
+WINDOWS = 1 << 18
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -80,7 +82,7 @@ def stretches(t: Texts, depth: int = DEPTH, seed: int = SEED) -> tuple[np.ndarra
         stop = ok.copy()
         stop[:-1] &= ~ok[1:] | begin[1:]
         size = np.flatnonzero(stop) + 1 - at
-        own = digit[at]
+        own = mix(digit[at])  # least hashes are small: spread over all bins again
         q = np.arange(n, dtype=np.int32)
         left = np.minimum.reduceat(np.where((h[:n] == digit) & ok, q, np.int32(2**31 - 1)), at)
         right = np.maximum.reduceat(np.where((h[reach : reach + n] == digit) & ok, q + np.int32(reach), np.int32(-1)), at)
@@ -225,10 +227,19 @@ def _repeated(depth: int):
         kinds, at, many = np.unique(digit[stays], return_inverse=True, return_counts=True)
         some = (many[at] > 1) | inner[stays]
         pick = stays[some]
-        if len(pick):
-            owner = np.repeat(pick, count[pick])
-            offset = ragged(np.zeros(len(pick), np.int64), count[pick])
-            found, begin = radix_groups(raw, place[owner] + offset, np.repeat(at[some], count[pick]), depth)
+        # Digits are apart from each other, so they can be taken a few at a time.
+        group = at[some]
+        pick, group = pick[np.argsort(group, kind="stable")], np.sort(group)
+        edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(pick))
+        load = np.append(0, np.cumsum(count[pick]))[edge]
+        turn = 0
+        while turn < len(edge) - 1:
+            stop = max(turn + 1, int(np.searchsorted(load, load[turn] + WINDOWS, "right")) - 1)
+            mine = pick[edge[turn] : edge[stop]]
+            owner = np.repeat(mine, count[mine]).astype(np.int32)
+            offset = ragged(np.zeros(len(mine), np.int64), count[mine]).astype(np.int32)
+            found, begin = radix_groups(raw, place[owner] + offset, np.repeat(group[edge[turn] : edge[stop]], count[mine]), depth)
+            turn = stop
             # The sort is stable, so a group's first is the earliest.
             later = np.sort(found[~begin])
             if len(later):
@@ -256,12 +267,12 @@ def _repeated(depth: int):
 
 def _gone(t: Texts, blobs: list[bytes], depth: int) -> np.ndarray:
     """The bytes that repeated windows cover."""
-    change = np.zeros(len(t.bytes) + 1, np.int64)
+    change = np.zeros(len(t.bytes) + 1, np.int32)
     for b in blobs:
         start, count = (x.astype(np.int64) for x in unpack_arrays(b))
         np.add.at(change, start, 1)
         np.add.at(change, start + count + depth - 1, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def _matched(chunks: DataFrame, depth: int) -> DataFrame:
