@@ -173,3 +173,29 @@ def cones(px: Column, hw: int) -> Column:
     import numpy as np
 
     return mixed(linear(px), hw, (np.array(CAT02) @ np.array(XYZ)).tolist())
+
+
+# --- affine matrices, on places from -1 to 1 ------------------------------------------
+
+
+def rotate_rows(degrees: Column, x: Column, y: Column) -> list[list]:
+    """About a point given from 0 to 1; positive degrees turn the image counter-clockwise."""
+    c, s = F.cos(F.radians(-degrees)), F.sin(F.radians(-degrees))
+    x, y = x * 2 - 1, y * 2 - 1
+    return [[c, s, x - c * x - s * y], [-s, c, y + s * x - c * y], [0, 0, 1]]
+
+
+def zoom_rows(scale: Column, x: Column, y: Column) -> list[list]:
+    return [[scale, 0, (1 - scale) * (x * 2 - 1)], [0, scale, (1 - scale) * (y * 2 - 1)], [0, 0, 1]]
+
+
+def shift_rows(x: Column, y: Column) -> list[list]:
+    return [[1, 0, x * 2], [0, 1, y * 2], [0, 0, 1]]
+
+
+def rotate_object_rows(degrees: Column, x: Column, y: Column, scale: Column, to_x: Column, to_y: Column) -> list[list]:
+    return product(product(rotate_rows(degrees, x, y), zoom_rows(scale, x, y)), shift_rows(x - to_x, y - to_y))
+
+
+def flat(rows: list[list]) -> Column:
+    return F.array(*[x.cast("double") if isinstance(x, Column) else F.lit(float(x)) for row in rows for x in row])

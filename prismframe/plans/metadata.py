@@ -181,7 +181,16 @@ def expected_files(spark, d):
 
 # --- geometry -----------------------------------------------------------------------
 
-W, H, K = F.col("width"), F.col("height"), F.col("_idx")
+def W():
+    return F.col("width")
+
+
+def H():
+    return F.col("height")
+
+
+def K():
+    return F.col("_idx")
 
 
 def r5(x: str) -> str:
@@ -194,17 +203,17 @@ def boxes(df: DataFrame, box) -> DataFrame:
 
 @query(f"WITH {META} SELECT _idx, (width-s)//2 AS x, (height-s)//2 AS y, s AS w, s AS h FROM (SELECT *, least(224,width,height) AS s FROM m)")
 def crop_center(spark, d):
-    return boxes(meta(spark, d), crops.centre(W, H, 224))
+    return boxes(meta(spark, d), crops.centre(W(), H(), 224))
 
 
 @query(f"WITH {META}, c AS (SELECT *, least(224,width,height) AS s FROM m), q AS (SELECT *, (width-s)//2 AS cx, (height-s)//2 AS cy FROM c) SELECT _idx, cx//8*8 AS x, cy//8*8 AS y, least((s+cx%8+7)//8*8, width-cx//8*8) AS w, least((s+cy%8+7)//8*8, height-cy//8*8) AS h FROM q")
 def crop_center_mcu(spark, d):
-    return boxes(meta(spark, d), crops.aligned(crops.centre(W, H, 224), W, H))
+    return boxes(meta(spark, d), crops.aligned(crops.centre(W(), H(), 224), W(), H()))
 
 
 @query(f"WITH {META} SELECT _idx, width//8*8 AS low, (width+7)//8*8 AS high, width//16*16 AS low16 FROM m")
 def mcu_align(spark, d):
-    return meta(spark, d).select("_idx", crops.align(W).alias("low"), crops.align(W, up=True).alias("high"), crops.align(W, 16).alias("low16"))
+    return meta(spark, d).select("_idx", crops.align(W()).alias("low"), crops.align(W(), up=True).alias("high"), crops.align(W(), 16).alias("low16"))
 
 
 def about_sql(cw: str = "cw", ch: str = "ch") -> str:
@@ -227,7 +236,7 @@ _DIRECT_OUT = " SELECT _idx, CASE WHEN bad THEN (width-s)//2 ELSE x END AS x, CA
 
 @query(f"WITH {META}, {direct_sql('rrc', 0.08, 1.0, 0.75, 4 / 3)}{_DIRECT_OUT}")
 def crop_direct_rrc(spark, d):
-    return boxes(meta(spark, d), crops.direct_resized(W, H, K))
+    return boxes(meta(spark, d), crops.direct_resized(W(), H(), K()))
 
 
 def rejection_sql(salt: str, low: float, high: float, rlow: float, rhigh: float) -> str:
@@ -245,17 +254,17 @@ def rejection_sql(salt: str, low: float, high: float, rlow: float, rhigh: float)
 
 @query(f"WITH {META}, {rejection_sql('rrc', 0.08, 1.0, 0.75, 4 / 3)}{_DIRECT_OUT}")
 def crop_rrc_rejection(spark, d):
-    return boxes(meta(spark, d), crops.random_resized(W, H, K))
+    return boxes(meta(spark, d), crops.random_resized(W(), H(), K()))
 
 
 @query(f"WITH {META}, {rejection_sql('wide', 0.5, 1.0, 0.75, 4 / 3)}{_DIRECT_OUT}")
 def crop_rrc_fallback(spark, d):
-    return boxes(meta(spark, d), crops.random_resized(W, H, K, "wide", (0.5, 1.0)))
+    return boxes(meta(spark, d), crops.random_resized(W(), H(), K(), "wide", (0.5, 1.0)))
 
 
 @query(f"WITH {META}, {rejection_sql('rrc', 0.08, 1.0, 0.75, 4 / 3)}, v AS ({_DIRECT_OUT[1:].replace('FROM g', ', width, height FROM g', 1).replace(' , width', ', width')}) SELECT _idx, x//8*8 AS x, y//8*8 AS y, least((w+x%8+7)//8*8, width-x//8*8) AS w, least((h+y%8+7)//8*8, height-y//8*8) AS h FROM v")
 def crop_rrc_mcu(spark, d):
-    return boxes(meta(spark, d), crops.aligned(crops.random_resized(W, H, K), W, H))
+    return boxes(meta(spark, d), crops.aligned(crops.random_resized(W(), H(), K()), W(), H()))
 
 
 
@@ -269,7 +278,7 @@ _INSIDE = "i AS (SELECT _idx, width, height, least(greatest(x0,0),width-1) AS x,
 
 @query(f"WITH {META}, {resized_sql('256')}, q AS (SELECT _idx, width, height, {r5('((nw-least(224,nw))//2)/s')} AS x0, {r5('((nh-least(224,nh))//2)/s')} AS y0, {r5('least(224,nw)/s')} AS w0, {r5('least(224,nh)/s')} AS h0 FROM n), {_INSIDE}")
 def crop_resize_crop(spark, d):
-    return boxes(meta(spark, d), crops.resize_centre(W, H))
+    return boxes(meta(spark, d), crops.resize_centre(W(), H()))
 
 
 def short_sql(t: str, x: str, y: str) -> str:
@@ -278,7 +287,7 @@ def short_sql(t: str, x: str, y: str) -> str:
 
 @query(f"WITH {META}, {short_sql('224', u('slide/x'), u('slide/y'))}")
 def crop_resize_short_crop_long(spark, d):
-    return boxes(meta(spark, d), crops.short_crop_long(W, H, F.lit(224), uniform("slide/x", K), uniform("slide/y", K)))
+    return boxes(meta(spark, d), crops.short_crop_long(W(), H(), F.lit(224), uniform("slide/x", K()), uniform("slide/y", K())))
 
 
 _PER_IMAGE = f"(128 + CAST(floor({u('size')} * 97) AS BIGINT))"
@@ -286,7 +295,7 @@ _PER_IMAGE = f"(128 + CAST(floor({u('size')} * 97) AS BIGINT))"
 
 @query(f"WITH {META}, {short_sql(_PER_IMAGE, '0.5::DOUBLE', '0.5::DOUBLE')}")
 def crop_rsl_per_image_size(spark, d):
-    return boxes(meta(spark, d), crops.short_crop_long(W, H, 128 + F.floor(uniform("size", K) * 97), F.lit(0.5), F.lit(0.5)))
+    return boxes(meta(spark, d), crops.short_crop_long(W(), H(), 128 + F.floor(uniform("size", K()) * 97), F.lit(0.5), F.lit(0.5)))
 
 
 _PER_BATCH = f"(128 + CAST(floor({u('size', '(_idx // 32)')} * 97) AS BIGINT))"
@@ -294,35 +303,35 @@ _PER_BATCH = f"(128 + CAST(floor({u('size', '(_idx // 32)')} * 97) AS BIGINT))"
 
 @query(f"WITH {META}, {short_sql(_PER_BATCH, '0.5::DOUBLE', '0.5::DOUBLE')}")
 def crop_rsl_per_batch_size(spark, d):
-    return boxes(meta(spark, d), crops.short_crop_long(W, H, 128 + F.floor(uniform("size", F.floor(K / 32)) * 97), F.lit(0.5), F.lit(0.5)))
+    return boxes(meta(spark, d), crops.short_crop_long(W(), H(), 128 + F.floor(uniform("size", F.floor(K() / 32)) * 97), F.lit(0.5), F.lit(0.5)))
 
 
 @query(f"WITH {META}, {direct_sql('yoke', 0.3, 1.0, 1.0, 1.0)}, big AS ({_DIRECT_OUT[1:]}), " + direct_sql("yoke", 0.05, 0.3, 1.0, 1.0).replace(" a AS", " a2 AS").replace("FROM a)", "FROM a2)").replace(" b AS", " b2 AS").replace("FROM b)", "FROM b2)").replace(" e AS", " e2 AS").replace("FROM e)", "FROM e2)").replace(" f AS", " f2 AS").replace("FROM f)", "FROM f2)").replace(" g AS", " g2 AS") + f", small AS ({_DIRECT_OUT[1:].replace('FROM g', 'FROM g2')}) SELECT 'global' AS view, * FROM big UNION ALL SELECT 'local', * FROM small")
 def crop_yoked(spark, d):
     m = meta(spark, d)
-    one = lambda name, scale: m.select(F.lit(name).alias("view"), "_idx", crops.direct_resized(W, H, K, "yoke", scale, (1.0, 1.0)).alias("b")).select("view", "_idx", "b.x", "b.y", "b.w", "b.h")
+    one = lambda name, scale: m.select(F.lit(name).alias("view"), "_idx", crops.direct_resized(W(), H(), K(), "yoke", scale, (1.0, 1.0)).alias("b")).select("view", "_idx", "b.x", "b.y", "b.w", "b.h")
     return one("global", (0.3, 1.0)).unionByName(one("local", (0.05, 0.3)))
 
 
 @query(f"WITH {META}, t AS (SELECT _idx, width AS cw, height AS ch FROM m WHERE width < 400), q AS (SELECT *, CAST(floor({u('embed/x')}*greatest(256-cw,0)) AS BIGINT) AS x, CAST(floor({u('embed/y')}*greatest(256-ch,0)) AS BIGINT) AS y FROM t) SELECT _idx, x, y, least(cw,256-x) AS w, least(ch,256-y) AS h FROM q")
 def embed_rect_range(spark, d):
-    return boxes(meta(spark, d).where("width < 400"), crops.embed_rect(W, H, 256, uniform("embed/x", K), uniform("embed/y", K)))
+    return boxes(meta(spark, d).where("width < 400"), crops.embed_rect(W(), H(), 256, uniform("embed/x", K()), uniform("embed/y", K())))
 
 
 @query(f"WITH {META}, q AS (SELECT _idx, label*6 - width//2 AS x, label*5 - height//2 AS y, width AS cw, height AS ch FROM m), t AS (SELECT _idx, greatest(x,0) AS x, greatest(y,0) AS y, least(cw-greatest(-x,0),256-greatest(x,0)) AS w, least(ch-greatest(-y,0),256-greatest(y,0)) AS h FROM q) SELECT * FROM t WHERE w>0 AND h>0")
 def embed_rect_coords(spark, d):
-    return boxes(meta(spark, d), crops.embed_centre(W, H, 256, F.col("label") * 6, F.col("label") * 5)).where("w is not null")
+    return boxes(meta(spark, d), crops.embed_centre(W(), H(), 256, F.col("label") * 6, F.col("label") * 5)).where("w is not null")
 
 
 @query(f"WITH {META}, s AS (SELECT _idx, width, row_number() OVER () AS o, unnest([1,1,3,1,5,3,7,1]) AS n, unnest([8,4,8,2,8,4,8,1]) AS d, unnest(range(8)) AS k FROM m), f AS (SELECT _idx, coalesce(min(CASE WHEN width*n//d >= 200 THEN k END), 7) AS k FROM s GROUP BY 1) SELECT _idx, CAST([1,1,3,1,5,3,7,1][k+1] AS BIGINT) AS n, CAST([8,4,8,2,8,4,8,1][k+1] AS BIGINT) AS d FROM f")
 def scale_factor(spark, d):
-    return meta(spark, d).select("_idx", crops.best_scale(W, 200).alias("s")).select("_idx", "s.n", "s.d")
+    return meta(spark, d).select("_idx", crops.best_scale(W(), 200).alias("s")).select("_idx", "s.n", "s.d")
 
 
 @query(f"WITH {META} SELECT _idx, (42 + 32 * (_idx // 32 + 1)) % 2147483647 AS batch_seed, ((42 + 32 * (_idx // 32 + 1)) % 2147483647 + _idx % 32) % 2147483647 AS row_seed FROM m")
 def seed_formula(spark, d):
-    b = batch_seed(42, F.lit(32), F.floor(K / 32) + 1)
-    return meta(spark, d).select("_idx", b.alias("batch_seed"), row_seed(b, F.pmod(K, F.lit(32))).alias("row_seed"))
+    b = batch_seed(42, F.lit(32), F.floor(K() / 32) + 1)
+    return meta(spark, d).select("_idx", b.alias("batch_seed"), row_seed(b, F.pmod(K(), F.lit(32))).alias("row_seed"))
 
 
 @query(f"WITH {META}, g AS (SELECT DISTINCT width, height FROM m WHERE _idx % 40 = 0), t AS (SELECT *, unnest(range(200)) AS k FROM g), q AS (SELECT *, {u('fall/s', '(width*100000000+height*10000+k)')} AS us, {u('fall/r', '(width*100000000+height*10000+k)')} AS ur FROM t), z AS (SELECT width, height, width*height*(0.5::DOUBLE+us*0.5::DOUBLE) AS area, exp(ln(0.75::DOUBLE)+ur*(ln(4.0::DOUBLE/3)-ln(0.75::DOUBLE))) AS r FROM q) SELECT width, height, round(avg(CASE WHEN floor(sqrt(area*r)+0.5) <= width AND floor(sqrt(area/r)+0.5) <= height THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS rate FROM z GROUP BY 1,2")
@@ -330,10 +339,10 @@ def fallback_rate(spark, d):
     import math
 
     g = meta(spark, d).where("_idx % 40 = 0").select("width", "height").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
-    key = W * 100000000 + H * 10000 + F.col("k")
-    area = W * H * between(0.5, 1.0, uniform("fall/s", key))
+    key = W() * 100000000 + H() * 10000 + F.col("k")
+    area = W() * H() * between(0.5, 1.0, uniform("fall/s", key))
     r = F.exp(between(math.log(0.75), math.log(4 / 3), uniform("fall/r", key)))
-    fits = (crops.whole(F.sqrt(area * r)) <= W) & (crops.whole(F.sqrt(area / r)) <= H)
+    fits = (crops.whole(F.sqrt(area * r)) <= W()) & (crops.whole(F.sqrt(area / r)) <= H())
     return g.groupBy("width", "height").agg(F.round(F.avg(F.when(fits, 0.0).otherwise(1.0)), 6).alias("rate"))
 
 
@@ -341,7 +350,7 @@ def fallback_rate(spark, d):
 def cutmix_bbox(spark, d):
     from prismframe.operators.mixup import kept_share
 
-    box = crops.cutout(200, 160, uniform("lam", K), F.floor(uniform("cut/y", K) * 200), F.floor(uniform("cut/x", K) * 160))
+    box = crops.cutout(200, 160, uniform("lam", K()), F.floor(uniform("cut/y", K()) * 200), F.floor(uniform("cut/x", K()) * 160))
     return meta(spark, d).select("_idx", box.alias("b")).select("_idx", "b.*", F.round(kept_share(F.col("b"), 200, 160), 6).alias("kept"))
 
 

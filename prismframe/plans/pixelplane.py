@@ -11,7 +11,6 @@ from prismframe.operators import mixup, store
 from prismframe.plans.metadata import ORACLES, QUERIES, query, table, u
 
 HW, SIDE = 16, 4
-PX = F.col("px")
 
 P = "p AS (SELECT vec_id AS _idx, label, k, k//16 AS c, k%16 AS i, k%16//4 AS row, k%4 AS col, least(1.0::DOUBLE,greatest(0.0::DOUBLE,0.5::DOUBLE+2*embedding[k+1]::DOUBLE)) AS v FROM (SELECT *, unnest(range(48)) AS k FROM embeddings))"
 RGB = P + ", rgb AS (SELECT _idx, i, max(CASE WHEN c=0 THEN v END) AS r, max(CASE WHEN c=1 THEN v END) AS g, max(CASE WHEN c=2 THEN v END) AS b FROM p GROUP BY 1,2)"
@@ -31,7 +30,7 @@ def pixel(name: str, sql: str, f) -> None:
     """A query that applies f to px, and its SQL: a FROM clause and an expression for v."""
 
     def run(spark, d):
-        return values(px(spark, d), f(PX))
+        return values(px(spark, d), f(F.col("px")))
 
     run.__name__ = name
     QUERIES[name], ORACLES[name] = run, sql
@@ -123,7 +122,7 @@ def _pairs(spark, d) -> DataFrame:
 
 @query(f"WITH {PAIR} SELECT w._idx, p.k, round(p.v*lam + q.v*(1-lam), 5) AS v FROM w JOIN p ON p._idx=w._idx JOIN p q ON q._idx=w.other AND q.k=p.k")
 def mixup_pixels(spark, d):
-    return values(_pairs(spark, d), mixup.mixed_pixels(PX, F.col("other_px"), F.col("lam")))
+    return values(_pairs(spark, d), mixup.mixed_pixels(F.col("px"), F.col("other_px"), F.col("lam")))
 
 
 @query(f"WITH {PAIR} SELECT _idx, k, round((CASE WHEN k=label THEN 0.91::DOUBLE ELSE 0.01::DOUBLE END)*lam + (CASE WHEN k=other_label THEN 0.91::DOUBLE ELSE 0.01::DOUBLE END)*(1-lam), 5) AS v FROM (SELECT *, unnest(range(10)) AS k FROM w)")
@@ -152,7 +151,7 @@ def _headers(spark, d) -> DataFrame:
     from prismframe.plans.metadata import meta
 
     be = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
-    le = lambda c, n: F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * k) % 256), 2, "0") for k in range(n)])
+    le = lambda c, n: F.concat(*[F.lpad(F.hex(F.pmod(F.shiftright(c, 8 * k), F.lit(256))), 2, "0") for k in range(n)])
     w, h = F.col("width"), F.col("height")
     kind = F.col("_idx") % 5
     text = F.when(kind == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), be(w, 4), be(h, 4), F.lit("0000"))).when(kind == 1, F.concat(F.lit("474946383961"), le(w, 2), le(h, 2), F.lit("00" * 20))).when(kind == 2, F.concat(F.lit("424D" + "00" * 16), le(w, 4), le(-h, 4), F.lit("0000"))).when(kind == 3, F.concat(F.lit("FFD8FFC0001108"), be(h, 2), be(w, 2), F.lit("00" * 20))).otherwise(F.lit("00" * 30))
@@ -176,3 +175,93 @@ def yuv_planes(spark, d):
     data = F.unhex(F.concat(h2(i * 7 % 256), h2(1 + i % 3), F.lit("02030405")))
     p = imagebytes.yuv_planes(data, F.lit(2), F.lit(2))
     return spark.range(500).select(i.alias("_idx"), p.alias("p")).select("_idx", imagebytes.byte(F.col("p.y"), 0).alias("y0"), imagebytes.byte(F.col("p.u"), 0).alias("u0"), imagebytes.byte(F.col("p.v"), 0).alias("v0"))
+
+
+_DEG, _X, _Y, _Z = f"radians(45-{u('deg')}*90)", f"({u('cx')}*2-1)", f"({u('cy')}*2-1)", f"(0.5::DOUBLE+{u('zoom')})"
+_ROT = ["cos(d)", "sin(d)", "x-cos(d)*x-sin(d)*y", "-sin(d)", "cos(d)", "y+sin(d)*x-cos(d)*y", "0", "0", "1"]
+
+
+@query(f"WITH t AS (SELECT vec_id AS _idx FROM embeddings), q AS (SELECT _idx, {_DEG} AS d, {_X} AS x, {_Y} AS y FROM t) " + " UNION ALL ".join(f"SELECT _idx, {k} AS k, round(({e})::DOUBLE, 5) AS v FROM q" for k, e in enumerate(_ROT)))
+def rotate_matrix(spark, d):
+    rows = pixels.rotate_rows(uniform("deg", "_idx") * 90 - 45, uniform("cx", "_idx"), uniform("cy", "_idx"))
+    return values(px(spark, d), pixels.flat(rows))
+
+
+@query(f"WITH t AS (SELECT vec_id AS _idx FROM embeddings), q AS (SELECT _idx, {_Z} AS z, {_X} AS x, {_Y} AS y FROM t) " + " UNION ALL ".join(f"SELECT _idx, {k} AS k, round(({e})::DOUBLE, 5) AS v FROM q" for k, e in enumerate(["z", "0", "(1-z)*x", "0", "z", "(1-z)*y", "0", "0", "1"])))
+def zoom_matrix(spark, d):
+    return values(px(spark, d), pixels.flat(pixels.zoom_rows(F.lit(0.5) + uniform("zoom", "_idx"), uniform("cx", "_idx"), uniform("cy", "_idx"))))
+
+
+@query(f"WITH t AS (SELECT vec_id AS _idx FROM embeddings), q AS (SELECT _idx, {_DEG} AS d, {_X} AS x, {_Y} AS y, {_Z} AS z, ({u('cx')}-{u('tx')})*2 AS sx, ({u('cy')}-{u('ty')})*2 AS sy FROM t), m AS (SELECT *, z*cos(d) AS a, z*sin(d) AS b, cos(d)*(1-z)*x + sin(d)*(1-z)*y + x-cos(d)*x-sin(d)*y AS c, -sin(d)*(1-z)*x + cos(d)*(1-z)*y + y+sin(d)*x-cos(d)*y AS f FROM q) " + " UNION ALL ".join(f"SELECT _idx, {k} AS k, round(({e})::DOUBLE, 5) AS v FROM m" for k, e in enumerate(["a", "b", "a*sx+b*sy+c", "-b", "a", "-b*sx+a*sy+f", "0", "0", "1"])))
+def rotate_object_matrix(spark, d):
+    draw = lambda s: uniform(s, "_idx")
+    rows = pixels.rotate_object_rows(draw("deg") * 90 - 45, draw("cx"), draw("cy"), F.lit(0.5) + draw("zoom"), draw("tx"), draw("ty"))
+    return values(px(spark, d), pixels.flat(rows))
+
+
+@query()
+def stage_resize_crop_png(spark, d):
+    """Decoded, cropped and resized images of PNG bytes that are made from sizes: rows only."""
+    from prismframe.operators import stages
+
+    rows = _png_rows(spark, d)
+    return stages.resize_crop(32, 28)(rows).select("_idx", "view_rect.x", "view_rect.y", "view_rect.w", "view_rect.h", F.sha2("view", 256).alias("pixels"))
+
+
+def _kernel_query(name: str, f) -> None:
+    """f over the small images, values rounded: rows only; tests hold the kernels against closed forms."""
+
+    def run(spark, d):
+        from prismframe.operators.stages import pixel_kernel
+
+        return pixel_kernel("px", (3, SIDE, SIDE), f)(px(spark, d)).select("_idx", F.posexplode("px").alias("k", "v")).select("_idx", F.col("k").cast("long").alias("k"), F.round("v", 5).alias("v"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+def _kernels() -> None:
+    import numpy as np
+
+    from prismframe.operators import kernels as n
+
+    turn = lambda a: np.array([[np.cos(a), np.sin(a), 0], [-np.sin(a), np.cos(a), 0], [0, 0, 1.0]])
+    _kernel_query("kernel_blur", lambda p: n.convolve(p, n.gaussian(3, 1.0), "reflect"))
+    _kernel_query("kernel_rotate", lambda p: n.affine(p, turn(0.5)))
+    _kernel_query("kernel_zoom", lambda p: n.affine(p, np.diag([0.5, 0.5, 1.0])))
+    _kernel_query("kernel_rotate_object", lambda p: n.affine(p, turn(0.3) @ np.diag([1.5, 1.5, 1.0]), "border"))
+    _kernel_query("kernel_distortion", lambda p: n.distort(p))
+    _kernel_query("kernel_lgn", lambda p: n.lgn(p))
+    _kernel_query("kernel_patch_shuffle", lambda p: n.patch_shuffle(p, 2, np.array([3, 1, 0, 2])))
+    _kernel_query("kernel_circle_mask", lambda p: p * n.circle_mask(SIDE, 1.0))
+    _kernel_query("kernel_noise_embed", lambda p: n.embed(p, n.power_noise(8, 8, channels=3, low=0.0, high=1.0), 3, -1))
+
+
+_kernels()
+
+
+@query()
+def preset_simclr(spark, d):
+    """The symmetric two-view preset on small PNGs: rows only."""
+    from functools import reduce
+
+    from prismframe.plans import presets
+
+    out = reduce(lambda x, f: f(x), presets.simclr_symmetric(8, 1), _png_rows(spark, d))
+    return out.select("_idx", F.round(F.aggregate("view_0_px", F.lit(0.0), lambda a, x: a + x), 3).alias("sum_0"), F.round(F.aggregate("view_1_px", F.lit(0.0), lambda a, x: a + x), 3).alias("sum_1"))
+
+
+def _png_rows(spark, d) -> DataFrame:
+    from prismframe.plans.metadata import meta
+
+    def make(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from prismframe.operators.kernels import encode_png
+
+        for b in batches:
+            img = [encode_png(np.add.outer(np.arange(h), np.arange(w) * 3)[..., None].repeat(3, 2).astype(np.uint8)) for w, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(img, pa.binary())], [*b.schema.names, "image"])
+
+    return meta(spark, d).select("_idx", (16 + F.col("width") % 16).alias("width"), (16 + F.col("height") % 16).alias("height")).mapInArrow(make, "_idx long, width long, height long, image binary")
