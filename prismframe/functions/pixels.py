@@ -199,3 +199,8 @@ def rotate_object_rows(degrees: Column, x: Column, y: Column, scale: Column, to_
 
 def flat(rows: list[list]) -> Column:
     return F.array(*[x.cast("double") if isinstance(x, Column) else F.lit(float(x)) for row in rows for x in row])
+
+
+def held(m: Column, size: int = 3) -> list[list]:
+    """The rows of a matrix that a column holds flat."""
+    return [[F.get(m, F.lit(size * i + j)) for j in range(size)] for i in range(size)]

@@ -88,7 +88,17 @@ def _jitter_sql() -> list[str]:
     return [f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {v} * (" + " + ".join(f"{a!r}::DOUBLE*{t}" for a, t in zip(row, turned)) + ")))" for row in back]
 
 
-matrix("jitter_hsv", _jitter_sql(), lambda p: pixels.each(pixels.mixed(p, HW, pixels.jitter_rows(uniform("hue", "_idx") * 40 - 20, F.lit(0.5) + uniform("jsat", "_idx"), F.lit(0.8) + uniform("jval", "_idx") * 0.4)), pixels.clamp))
+matrix("jitter_hsv", _jitter_sql(), None)
+
+
+def jitter_hsv(spark, d):
+    rows = pixels.jitter_rows(uniform("hue", "_idx") * 40 - 20, F.lit(0.5) + uniform("jsat", "_idx"), F.lit(0.8) + uniform("jval", "_idx") * 0.4)
+    # The matrix is a column of its own: worked out once a row, not once a pixel.
+    df = px(spark, d).withColumn("m", pixels.flat(rows))
+    return values(df, pixels.each(pixels.mixed(F.col("px"), HW, pixels.held(F.col("m"))), pixels.clamp))
+
+
+QUERIES["jitter_hsv"] = jitter_hsv
 
 _BOX = f"b AS (SELECT vec_id AS _idx, 1 + CAST(floor({u('er/w', 'vec_id')}*3) AS BIGINT) AS bw, 1 + CAST(floor({u('er/h', 'vec_id')}*3) AS BIGINT) AS bh, {u('er/x', 'vec_id')} AS ux, {u('er/y', 'vec_id')} AS uy FROM embeddings), r AS (SELECT _idx, bw, bh, CAST(floor(ux*(5-bw)) AS BIGINT) AS bx, CAST(floor(uy*(5-bh)) AS BIGINT) AS byy FROM b)"
 _IN = "col>=bx AND col<bx+bw AND row>=byy AND row<byy+bh"
