@@ -18,6 +18,7 @@ executor costs only the tasks it ran.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -47,6 +48,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are checkpointed and no longer held.
+
+    It does so when the JVM collects them; the last job is held until another has run.
+    """
+    gc.collect()
+    spark.range(1).count()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -240,13 +251,13 @@ def with_texts(table: pa.Table, raw: np.ndarray, offsets: np.ndarray) -> pa.Tabl
 def runs_per_text(gone: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes gone of each text, and the maximal runs they form (a run ends with its text)."""
     n = len(gone)
-    sums = np.append(0, np.cumsum(gone))
+    sums = np.append(0, np.cumsum(gone, dtype=np.int32))
     begin = gone.copy()
     begin[1:] &= ~gone[:-1]
     edges = offsets[:-1][offsets[:-1] < n]
     begin[edges] = gone[edges]
-    starts = np.append(0, np.cumsum(begin))
-    return np.diff(sums[offsets]), np.diff(starts[offsets])
+    starts = np.append(0, np.cumsum(begin, dtype=np.int32))
+    return np.diff(sums[offsets]).astype(np.int64), np.diff(starts[offsets]).astype(np.int64)
 
 
 # --- 64-bit hashes ------------------------------------------------------------
