@@ -26,13 +26,14 @@ others are sampled.  Nothing but the final links' classes is iterated on.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, checkpointed, emit, lowered, make_chunks, mix, narrow, pack_arrays, prefix_sums, reduce_bins, row_ids, run_hashes, span_hashes, unpack_arrays, word_bounds
+from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, checkpointed, cut_bins, emit, free, lowered, make_chunks, mix, narrow, pack_arrays, prefix_sums, reduce_bins, row_ids, run_hashes, span_hashes, unpack_arrays, word_bounds
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -75,7 +76,7 @@ def _emit(bins: int):
 
 
 def _frequencies(number: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    """For each chunk the document frequencies that differ from its own."""
+    """For each chunk how many documents of others have each key it sent, in their order."""
     parts = [unpack_arrays(b) for b in blobs]
     keys = np.concatenate([p[0] for p in parts])
     own = np.concatenate([p[1].astype(np.int64) for p in parts])
@@ -84,17 +85,11 @@ def _frequencies(number: int, chunks: list[int], blobs: list[bytes]) -> pa.Recor
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     begin = np.flatnonzero(new)
-    total = np.empty(len(k), np.int64)
-    total[order] = np.repeat(np.add.reduceat(own[order], begin), np.diff(np.append(begin, len(k))))
-    out_chunks, out, start = [], [], 0
-    for c, p in zip(chunks, parts):
-        n = len(p[0])
-        other = np.flatnonzero(total[start : start + n] != own[start : start + n])
-        if len(other):
-            out_chunks.append(c)
-            out.append(pack_arrays(p[0][other], narrow(total[start : start + n][other])))
-        start += n
-    return back_rows(out_chunks, number, out)
+    others = np.empty(len(k), np.int64)
+    others[order] = np.repeat(np.add.reduceat(own[order], begin), np.diff(np.append(begin, len(k))))
+    others -= own
+    back = np.split(others, np.cumsum([len(p[0]) for p in parts])[:-1])
+    return back_rows(chunks, number, [pack_arrays(np.array([number]), narrow(x)) for x in back])
 
 
 def weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
@@ -157,15 +152,15 @@ def _banded(samples: np.ndarray) -> np.ndarray:
 ROWS_SCHEMA = "row long, doc_id long, text_a long, text_b long, shared double, weight double, bands array<long>, bag binary"
 
 
-def _apply(total: int):
+def _apply(total: int, bins: int):
     def run(number, table, blobs):
         keys, tf, firsts = shingles(table)
         n = table.num_rows
         coarse = keys >> DF_SHIFT << DF_SHIFT
         distinct, at, df = np.unique(coarse, return_inverse=True, return_counts=True)
-        for b in blobs:
-            k, c = unpack_arrays(b)
-            df[np.searchsorted(distinct, k)] = c
+        cuts = cut_bins(distinct, bins)
+        for bin_, others in map(unpack_arrays, blobs):
+            df[cuts[bin_[0]] : cuts[bin_[0] + 1]] += others
         df = df[at]
         w = weights(tf, df, total)
         sums = lambda x: np.diff(np.append(0, np.cumsum(x))[firsts])
@@ -201,23 +196,32 @@ def similarity(a: list[np.ndarray], b: list[np.ndarray], total: int) -> float:
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, total: int, least: float) -> DataFrame:
-    """The pairs (a, b) of rows whose similarity is at least `least`."""
-    left = bags.select(F.col("row").alias("a"), F.col("bag").alias("bag_a"))
-    right = bags.select(F.col("row").alias("b"), F.col("bag").alias("bag_b"))
+    """The pairs (a, b) of rows whose similarity is at least `least`.
 
-    def run(batches):
-        held = (None, None)
-        for x in batches:
-            a, b = [], []
-            for u, v, bu, bv in zip(*(c.to_pylist() for c in x.columns)):
-                if held[0] != u:
-                    held = (u, unpack_arrays(bu))
-                if similarity(held[1], unpack_arrays(bv), total) >= least:
-                    a.append(u)
-                    b.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
+    Pairs are dealt to a grid of blocks by the hashes of both rows.  A bag goes once
+    to each block that has a pair of it: in a large group to a side of the grid
+    instead of to every pair.
+    """
+    side = math.ceil((4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))) ** 0.5)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    dealt = pairs.select("a", "b", block("a").alias("i"), block("b").alias("j"))
+    of = lambda c: dealt.select(F.col("i").alias("p"), F.col("j").alias("q"), F.col(c).alias("row"))
+    sent = of("a").unionByName(of("b")).distinct().join(bags, "row").select("p", "q", "row", "bag")
+    none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["a", "b"])
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return none
+        have = dict(zip(y.column("row").to_pylist(), y.column("bag").to_pylist()))
+        held, out = (None, None), []
+        for u, v in sorted(zip(x.column("a").to_pylist(), x.column("b").to_pylist())):
+            if held[0] != u:
+                held = (u, unpack_arrays(have[u]))
+            if similarity(held[1], unpack_arrays(have[v]), total) >= least:
+                out.append((u, v))
+        return pa.table([pa.array([k for k, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("i", "j").cogroup(sent.groupBy("p", "q")).applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,8 +259,9 @@ def classes(chunks: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     total = chunks.mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    back = reduce_bins(emit(chunks, _emit(bins_for(spark))), _frequencies)
-    rows = checkpointed(apply_back(chunks, back, _apply(total), ROWS_SCHEMA))
+    bins = bins_for(spark)
+    rows = checkpointed(apply_back(chunks, reduce_bins(emit(chunks, _emit(bins)), _frequencies), _apply(total, bins), ROWS_SCHEMA))
+    free(spark)
     # Equal texts: the row with the least doc_id (null first) stands for them.
     texts = rows.groupBy("text_a", "text_b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "row"))["row"].alias("node"))
     own = checkpointed(rows.select("row", "doc_id", "text_a", "text_b", "shared", "weight", F.col("bag").isNotNull().alias("sampled")).join(texts, ["text_a", "text_b"]).select("row", "doc_id", "node", "shared", "weight", "sampled"))
@@ -268,14 +273,17 @@ def classes(chunks: DataFrame, least: float = SIMILARITY) -> DataFrame:
     first = checkpointed(members.join(best, "band").where("row <> b").select(F.col("row").alias("a"), "b").distinct())
     links = checkpointed(_verified(first.select(F.col("b").alias("a"), F.col("a").alias("b")), bags, total, least))
     root = components(links)
-    # Then what is left: pairs of a band in different classes. Their weights bound their similarity.
-    split = members.join(root, "row", "left").select("band", "row", "weight", F.coalesce("root", "row").alias("root"))
+    free(spark)
+    # Then what is left: pairs of a band in different classes. No more of them can be alike than the lesser shared
+    # weight, which must be least / (1 + least) of both weights. A pair comes up in the first band it shares only.
+    split = members.join(root, "row", "left").select("band", "row", "weight", (F.col("shared") * F.col("weight")).alias("common"), F.coalesce("root", "row").alias("root"))
     mixed = split.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    split = split.join(mixed, "band")
+    split = split.join(mixed, "band").join(rows.where("bag is not null").select("row", "bands"), "row")
     x, y = split.alias("x"), split.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.weight") >= least * F.col("y.weight") * (1 - 1e-9)) & (F.col("y.weight") >= least * F.col("x.weight") * (1 - 1e-9)))
+    enough = F.least(F.col("x.common"), F.col("y.common")) >= (least / (1 + least) * (1 - 1e-9)) * (F.col("x.weight") + F.col("y.weight"))
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & enough & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).join(tried, ["a", "b"], "left_anti")
     more = checkpointed(_verified(checkpointed(rest), bags, total, least))
     if not more.isEmpty():
         root = components(links.unionByName(more))
