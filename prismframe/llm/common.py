@@ -129,7 +129,7 @@ def narrow(a: np.ndarray) -> np.ndarray:
 
 def _close(batch: pa.RecordBatch | pa.Table, number: int) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
         w.write(batch)
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "payload"])
 

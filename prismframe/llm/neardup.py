@@ -39,7 +39,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Document frequencies are counted by this many bits of a shingle's hash; links are verified on all 64.
-DF_SHIFT = U64(8)
+DF_SHIFT = U64(16)
 #: Precomputed draws of the sampling; a shingle takes one by its hash, another for each sample.
 POOL_BITS = 16
 
