@@ -17,7 +17,10 @@ mostly share theirs, so a stretch of windows travels as one string.
 
 Stretches that repeat within a chunk are settled there, and equal stretches are
 merged before the passes, so a passage in every document costs one entry a chunk.
-Only bytes decide that windows are equal; hashes only deal them out.
+A digit that more than HOT stretches have (a phrase in very many contexts) would
+still fill one task: its windows are dealt by a digit of their whole DEPTH bytes
+instead, one entry a chunk for each, compared by 96 bits of hash.  Elsewhere only
+bytes decide that windows are equal; hashes only deal them out.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import ragged
-from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, cut_bins, cut_out, doc_keys, emit, from_least, make_chunks, mix, narrow, pack_arrays, prefix_sums, reduce_bins, runs_per_text, to_ids, unpack_arrays, with_texts, _powers, blob_rows
+from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, cut_bins, cut_out, doc_keys, emit, from_least, make_chunks, mix, narrow, pack_arrays, prefix_sums, reduce_bins, runs_per_text, span_hashes, to_ids, unpack_arrays, with_texts, _powers, blob_rows
 
 DEPTH = 100
 SEED = 32
@@ -37,6 +40,8 @@ SEED = 32
 STRETCH = 512
 #: Bytes that are hashed at a time: what fits the processor's caches.
 STEP = 1 << 18
+#: Stretches of one digit in the corpus above which its windows are dealt one by one.
+HOT = 20_000
 #: Windows that are sorted at a time (more only where one digit has more).
 WINDOWS = 1 << 18
 
@@ -102,24 +107,26 @@ def stretches(t: Texts, depth: int = DEPTH, seed: int = SEED) -> tuple[np.ndarra
 
 def _emit_digits(bins: int, depth: int):
     def run(number, table):
-        digits = np.unique(stretches(Texts(table.column("text")), depth)[2])
+        digits, counts = np.unique(stretches(Texts(table.column("text")), depth)[2], return_counts=True)
         if len(digits):
-            yield by_bin(number, bins, digits)
+            yield by_bin(number, bins, digits, counts)
 
     return run
 
 
 def _shared(number: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    """For each chunk the digits that another chunk has too."""
-    parts = [unpack_arrays(b)[0] for b in blobs]
-    keys = np.sort(np.concatenate(parts))
-    many = np.unique(keys[1:][keys[1:] == keys[:-1]])
-    out_chunks, out = [], []
+    """For each chunk the digits that another chunk has too, and which of them are hot."""
+    parts = [unpack_arrays(b) for b in blobs]
+    keys, at, many = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
+    hot = np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)) > HOT
+    out_chunks, out, start = [], [], 0
     for c, p in zip(chunks, parts):
-        own = p[np.isin(p, many, assume_unique=True, kind="sort")]
-        if len(own):
+        mine = at[start : start + len(p[0])]
+        start += len(p[0])
+        own = many[mine] > 1
+        if own.any():
             out_chunks.append(c)
-            out.append(pack_arrays(own))
+            out.append(pack_arrays(p[0][own], hot[mine][own].astype(np.uint8)))
     return back_rows(out_chunks, number, out)
 
 
@@ -136,7 +143,9 @@ def _emit_stretches(bins: int, depth: int):
     def run(number, table, blobs):
         t = Texts(table.column("text"))
         start, count, digit, inner = stretches(t, depth)
-        shared = np.concatenate([np.zeros(0, U64), *(unpack_arrays(b)[0] for b in blobs)])
+        got = [unpack_arrays(b) for b in blobs]
+        shared = np.concatenate([np.zeros(0, U64), *(g[0] for g in got)])
+        hot_ones = np.concatenate([np.zeros(0, U64), *(g[0][g[1] > 0] for g in got)])
         kinds, at, many = np.unique(digit, return_inverse=True, return_counts=True)
         wanted = many > 1
         wanted[np.searchsorted(kinds, shared)] = True
@@ -159,23 +168,45 @@ def _emit_stretches(bins: int, depth: int):
         outside[np.searchsorted(kinds, shared)] = True
         keep = outside[at[own]] | (alone[at[own]] > 1) | inner[own]
         own, text = own[keep], text[keep]
-        settled = pack_arrays(start[gone], count[gone])
+        # Windows of hot digits one by one; the order of the corpus is kept.
+        is_hot = np.isin(digit[own], hot_ones)
+        w_start, w_docs, w_key, w_check, again = _single_windows(t, start[own[is_hot]], count[own[is_hot]], docs[text[is_hot]], depth)
+        settled = pack_arrays(np.concatenate([start[gone], again]), np.concatenate([count[gone], np.ones(len(again), np.int64)]))
+        gone = np.concatenate([gone, again])
+        own, text = own[~is_hot], text[~is_hot]
         by = np.argsort(digit[own], kind="stable")
         own, text = own[by], text[by]
-        cuts = cut_bins(digit[own], bins)
+        cuts, w_cuts = cut_bins(digit[own], bins), cut_bins(w_key, bins)
         rows, out = [], []
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
+        for b in np.flatnonzero(np.diff(cuts) + np.diff(w_cuts)).tolist():
             x = own[cuts[b] : cuts[b + 1]]
+            w = slice(w_cuts[b], w_cuts[b + 1])
+            w_ids, w_low = from_least(w_docs[w])
             ids, low = from_least(docs[text[cuts[b] : cuts[b + 1]]])
             rows.append(b)
-            out.append(pack_arrays(digit[x], narrow(ids), low, narrow(start[x]), narrow(count[x]), t.bytes[ragged(start[x], count[x] + depth - 1)], inner[x].view(np.uint8), np.frombuffer(settled if not rows[:-1] else b"", np.uint8)))
+            out.append(pack_arrays(digit[x], narrow(ids), low, narrow(start[x]), narrow(count[x]), t.bytes[ragged(start[x], count[x] + depth - 1)], inner[x].view(np.uint8), np.frombuffer(settled if not rows[:-1] else b"", np.uint8), w_key[w], w_check[w], narrow(w_ids), w_low, narrow(w_start[w])))
         if not rows and len(gone):
-            rows, out = [0], [pack_arrays(np.zeros(0, U64), np.zeros(0, np.uint8), np.zeros(1, np.int64), *[np.zeros(0, np.uint8)] * 4, np.frombuffer(settled, np.uint8))]
+            rows, out = [0], [pack_arrays(np.zeros(0, U64), np.zeros(0, np.uint8), np.zeros(1, np.int64), *[np.zeros(0, np.uint8)] * 4, np.frombuffer(settled, np.uint8), np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.uint8))]
         return blob_rows(rows, [number] * len(rows), out)
 
     return run
 
 
+def _single_windows(t: Texts, start: np.ndarray, count: np.ndarray, docs: np.ndarray, depth: int):
+    """The windows of stretches (in the order of the corpus) by their digits, the first of equal ones; and the first bytes of the others."""
+    at, ids = np.repeat(start, count) + ragged(np.zeros(len(start), np.int64), count), np.repeat(docs, count)
+    if not len(at):
+        return at, ids, np.zeros(0, U64), np.zeros(0, np.uint32), at
+    sums = prefix_sums(t.bytes)
+    key = span_hashes(sums, at, at + depth)
+    check = (span_hashes(sums, at + depth // 3, at + depth) >> U64(32)).astype(np.uint32)
+    order = np.lexsort((np.arange(len(at)), check, key))
+    first = np.ones(len(at), bool)
+    first[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+    own = order[first]
+    return at[own], ids[own], key[own], check[own], at[order[~first]]
+
+
 def radix_groups(raw: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorts suffixes (their first bytes in raw: at) group by group through `depth` bytes, most significant digit first.
 
@@ -250,6 +281,17 @@ def _repeated(depth: int):
                 out_chunk.append(chunk[own[begins]])
                 out_start.append(window[begins])
                 out_count.append(np.diff(np.append(begins, len(later))))
+        # Windows of hot digits: the later ones of one digit and check.
+        key, check = np.concatenate([p[8] for p in parts]), np.concatenate([p[9] for p in parts])
+        if len(key):
+            ids = np.concatenate([to_ids(p[10], p[11]) for p in parts])
+            w_start = np.concatenate([p[12].astype(np.int64) for p in parts])
+            w_chunk = np.repeat(np.array(chunks, np.int64), [len(p[8]) for p in parts])
+            order = np.lexsort((w_start, w_chunk, ids, check, key))
+            again = order[1:][(key[order][1:] == key[order][:-1]) & (check[order][1:] == check[order][:-1])]
+            out_chunk.append(w_chunk[again])
+            out_start.append(w_start[again])
+            out_count.append(np.ones(len(again), np.int64))
         for c, p in zip(chunks, parts):
             if len(p[7]):
                 s, n = unpack_arrays(p[7].tobytes())

@@ -38,6 +38,17 @@ def test_suffix_windows(table):
     assert got == cases.windows(pairs(table), suffixes.DEPTH)
 
 
+def test_hot_digits_give_the_same(table, monkeypatch):
+    monkeypatch.setattr(suffixes, "_shared", lambda *a, f=suffixes._shared: with_hot(f, 3, *a))
+    got = sorted((cases.key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.report(table).collect())
+    assert got == cases.windows(pairs(table), suffixes.DEPTH)
+
+
+def with_hot(f, limit, *a):
+    f.__globals__["HOT"] = limit
+    return f(*a)
+
+
 def test_language_model(table):
     got = sorted((cases.key(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.report(table).collect())
     want = cases.language_model(pairs(table), lm.PRIOR)
