@@ -39,6 +39,12 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What compressed data start with: gzip, zlib, bz2, xz.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: UTF-8 without control characters.
+READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++")
+#: No find, and nothing that unwraps to one, is shorter.
+SHORTEST = 16
 MASK = "[REDACTED]"
 #: Bytes that the layers of one document may hold beyond 32 times its text: nested bombs stop here, and `unfinished` says so.
 LAYER_BYTES = 8 << 20
@@ -160,29 +166,33 @@ def unwrap_escapes(layer: Layer, limit: int):
 
 def unwrap_base64(layer: Layer, limit: int):
     for m in BASE64.finditer(layer.text):
-        body = m.group(0).rstrip("=").translate(_URL_SAFE)
-        # Run and data may start a few characters apart (a path or a key before them); whole groups of four are tried.
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
+        run = m.group(0).rstrip("=").translate(_URL_SAFE)
+        # A path or a key may stand before the data, and more behind them: with the groups of four begun at each of
+        # four places, any start is on a border of some decoding, and what is not the data's is unreadable or harmless.
+        for shift in range(4):
+            body = run[shift:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
             data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        inner = inflate(data, limit)
-        if inner is not None:
-            got = readable(inner)
-            if got is not None:
-                yield _spread([(got, m.start(), m.end())], layer)
-            continue
-        got = readable(data)
-        if got is None:
-            continue
-        sizes = np.fromiter((len(c.encode()) for c in got), np.int64, len(got))
-        first = np.cumsum(sizes) - sizes
-        s, e = layer.origin(m.start(), m.end())
-        left = first // 3 * 4 + first % 3
-        last = first + sizes - 1
-        right = np.minimum(last // 3 * 4 + last % 3 + 1, len(s) - 1)
-        yield Layer(got, s[np.minimum(left, len(s) - 1)], e[right])
+            taken = 0  # bytes that compressed data took
+            for head in PACKED.finditer(data):
+                if head.start() < taken:
+                    continue
+                inner = inflate(data[head.start() :], limit)
+                got = readable(inner) if inner is not None else None
+                if got is not None:
+                    taken = len(data)
+                    yield _spread([(got, m.start(), m.end())], layer)
+            for r in READABLE.finditer(data):
+                if r.end() - r.start() < SHORTEST:
+                    continue
+                got = r.group(0).decode("utf-8")
+                sizes = np.fromiter((len(c.encode()) for c in got), np.int64, len(got))
+                first = r.start() + np.cumsum(sizes) - sizes
+                s, e = layer.origin(m.start() + shift, m.end())
+                left = first // 3 * 4 + first % 3
+                last = first + sizes - 1
+                right = np.minimum(last // 3 * 4 + last % 3 + 1, len(s) - 1)
+                yield Layer(got, s[np.minimum(left, len(s) - 1)], e[right])
 
 
 _URL_SAFE = str.maketrans("-_", "+/")
