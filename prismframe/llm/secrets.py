@@ -15,7 +15,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -41,13 +43,17 @@ ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: What compressed data start with: gzip, zlib, bz2, xz.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
-#: UTF-8 without control characters.
-READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++")
+#: UTF-8 without control characters, where it may be long enough.
+READABLE = re.compile(rb"(?=[\t\n\r\x20-\x7e\x80-\xf4]{16})(?:[\t\n\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++")
 #: No find, and nothing that unwraps to one, is shorter.
 SHORTEST = 16
 MASK = "[REDACTED]"
-#: Bytes that the layers of one document may hold beyond 32 times its text: nested bombs stop here, and `unfinished` says so.
-LAYER_BYTES = 8 << 20
+#: Characters that the layers of one document may hold in all: bombs stop here, `unfinished` says so, and redact() masks what was not scanned.
+LAYER_CHARS = 1 << 30
+#: Bytes that a decompressor takes and gives at a time; characters of a piece of what comes out, of those that the next piece repeats, and of the longest piece.
+CHUNK, PIECE, OVERLAP, LONGEST = 1 << 18, 2 << 20, 64 << 10, 32 << 20
+#: Neither base64 nor escapes, one line or many, run through these.
+BREAK = re.compile(r"(?<=\S)\x20(?=\S)|(?<=\s{64})\s|[^\sA-Za-z0-9+/_=.%\\{}&#;:\"'>-]")
 
 
 class Layer:
@@ -82,33 +88,95 @@ def find(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def inflate(data: bytes, limit: int) -> bytes | None:
-    """What compressed data hold, or None if they are none."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, limit)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, limit)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, limit)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=64 << 20).decompress(data, limit)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        pass
+class Packed:
+    """Compressed data from `end` on, all members.  After the pieces, `end` is the place behind them; `whole`: nothing is missing."""
+
+    def __init__(self, data: bytes, start: int = 0):
+        self.data, self.end, self.whole = data, start, True
+
+    def chunks(self):
+        while make := _decompressor(self.data[self.end : self.end + 6]):
+            d, at, size, dry, over = make(), self.end, 0, True, False
+            try:
+                while not d.eof:
+                    fed = getattr(d, "unconsumed_tail", b"")
+                    if not fed and (dry or getattr(d, "needs_input", False)):
+                        fed = self.data[at : at + CHUNK]
+                        at += len(fed)
+                    got = d.decompress(fed, CHUNK)
+                    dry = not got
+                    if dry and not fed and at >= len(self.data):
+                        break
+                    size += len(got)
+                    yield got
+            except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError) as e:
+                over = "limit" in str(e)
+            if not d.eof:
+                # A few bytes only happen to look like compressed data.
+                self.whole = size < SHORTEST and not over
+                self.end = self.end + 1 if self.whole else len(self.data)
+                return
+            self.end = at - len(d.unused_data)
+            while self.data[self.end : self.end + 1] == b"\0":  # padding between members
+                self.end += 1
+
+    def pieces(self):
+        """The text of the data, what is no UTF-8 replaced, in pieces that overlap and cut no run."""
+        decoder, held, new, size, since = codecs.getincrementaldecoder("utf-8")("replace"), "", [], 0, 0
+        for got in self.chunks():
+            new.append(decoder.decode(got))
+            size += len(new[-1])
+            if size < PIECE:
+                continue
+            held, new, size = "".join([held, *new]), [], 0
+            till = len(held) - OVERLAP
+            cut = 0
+            for k in range(till, since, -OVERLAP):  # the last one
+                for m in BREAK.finditer(held, max(since, k - OVERLAP), k):
+                    cut = m.start()
+                if cut:
+                    break
+            if not cut and len(held) >= LONGEST:
+                self.whole, cut = False, till
+            if cut:
+                yield held
+                held = held[cut:]
+            since = till - cut
+        held = "".join([held, *new, decoder.decode(b"", True)])
+        if len(held) >= 4:
+            yield held
+
+
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head == b"\xfd7zXZ\x00":
+        return lambda: lzma.LZMADecompressor(memlimit=256 << 20)
     return None
 
 
-def readable(data: bytes) -> str | None:
-    """Bytes as text, if they are UTF-8 without control characters."""
-    if len(data) < 4 or data.translate(None, _CONTROL) != data:
-        return None
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+class Work:
+    """What a scan may still take, and the spans of the text that it did not scan to their end."""
 
+    __slots__ = ("left", "stopped")
 
-_CONTROL = bytes([*range(9), 11, 12, *range(14, 32), 127])
+    def __init__(self):
+        self.left, self.stopped = LAYER_CHARS, []
+
+    def inflated(self, packed: Packed, a: int, b: int):
+        """Layers of packed data whose place is a..b."""
+        whole = True
+        for text in packed.pieces():
+            if self.left < 0:
+                whole = False
+                break
+            yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
+        if not (whole and packed.whole):
+            self.stopped.append((a, b))
 
 
 def _spread(parts: list, layer: Layer) -> Layer | None:
@@ -127,16 +195,18 @@ def _spread(parts: list, layer: Layer) -> Layer | None:
     return Layer("".join(text), np.concatenate(starts), np.concatenate(ends))
 
 
-def unwrap_percent(layer: Layer, limit: int):
+def unwrap_percent(layer: Layer, work: Work):
     at, parts = 0, []
     for m in PERCENT.finditer(layer.text):
         data = bytes.fromhex(m.group(0).replace("%", ""))
-        inner = inflate(data, limit)
-        if inner is not None:
-            got = readable(inner)
-            if got is not None:
-                parts += [(at, m.start()), (got, m.start(), m.end())]
-                at = m.end()
+        inner = work.inflated(Packed(data), *layer.span(m.start(), m.end()))
+        got = list(itertools.islice(inner, 2))
+        if len(got) == 1:
+            parts += [(at, m.start()), (got[0].text, m.start(), m.end())]
+            at = m.end()
+        elif got:
+            yield from itertools.chain(got, inner)
+        if got:
             continue
         try:
             # one character at a time, so that each keeps its own place
@@ -153,7 +223,7 @@ def unwrap_percent(layer: Layer, limit: int):
         yield _spread([*parts, (at, len(layer.text))], layer)
 
 
-def unwrap_escapes(layer: Layer, limit: int):
+def unwrap_escapes(layer: Layer, work: Work):
     at, parts = 0, []
     for m in ESCAPE.finditer(layer.text):
         code = int(m.group(6)) if m.group(6) else int(next(g for g in m.groups() if g), 16)
@@ -164,7 +234,7 @@ def unwrap_escapes(layer: Layer, limit: int):
         yield _spread([*parts, (at, len(layer.text))], layer)
 
 
-def unwrap_base64(layer: Layer, limit: int):
+def unwrap_base64(layer: Layer, work: Work):
     for m in BASE64.finditer(layer.text):
         run = m.group(0).rstrip("=").translate(_URL_SAFE)
         # A path or a key may stand before the data, and more behind them: with the groups of four begun at each of
@@ -177,18 +247,20 @@ def unwrap_base64(layer: Layer, limit: int):
             for head in PACKED.finditer(data):
                 if head.start() < taken:
                     continue
-                inner = inflate(data[head.start() :], limit)
-                got = readable(inner) if inner is not None else None
-                if got is not None:
-                    taken = len(data)
-                    yield _spread([(got, m.start(), m.end())], layer)
+                packed = Packed(data, head.start())
+                yield from work.inflated(packed, *layer.span(m.start(), m.end()))
+                taken = packed.end
             for r in READABLE.finditer(data):
                 if r.end() - r.start() < SHORTEST:
                     continue
                 got = r.group(0).decode("utf-8")
+                if layer.starts is not None and not layer.starts.strides[0]:  # all from one place
+                    yield Layer(got, np.broadcast_to(layer.starts[0], len(got)), np.broadcast_to(layer.ends[0], len(got)))
+                    continue
                 sizes = np.fromiter((len(c.encode()) for c in got), np.int64, len(got))
-                first = r.start() + np.cumsum(sizes) - sizes
-                s, e = layer.origin(m.start() + shift, m.end())
+                group = m.start() + shift + r.start() // 3 * 4
+                first = r.start() % 3 + np.cumsum(sizes) - sizes
+                s, e = layer.origin(group, min(group + (int(sizes.sum()) + 4) // 3 * 4 + 4, m.end()))
                 left = first // 3 * 4 + first % 3
                 last = first + sizes - 1
                 right = np.minimum(last // 3 * 4 + last % 3 + 1, len(s) - 1)
@@ -200,30 +272,40 @@ UNWRAP = (unwrap_percent, unwrap_escapes, unwrap_base64)
 
 
 def scan(text: str) -> tuple[list, list, int, bool]:
-    """Base finds; all finds as sorted distinct (start, end, kind, start of the value); layers; whether the limit stopped it."""
+    """Base finds; all finds as sorted distinct (start, end, kind, start of the value); layers; whether something was not scanned to its end."""
+    base, every, layers, stopped = scanned(text)
+    return base, every, layers, bool(stopped)
+
+
+def scanned(text: str) -> tuple[list, list, int, list]:
+    """scan(), with the spans that were not scanned to their end."""
     base = find(text)
-    every, layers, unfinished = {(a, b, k): v for a, b, k, v in base}, 1, False
-    left = LAYER_BYTES + 32 * len(text)
-    work, seen = [Layer(text, None, None)], {hash_of(text, 0, len(text))}
-    while work:
-        layer = work.pop()
-        for way in UNWRAP:
-            for new in way(layer, max(left, 1)):
-                a, b = (new.span(0, len(new.text)) if new.text else (0, 0))
-                key = hash_of(new.text, a, b)
-                if key in seen or not new.text:
-                    continue
-                seen.add(key)
-                left -= len(new.text)
-                if left < 0:
-                    unfinished = True
-                    continue
-                layers += 1
-                for s, e, kind, v in find(new.text):
-                    x, y = new.span(s, e)
-                    every.setdefault((x, y, kind), new.span(v, e)[0])
-                work.append(new)
-    return sorted(base, key=lambda f: (f[0], f[2])), sorted(((a, b, k, v) for (a, b, k), v in every.items()), key=lambda f: (f[0], f[2], f[1])), layers, unfinished
+    every, layers, work = {(a, b, k): v for a, b, k, v in base}, 1, Work()
+    unwrapped = lambda layer: (new for way in UNWRAP for new in way(layer, work))
+    # Depth first, so that pieces do not pile up.
+    stack, seen = [unwrapped(Layer(text, None, None))], {hash_of(text, 0, len(text))}
+    while stack:
+        new = next(stack[-1], None)
+        if new is None:
+            stack.pop()
+            continue
+        if not new.text:
+            continue
+        a, b = new.span(0, len(new.text))
+        work.left -= len(new.text)
+        key = hash_of(new.text, a, b)
+        if key in seen:
+            continue
+        if work.left < 0:
+            work.stopped.append((a, b))
+            continue
+        seen.add(key)
+        layers += 1
+        for s, e, kind, v in find(new.text):
+            x, y = new.span(s, e)
+            every.setdefault((x, y, kind), new.span(v, e)[0])
+        stack.append(unwrapped(new))
+    return sorted(base, key=lambda f: (f[0], f[2])), sorted(((a, b, k, v) for (a, b, k), v in every.items()), key=lambda f: (f[0], f[2], f[1])), layers, work.stopped
 
 
 def hash_of(text: str, a: int, b: int) -> bytes:
@@ -289,9 +371,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: str) -> str:
-    """The text with the value of every find, in any layer, replaced by MASK."""
+    """The text with the value of every find, in any layer, and what was not scanned to its end replaced by MASK."""
     out, at = [], 0
-    for a, b in merged([(v, b) for _, b, _, v in scan(text)[1]]):
+    _, every, _, stopped = scanned(text)
+    for a, b in merged([*((v, b) for _, b, _, v in every), *stopped]):
         out += [text[at:a], MASK]
         at = b
     return "".join([*out, text[at:]]) if out else text

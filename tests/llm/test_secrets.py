@@ -25,3 +25,43 @@ def test_base64_glued_to_a_path_or_a_key(pack, before, behind):
     assert any(k == 0 and a < at + len(body) and b > at for a, b, k, _ in every)
     left = secrets.masked(text)
     assert left.startswith("é before ") and left.endswith(" after") and body not in left and not secrets.scan(left)[1]
+
+
+def words(n):
+    return " ".join(f"w{k * 7919 % 100003}" for k in range(n))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_inflated_data_are_scanned_to_their_end(pack):
+    # More than 8 MB and 32 times the text, with the secret last.
+    big = pack((" " * 10_000_000 + "é" * 1_000_001 + TOKEN).encode())
+    for data in (big, pack(words(2_000_000).encode() + TOKEN.encode())):
+        text = f"before {base64.b64encode(data).decode()} after"
+        _, every, _, unfinished = secrets.scan(text)
+        assert not unfinished and any(k == 0 for _, _, k, _ in every)
+    assert secrets.masked(f"before {base64.b64encode(big).decode()} after") == f"before {secrets.MASK} after"
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_later_members_and_later_blobs(pack):
+    members = base64.b64encode(pack(b"nothing here, ") + pack(TOKEN.encode())).decode()
+    assert any(k == 0 for _, _, k, _ in secrets.scan(members)[1])
+    bomb = base64.b64encode(pack(b"a " * 6_000_000)).decode()
+    _, every, _, unfinished = secrets.scan(f"{bomb} {base64.b64encode(pack(TOKEN.encode())).decode()}")
+    assert not unfinished and any(k == 0 for _, _, k, _ in every)
+
+
+@pytest.mark.parametrize("cut", [3 << 20, (2 << 20) - 30, (2 << 20) + 10, (4 << 20) - 70])
+def test_nested_runs_over_the_border_of_a_piece(cut):
+    inner = base64.b64encode(("x" * 300_000 + TOKEN).encode()).decode()
+    text = base64.b64encode(zlib.compress((words(cut // 6)[:cut] + " " + inner + " " + words(10)).encode())).decode()
+    assert any(k == 0 for _, _, k, _ in secrets.scan(text)[1])
+
+
+def test_what_is_not_scanned_to_its_end_is_said_and_masked(monkeypatch):
+    body = base64.b64encode(zlib.compress(words(20_000).encode())).decode()
+    short = f"before {body[: len(body) // 2]} after"
+    assert secrets.scan(short)[3] and secrets.masked(short) == f"before {secrets.MASK} after"
+    assert not secrets.scan(body)[3]
+    monkeypatch.setattr(secrets, "LAYER_CHARS", 50_000)
+    assert secrets.scan(body)[3] and secrets.masked(f"before {body} after") == f"before {secrets.MASK} after"
