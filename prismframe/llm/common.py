@@ -289,7 +289,10 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
     n = len(raw)
     up, _ = _powers(n + 1)
     out = np.zeros(n + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up[:n], out=out[1:])
+    x = raw.astype(U64)
+    x += U64(1)
+    x *= up[:n]
+    np.cumsum(x, out=out[1:])
     return out
 
 

@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.report(read_table(spark, sf_dir, "documents"))
+    return spans.report(read_table(spark, sf_dir, "documents"), content=True)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
