@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prismframe.functions import crops, hashing
 from prismframe.functions.rng import batch_seed, between, row_seed, uniform
-from prismframe.operators import ordinal, store
+from prismframe.operators import fallback, ordinal, store
 from prismframe.operators.loader import Loader
 
 QUERIES: dict = {}
@@ -346,6 +346,16 @@ def fallback_rate(spark, d):
     return g.groupBy("width", "height").agg(F.round(F.avg(F.when(fits, 0.0).otherwise(1.0)), 6).alias("rate"))
 
 
+@query()
+def fallback_by_size(spark, d):
+    return fallback.by_size(meta(spark, d))
+
+
+@query()
+def fallback_estimate(spark, d):
+    return fallback.estimate(meta(spark, d))
+
+
 @query(f"WITH {META}, c AS (SELECT _idx, {u('lam')} AS lam, CAST(floor({u('cut/y')}*200) AS BIGINT) AS cy, CAST(floor({u('cut/x')}*160) AS BIGINT) AS cx FROM m), q AS (SELECT *, CAST(floor(floor(200*sqrt(1-lam))/2) AS BIGINT) AS ch, CAST(floor(floor(160*sqrt(1-lam))/2) AS BIGINT) AS cw FROM c), b AS (SELECT _idx, least(greatest(cy-ch,0),200) AS yl, least(greatest(cy+ch,0),200) AS yh, least(greatest(cx-cw,0),160) AS xl, least(greatest(cx+cw,0),160) AS xh FROM q) SELECT *, round(1 - (yh-yl)*(xh-xl)/32000.0::DOUBLE, 6) AS kept FROM b")
 def cutmix_bbox(spark, d):
     from prismframe.operators.mixup import kept_share
