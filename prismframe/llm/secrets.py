@@ -40,7 +40,9 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run, with the lines that go on with it: breaks may be escaped, and indented or quoted lines follow.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:(?:\\[rn]|\\?\r?\n)++[ \t>]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+BETWEEN = re.compile(r"(?:\\[rn]|\\?\r?\n)++[ \t>]*+")
 #: What compressed data start with: gzip, zlib, bz2, xz.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 #: UTF-8 without control characters, where it may be long enough.
@@ -224,19 +226,42 @@ def unwrap_percent(layer: Layer, work: Work):
 
 
 def unwrap_escapes(layer: Layer, work: Work):
-    at, parts = 0, []
+    at, parts, run = 0, [], []
     for m in ESCAPE.finditer(layer.text):
         code = int(m.group(6)) if m.group(6) else int(next(g for g in m.groups() if g), 16)
+        if run and (code > 255 or run[-1][1].end() != m.start()):
+            yield from _escaped_bytes(run, layer, work)
+            run = []
+        if code < 256:
+            run.append((code, m))
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
             parts += [(at, m.start()), (chr(code), m.start(), m.end())]
             at = m.end()
+    yield from _escaped_bytes(run, layer, work)
     if parts:
         yield _spread([*parts, (at, len(layer.text))], layer)
 
 
+def _escaped_bytes(run: list, layer: Layer, work: Work):
+    """Layers of compressed data in neighbouring escapes of bytes."""
+    data, taken = bytes(code for code, _ in run), 0
+    for head in PACKED.finditer(data):
+        if head.start() >= taken:
+            packed = Packed(data, head.start())
+            yield from work.inflated(packed, *layer.span(run[head.start()][1].start(), run[-1][1].end()))
+            taken = packed.end
+
+
 def unwrap_base64(layer: Layer, work: Work):
     for m in BASE64.finditer(layer.text):
-        run = m.group(0).rstrip("=").translate(_URL_SAFE)
+        run, place = m.group(0).rstrip("="), None
+        if "\n" in run or "\\" in run:  # lines are joined; place: of each character in the layer
+            keep = np.ones(len(run), bool)
+            for gap in BETWEEN.finditer(run):
+                keep[gap.start() : gap.end()] = False
+            place = m.start() + np.flatnonzero(keep)
+            run = BETWEEN.sub("", run)
+        run = run.translate(_URL_SAFE)
         # A path or a key may stand before the data, and more behind them: with the groups of four begun at each of
         # four places, any start is on a border of some decoding, and what is not the data's is unreadable or harmless.
         for shift in range(4):
@@ -258,9 +283,15 @@ def unwrap_base64(layer: Layer, work: Work):
                     yield Layer(got, np.broadcast_to(layer.starts[0], len(got)), np.broadcast_to(layer.ends[0], len(got)))
                     continue
                 sizes = np.fromiter((len(c.encode()) for c in got), np.int64, len(got))
-                group = m.start() + shift + r.start() // 3 * 4
+                group = shift + r.start() // 3 * 4
                 first = r.start() % 3 + np.cumsum(sizes) - sizes
-                s, e = layer.origin(group, min(group + (int(sizes.sum()) + 4) // 3 * 4 + 4, m.end()))
+                until = min(group + (int(sizes.sum()) + 4) // 3 * 4 + 4, len(run))
+                if place is None:
+                    s, e = layer.origin(m.start() + group, m.start() + until)
+                elif layer.starts is None:
+                    s, e = place[group:until], place[group:until] + 1
+                else:
+                    s, e = layer.starts[place[group:until]], layer.ends[place[group:until]]
                 left = first // 3 * 4 + first % 3
                 last = first + sizes - 1
                 right = np.minimum(last // 3 * 4 + last % 3 + 1, len(s) - 1)

@@ -65,3 +65,30 @@ def test_what_is_not_scanned_to_its_end_is_said_and_masked(monkeypatch):
     assert not secrets.scan(body)[3]
     monkeypatch.setattr(secrets, "LAYER_CHARS", 50_000)
     assert secrets.scan(body)[3] and secrets.masked(f"before {body} after") == f"before {secrets.MASK} after"
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\\n", "\\r\\n", "\\\n", "\n    ", "\n> "])
+def test_wrapped_base64(pack, width, line):
+    body = base64.b64encode(pack(("secrets " + words(60) + " é " + TOKEN + " end").encode())).decode()
+    body = line.join(body[k : k + width] for k in range(0, len(body), width))
+    text = f"é before\n\n{body} after"
+    _, every, _, unfinished = secrets.scan(text)
+    assert not unfinished and any(k == 0 for _, _, k, _ in every) and all(10 <= a < b <= 10 + len(body) for a, b, _, _ in every)
+    left = secrets.masked(text)
+    assert left.startswith("é before\n\n") and left.endswith(" after") and not secrets.scan(left)[1]
+    if pack is bytes:  # only the secret's own place
+        a, b = min(a for a, _, k, _ in every if k == 0), max(b for _, b, k, _ in every if k == 0)
+        assert text[a:b] in body and 4 * 40 // 3 < len(text[a:b].replace(line, "")) < 80
+        assert left.count(secrets.MASK) == 1
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+@pytest.mark.parametrize("escape", ["\\x{:02x}", "\\u{:04x}", "\\u00{:02X}", "&#{};", "\\u{{{:x}}}"])
+def test_compressed_bytes_as_escapes(pack, escape):
+    body = "".join(escape.format(b) for b in pack(TOKEN.encode()))
+    text = f"before {body} after"
+    _, every, _, unfinished = secrets.scan(text)
+    assert not unfinished and any(k == 0 for _, _, k, _ in every)
+    assert secrets.masked(text) == f"before {secrets.MASK} after"
