@@ -132,6 +132,14 @@ def store_load_batch_dups(spark, d):
     return store.load_batch(blobs(spark, d), ids, ["lang", "n"]).select("_at", "_idx", "lang", "n")
 
 
+@query("SELECT a.at AS _at, d.doc_id AS _idx, d.lang, d.n_chars AS n FROM (SELECT doc_id AS at, doc_id // 2 * 13 % (SELECT count(*) FROM documents) AS id FROM labels) a JOIN documents d ON d.doc_id = a.id")
+def store_load_batch_spread(spark, d):
+    rows = blobs(spark, d)
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("_at"), (F.floor(F.col("doc_id") / 2) * 13).alias("k"))
+    ids = ids.crossJoin(rows.agg(F.count("*").alias("c"))).select("_at", (F.col("k") % F.col("c")).alias("_idx"))
+    return store.load_batch(rows, ids, ["lang", "n"]).select("_at", "_idx", "lang", "n")
+
+
 @query("SELECT event_id AS _idx, CAST(user_id AS BIGINT) AS user_id, CAST(value AS DOUBLE) AS value, props FROM events")
 def store_numeric_cast(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("_idx"), "user_id", "value", "props")
@@ -149,6 +157,12 @@ def store_merge_shards(spark, d):
     return store.merged([rows, rows.where("_idx < 100")], [0, 1000000])
 
 
+@query("SELECT doc_id AS _idx, n_chars AS n FROM documents UNION ALL SELECT doc_id + 1 + (SELECT max(doc_id) FROM documents), n_chars FROM documents")
+def store_merge_whole_shards(spark, d):
+    rows = blobs(spark, d).select("_idx", "n")
+    return store.merged([rows, rows], [0, (rows.agg(F.max("_idx")).first()[0] or 0) + 1])
+
+
 @query("SELECT doc_id AS _idx, CASE WHEN doc_id % 50 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM documents WHERE doc_id % 50 = 0 OR doc_id % 31 = 0")
 def store_verify_hash(spark, d):
     rows = blobs(spark, d)
