@@ -187,6 +187,21 @@ def yuv_planes(spark, d):
     return spark.range(500).select(i.alias("_idx"), p.alias("p")).select("_idx", imagebytes.byte(F.col("p.y"), 0).alias("y0"), imagebytes.byte(F.col("p.u"), 0).alias("u0"), imagebytes.byte(F.col("p.v"), 0).alias("v0"))
 
 
+@query("WITH t AS (SELECT p_partkey AS _idx, p_partkey*7%256 AS y, p_partkey*11%256-128 AS u, p_partkey*13%256-128 AS v FROM part), q AS (SELECT _idx, y + ((91881*v+32768)>>16) AS r, y + ((-22554*u-46802*v+32768)>>16) AS g, y + ((116130*u+32768)>>16) AS b FROM t) SELECT _idx, CAST(least(greatest(r,0),255) AS BIGINT) AS r, CAST(least(greatest(g,0),255) AS BIGINT) AS g, CAST(least(greatest(b,0),255) AS BIGINT) AS b FROM q")
+def yuv_to_rgb_table(spark, d):
+    i = F.col("p_partkey")
+    return spark.read.parquet(f"{d}/part.parquet").select(i.alias("_idx"), imagebytes.yuv_to_rgb(i * 7 % 256, i * 11 % 256, i * 13 % 256).alias("c")).select("_idx", "c.*")
+
+
+@query("SELECT p_partkey AS _idx, " + ", ".join(" || ".join(f"lpad(to_hex(p_partkey*{2 * k + 3}%256), 2, '0')" for k in ks) + f" AS {n}" for n, ks in (("y", range(8)), ("u", (8, 9)), ("v", (10, 11)))) + " FROM part")
+def yuv_planes_table(spark, d):
+    """All bytes of the planes of an image of 4 x 2 for each row of part."""
+    i = F.col("p_partkey")
+    data = F.unhex(F.concat(*[F.lpad(F.hex(i * (2 * k + 3) % 256), 2, "0") for k in range(12)]))
+    p = imagebytes.yuv_planes(data, F.lit(4), F.lit(2))
+    return spark.read.parquet(f"{d}/part.parquet").select(i.alias("_idx"), p.alias("p")).select("_idx", *[F.hex(F.col(f"p.{c}")).alias(c) for c in "yuv"])
+
+
 _DEG, _X, _Y, _Z = f"radians(45-{u('deg')}*90)", f"({u('cx')}*2-1)", f"({u('cy')}*2-1)", f"(0.5::DOUBLE+{u('zoom')})"
 _ROT = ["cos(d)", "sin(d)", "x-cos(d)*x-sin(d)*y", "-sin(d)", "cos(d)", "y+sin(d)*x-cos(d)*y", "0", "0", "1"]
 
