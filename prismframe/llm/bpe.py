@@ -20,17 +20,18 @@ import json
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Texts, id_and_text, prefix_sums, span_hashes
+from .common import Texts, distinct_spans, give_back, id_and_text, ragged
 
 #: The byte-level word pattern of the public vocabulary files.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept with their ids by one worker; when there are more, the least are forgotten and encoded anew.
-CACHE_WORDS = 600_000
+#: Words kept with their ids by one worker; when there are more, all are forgotten and encoded anew.
+CACHE_WORDS = 250_000
+#: Pairs of tokens known to be compatible or not, likewise.
+COMPATIBLE = 500_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -67,12 +68,13 @@ class Vocabulary:
         self.length = [len(t) for t in self.token]
         self.good: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self._automaton(ids)
+        self._tokens = ids
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = regex.compile(WORDS)
 
-    def _automaton(self, ids: dict[bytes, int]) -> None:
+    def automaton(self) -> None:
         """States are the prefixes of tokens; ends[state]: the tokens that end there, longest first."""
+        ids = self._tokens
         self.step: list[dict[int, int]] = [{}]
         own, self.fail = [-1], [0]
         for s, i in ids.items():
@@ -128,7 +130,7 @@ class Vocabulary:
         key = (left, right)
         got = self.good.get(key)
         if got is None:
-            if len(self.good) > 2_000_000:
+            if len(self.good) > COMPATIBLE:
                 self.good.clear()
             got = self.good[key] = self._compatible(left, right)
         return got
@@ -258,47 +260,37 @@ def word_spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[first], at[ends], np.searchsorted(at[first], t.offsets)
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of all the items of ranges, one range after the other."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(lengths)
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
-
-
 class Encoder:
     """A vocabulary with the words that were encoded before."""
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.fresh = self.v.encode_words
-        self.cache: dict[int, bytes] = {}
+        self.fresh = self._walk()
+        self.cache: dict[bytes, bytes] = {}
         self.bytes = np.frombuffer(b"".join(self.v.token), np.uint8)
         self.lengths = np.array(self.v.length, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def _walk(self):
+        self.v.automaton()
+        return self.v.encode_words
+
     def _plain(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without added tokens, end to end, and each text's first."""
         starts, ends, firsts = word_spans(t)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(t) + 1, np.int64)
-        # The length goes into the key: words of one hash would need one length too.
-        hashes = span_hashes(prefix_sums(t.bytes), starts, ends) ^ (ends - starts).astype(np.uint64)
-        code, keys = pd.factorize(hashes)
-        keys, cache = keys.tolist(), self.cache
-        found = list(map(cache.get, keys))
+        code, first = distinct_spans(t.bytes, starts, ends)
+        raw, cache = t.bytes.tobytes(), self.cache
+        words = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
+        found = list(map(cache.get, words))
         new = [k for k, x in enumerate(found) if x is None]
         if new:
             if len(cache) + len(new) > CACHE_WORDS:
                 cache.clear()
-            where = np.empty(len(keys), np.int64)
-            where[code[::-1]] = np.arange(len(code))[::-1]
-            raw = t.bytes.tobytes()
-            a, b = starts[where[new]].tolist(), ends[where[new]].tolist()
-            words = sorted(zip([raw[x:y] for x, y in zip(a, b)], new))
-            for (_, k), ids in zip(words, self.fresh([w for w, _ in words])):
-                cache[keys[k]] = found[k] = array("i", ids).tobytes()
+            order = sorted(new, key=words.__getitem__)
+            for k, ids in zip(order, self.fresh([words[k] for k in order])):
+                cache[words[k]] = found[k] = array("i", ids).tobytes()
         table = np.frombuffer(b"".join(found), np.int32)
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         per_word = size[code]
@@ -360,6 +352,7 @@ def in_slices(batch: pa.RecordBatch, limit: int = 2 << 20, column: int = 1):
         stop = min(batch.num_rows, int(np.searchsorted(ends, before + limit)) + 1)
         yield batch.slice(start, stop - start)
         start = stop
+        give_back()
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ executor costs only the tasks it ran.
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 
 import numpy as np
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 #: Text bytes after which a chunk is closed. One document is never split.
 CHUNK_BYTES = 4 << 20
-#: Key ranges for each shuffle partition.
-BINS_PER_PARTITION = 2
+#: Key ranges for each shuffle partition at least, and text bytes whose keys a range holds at most, so that a task's memory does not grow with the input.
+BINS_PER_PARTITION, BIN_BYTES = 2, 16 << 20
+#: Keys that hold more than one in so many rows of a join are joined by broadcast: there are fewer than that.
+HOT_SHARE = 1000
 BLOB_SCHEMA = "bin int, chunk long, blob binary"
 BACK_SCHEMA = "chunk long, bin int, blob binary"
 U64 = np.uint64
@@ -44,7 +47,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, cut from its lineage by files in spark.checkpoint.dir (own folder only where that is unset)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -62,8 +68,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bins_for(spark: SparkSession) -> int:
-    return BINS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def bins_for(chunks: DataFrame) -> int:
+    """How many key ranges the statistics of these chunks are cut into."""
+    spark = chunks.sparkSession
+    return max(BINS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), chunks.count() * CHUNK_BYTES // BIN_BYTES)
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """big joined with small, which has a row for each key and in `n` how many rows of big have it.
+
+    Keys of more than total / HOT_SHARE rows are broadcast, so that no task gets
+    all rows of one key: of such keys there are at most HOT_SHARE for each `total`
+    rows that big has.
+    """
+    hot, cold = small.where(F.col("n") * HOT_SHARE > total), small.where(F.col("n") * HOT_SHARE <= total)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return big.join(F.broadcast(hot), keys).unionByName(rest).drop("n")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -131,7 +151,7 @@ def _close(batch: pa.RecordBatch | pa.Table, number: int) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
         w.write(batch)
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["chunk", "payload", "n_rows"])
 
 
 def _text_sizes(batch: pa.RecordBatch) -> np.ndarray:
@@ -161,8 +181,8 @@ def _chunker(limit: int):
 
 
 def make_chunks(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, payload): the rows of docs, with all their columns, packed and written to the checkpoint folder."""
-    return checkpointed(docs.mapInArrow(_chunker(limit), "chunk long, payload binary"))
+    """(chunk, payload, n_rows): the rows of docs, with all their columns, packed and written to the checkpoint folder."""
+    return checkpointed(docs.mapInArrow(_chunker(limit), "chunk long, payload binary, n_rows long"))
 
 
 def open_chunk(payload: bytes) -> pa.Table:
@@ -186,13 +206,24 @@ class Texts:
         self.bytes = raw[o[0] : o[-1]]
         self.offsets = o - o[0]
 
+    @classmethod
+    def of(cls, raw: np.ndarray, offsets: np.ndarray) -> Texts:
+        """Texts of these bytes."""
+        t = cls.__new__(cls)
+        t.bytes, t.offsets = raw, offsets
+        return t
+
     def __len__(self):
         return len(self.offsets) - 1
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def lowered(raw: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all other bytes as they are."""
-    return np.where((raw >= 65) & (raw <= 90), raw | np.uint8(32), raw)
+    return _LOWER[raw]
 
 
 _SPACE = np.zeros(256, bool)
@@ -260,18 +291,15 @@ def runs_per_text(gone: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.diff(sums[offsets]).astype(np.int64), np.diff(starts[offsets]).astype(np.int64)
 
 
-# --- 64-bit hashes ------------------------------------------------------------
+# --- hashes of strings ---------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_POW: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n:
-        size = max(n, 1 << 16)
-        _POW[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)])) for b in (_BASE, _BASE_INV)]
-    return _POW[0], _POW[1]
+#: Bytes hashed at a time: what fits the processor's caches, whatever the chunk's size.
+HASH_STEP = 1 << 18
+#: Strings longer than this are hashed one by one.
+LONG_STRING = 64
+#: Start and factor of each lane. Fixed, so that every worker agrees.
+_LANES = ((U64(0x2D358DCCAA6C78A5), U64(0x9E3779B97F4A7C15)), (U64(0x8BB84B93962EACC9), U64(0xC2B2AE3D27D4EB4F)))
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -284,38 +312,114 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """For span_hashes(), of bytes or of 64-bit items."""
-    n = len(raw)
-    up, _ = _powers(n + 1)
-    out = np.zeros(n + 1, U64)
-    x = raw.astype(U64)
-    x += U64(1)
-    x *= up[:n]
-    np.cumsum(x, out=out[1:])
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span (starts ascending); both lanes together are 128 bits.
+
+    Eight bytes at a time go through mix(), so no sum or polynomial of the bytes
+    decides: strings of one length up to eight bytes never collide, longer ones
+    only by chance.
+    """
+    seed, factor = _LANES[lane]
+    out = np.empty(len(starts), U64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(raw) + 1, HASH_STEP)), [0, len(starts)]))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        low = int(starts[a])
+        part = np.zeros(int(starts[b - 1]) - low + LONG_STRING + 8, np.uint8)
+        own = raw[low : low + len(part)]
+        part[: len(own)] = own
+        words = np.ascontiguousarray(np.ndarray(len(part) - 7, "<u8", part, strides=(1,)))
+        at, size = starts[a:b] - low, ends[a:b] - starts[a:b]
+        h = size.astype(U64) * factor + seed
+        some = np.arange(b - a)
+        for k in range(0, LONG_STRING, 8):
+            if k:
+                some = some[size[some] > k]
+                if not len(some):
+                    break
+            got = words[at[some] + k] & _FIRST_BYTES[np.minimum(size[some] - k, 8)]
+            h[some] = mix((h[some] ^ got) * factor)
+        for k in np.flatnonzero(size > LONG_STRING).tolist():
+            digest = hashlib.blake2b(raw[starts[a + k] : ends[a + k]].tobytes(), digest_size=16).digest()
+            h[k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+        out[a:b] = h
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes, equal hashes."""
-    return mix((sums[ends] - sums[starts]) * _powers(len(sums))[1][starts])
+def item_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of items, which are 64-bit hashes themselves; for short runs."""
+    seed, factor = _LANES[lane]
+    size = ends - starts
+    h = size.astype(U64) * factor + seed
+    some, k = np.flatnonzero(size > 0), 0
+    while len(some):
+        h[some] = mix((h[some] ^ items[starts[some] + k]) * factor)
+        k += 1
+        some = some[size[some] > k]
+    return h
 
 
 def run_hashes(items: np.ndarray, width: int, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `width` items that lie in one text; firsts: the texts' first items, and the end. Also each run's first item."""
+    """item_hashes() of all runs of `width` items that lie in one text; firsts: the texts' first items, and the end. Also each run's first item."""
     n = len(items) - width + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    h = np.zeros(n, U64)
-    for k in range(width):
-        h *= U64(_BASE)
-        h += items[k : n + k]
     ok = np.ones(n, bool)
     for k in range(1, width):
         cut = firsts[1:-1] - k
         ok[cut[(cut >= 0) & (cut < n)]] = False
+    seed, factor = _LANES[0]
+    h = np.full(n, (width * int(factor) + int(seed)) % 2**64, U64)
+    for k in range(width):
+        h ^= items[k : n + k]
+        h *= factor
+        h = mix(h)
     at = np.flatnonzero(ok)
-    return mix(h[at]), at
+    return h[at], at
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of all the items of ranges, one range after the other."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lengths)
+    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte span (starts ascending) the number of its string, and each string's first span. Bytes decide."""
+    import pandas as pd
+
+    code, kinds = pd.factorize(span_hashes(raw, starts, ends))
+    first = np.empty(len(kinds), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    size, same = ends - starts, first[code]
+    long = np.flatnonzero((size > 8) & (same != np.arange(len(code))))  # the others are equal if hash and size are
+    equal = (size == size[same]).all()
+    for k in range(0, len(long), HASH_STEP >> 3) if equal else ():
+        some = long[k : k + (HASH_STEP >> 3)]
+        equal = equal and np.array_equal(raw[ragged(starts[some], size[some])], raw[ragged(starts[same[some]], size[some])])
+    if not equal:
+        data, seen = raw.tobytes(), {}
+        code = np.fromiter((seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+        first = np.empty(len(seen), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+    return code, first
+
+
+# --- memory of workers -----------------------------------------------------------
+
+_TRIM: list = []
+
+
+def give_back() -> None:
+    """Gives freed memory back to the system: Spark uses its Python workers again, and they would keep the largest chunk's."""
+    if not _TRIM:
+        import ctypes
+
+        _TRIM.append(getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0))
+    pa.default_memory_pool().release_unused()
+    _TRIM[0](0)
 
 
 # --- the exchange ---------------------------------------------------------------
@@ -355,6 +459,7 @@ def emit(chunks: DataFrame, function, schema: str = BLOB_SCHEMA) -> DataFrame:
         for b in batches:
             for number, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 yield from function(number, open_chunk(payload.as_buffer()))
+                give_back()
 
     return chunks.mapInArrow(run, schema)
 
@@ -368,6 +473,7 @@ def reduce_bins(blobs: DataFrame, function, schema: str = BACK_SCHEMA) -> DataFr
 
     def run(table: pa.Table) -> pa.Table:
         got = function(table.column("bin")[0].as_py(), table.column("chunk").to_pylist(), table.column("blob").to_pylist())
+        give_back()
         return (pa.Table.from_batches([got]) if isinstance(got, pa.RecordBatch) else got).cast(out)
 
     return blobs.groupBy("bin").applyInArrow(run, schema)
@@ -389,6 +495,7 @@ def apply_back(chunks: DataFrame, back: DataFrame, function, schema) -> DataFram
         blobs = right.column("blob").to_pylist() if right.num_rows else []
         for number, payload in zip(left.column("chunk").to_pylist(), left.column("payload").combine_chunks() if left.num_rows else []):
             parts.append(function(number, open_chunk(payload.as_buffer()), blobs))
+            give_back()
         parts = [pa.Table.from_batches([p]) if isinstance(p, pa.RecordBatch) else p for p in parts]
         return pa.concat_tables([p.cast(out) for p in parts]) if parts else out.empty_table()
 

@@ -25,16 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, checkpointed, cut_bins, emit, free, id_and_text, lowered, make_chunks, mix, narrow, pack_arrays, prefix_sums, reduce_bins, span_hashes, unpack_arrays, word_bounds
+from .common import BACK_SCHEMA, U64, Texts, apply_back, back_rows, bins_for, by_bin, checkpointed, cut_bins, emit, free, id_and_text, lowered, make_chunks, mix, narrow, pack_arrays, reduce_bins, span_hashes, unpack_arrays, word_bounds
 
 #: Weight of the unigram model, in counts.
 PRIOR = 1000.0
 FOLDS, HELD_OUT = 5, 1
 _END = U64(0x5DEECE66D1234567)
 _PAIR = U64(0xC2B2AE3D27D4EB4F)
-#: Bigrams are counted by the upper 48 bits of their hash (words by all 64): of a million million bigrams about
-#: one in 280 would share its count with another, and what they save is a third of all that is moved.
-_SHORT = U64(0xFFFFFFFFFFFF0000)
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -55,25 +52,24 @@ class Grams:
         inner = np.ones(len(self.words), bool)
         inner[last] = False
         self.words[last] = _END
-        self.words[inner] = span_hashes(prefix_sums(raw), starts, ends)
+        self.words[inner] = span_hashes(raw, starts, ends)
         self.held = held_out(table.column("doc_id").to_pylist())
         before = np.empty_like(self.words)
         before[1:] = self.words[:-1]
         before[self.firsts[:-1]] = _END  # a text begins where another ended
         self.train = np.repeat(~self.held, np.diff(self.firsts))
         self.single, self.at_single, self.count_single = self._count(mix(self.words))
-        self.double, self.at_double, self.count_double = self._count(mix(before * _PAIR + self.words) & _SHORT)
+        self.double, self.at_double, self.count_double = self._count(mix(mix(before * _PAIR) ^ self.words))
         self.at_before = np.searchsorted(self.single, mix(before)) if len(before) else np.zeros(0, np.int64)
 
     def _count(self, keys: np.ndarray):
         distinct, at = np.unique(keys, return_inverse=True)
         return distinct, at, np.bincount(at[self.train], minlength=len(distinct))
 
-
     def sorted_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """All keys in order, as they are sent, and where each stood among words and then bigrams."""
         keys = np.concatenate([self.single, self.double])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys, kind="stable")  # of a word and a bigram with one key, the word first
         return keys[order], order
 
     def learn(self, bins: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,23 +92,30 @@ def _emit(bins: int):
     return run
 
 
-TOTALS = -1
+SUMS_SCHEMA = BACK_SCHEMA + ", tokens long, kinds long"
 
 
 def _sum(number: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    """For each chunk the corpus counts of the keys it sent, in their order; and the bin's N and V, under the chunk number TOTALS."""
+    """For each chunk the corpus counts of the keys it sent, in their order; and, with no chunk, the bin's N and V."""
     parts = [unpack_arrays(b) for b in blobs]
     keys = np.concatenate([p[0] for p in parts])
     own = np.concatenate([p[1].astype(np.int64) for p in parts])
     single = np.concatenate([p[2].astype(bool) for p in parts])
-    # A word and a bigram with one key stay apart: the lowest bits of a bigram's are free.
-    keys = np.where(single, keys, keys | U64(1))
-    distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(at, own, len(distinct)).astype(np.int64)
-    words = single[first]
-    back = np.split(total[at], np.cumsum([len(p[0]) for p in parts])[:-1])
-    sums = pack_arrays(np.array([total[words].sum(), np.count_nonzero(total[words])]))
-    return back_rows([TOTALS, *chunks], number, [sums, *(pack_arrays(np.array([number]), narrow(x)) for x in back)])
+    # A word and a bigram with one key stay apart.
+    order = np.lexsort((single, keys))
+    k, w = keys[order], single[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+    begin = np.flatnonzero(new)
+    sums = np.add.reduceat(own[order], begin) if len(begin) else own
+    total = np.empty(len(k), np.int64)
+    total[order] = np.repeat(sums, np.diff(np.append(begin, len(k))))
+    words = w[begin]
+    back = np.split(total, np.cumsum([len(p[0]) for p in parts])[:-1])
+    rows = back_rows([None, *chunks], number, [None, *(pack_arrays(np.array([number]), narrow(x)) for x in back)])
+    none = [None] * len(chunks)
+    total_columns = [pa.array([int(sums[words].sum()), *none], pa.int64()), pa.array([int(np.count_nonzero(sums[words])), *none], pa.int64())]
+    return pa.RecordBatch.from_arrays([*rows.columns, *total_columns], [*rows.schema.names, "tokens", "kinds"])
 
 
 class Automaton:
@@ -146,10 +149,9 @@ def report(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     other columns are left out.
     """
     chunks = make_chunks(id_and_text(docs))
-    bins = bins_for(docs.sparkSession)
-    back = checkpointed(reduce_bins(emit(chunks, _emit(bins)), _sum))
-    pair = F.udf(lambda b: unpack_arrays(bytes(b))[0].tolist(), "array<long>")
-    n, v = back.where(F.col("chunk") == TOTALS).select(pair("blob").alias("t")).agg(F.coalesce(F.sum(F.col("t")[0]), F.lit(0)), F.coalesce(F.sum(F.col("t")[1]), F.lit(0))).first()
+    bins = bins_for(chunks)
+    back = checkpointed(reduce_bins(emit(chunks, _emit(bins)), _sum, SUMS_SCHEMA))
+    n, v = back.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     free(docs.sparkSession)
 
     def run(number, table, blobs):
@@ -161,4 +163,4 @@ def report(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
         rows = len(g.held)
         return pa.table([table.column("doc_id"), pa.array(g.held), pa.array(np.diff(g.firsts)), pa.array(np.diff(known[g.firsts])), pa.array(np.full(rows, n, np.int64)), pa.array(base), pa.array(model.walk(g))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return apply_back(chunks, back.where(F.col("chunk") != TOTALS), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return apply_back(chunks, back.where("chunk is not null").select("chunk", "bin", "blob"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, checkpointed, cut_bins, emit, free, lowered, make_chunks, mix, narrow, pack_arrays, prefix_sums, reduce_bins, row_ids, run_hashes, span_hashes, unpack_arrays, word_bounds
+from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, checkpointed, cut_bins, emit, free, item_hashes, join_hot, lowered, make_chunks, mix, narrow, pack_arrays, ragged, reduce_bins, row_ids, run_hashes, span_hashes, unpack_arrays, word_bounds
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: Document frequencies are counted by this many bits of a shingle's hash; links are verified on all 64.
-DF_SHIFT = U64(16)
+#: Texts of one side of a task that pairs a band's texts.
+GRID = 2000
 #: Precomputed draws of the sampling; a shingle takes one by its hash, another for each sample.
 POOL_BITS = 16
 
@@ -49,13 +49,13 @@ def shingles(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = Texts(table.column("text"))
     raw = lowered(t.bytes)
     starts, ends, firsts = word_bounds(t)
-    words = span_hashes(prefix_sums(raw), starts, ends)
+    words = span_hashes(raw, starts, ends)
     keys, at = run_hashes(words, WORDS, firsts)
     text = np.searchsorted(firsts, at, "right") - 1
     size = np.diff(firsts)
     short = np.flatnonzero((size > 0) & (size < WORDS))
     if len(short):
-        own = span_hashes(prefix_sums(words), firsts[short], firsts[short + 1]) ^ size[short].astype(U64)
+        own = item_hashes(words, firsts[short], firsts[short + 1])
         keys, text = np.concatenate([keys, own]), np.concatenate([text, short])
     order = np.lexsort((keys, text))
     keys, text = keys[order], text[order]
@@ -68,7 +68,7 @@ def shingles(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _emit(bins: int):
     def run(number, table):
         keys, _, firsts = shingles(table)
-        distinct, counts = np.unique(keys >> DF_SHIFT << DF_SHIFT, return_counts=True)
+        distinct, counts = np.unique(keys, return_counts=True)
         if len(distinct):
             yield by_bin(number, bins, distinct, counts)
 
@@ -156,8 +156,7 @@ def _apply(total: int, bins: int):
     def run(number, table, blobs):
         keys, tf, firsts = shingles(table)
         n = table.num_rows
-        coarse = keys >> DF_SHIFT << DF_SHIFT
-        distinct, at, df = np.unique(coarse, return_inverse=True, return_counts=True)
+        distinct, at, df = np.unique(keys, return_inverse=True, return_counts=True)
         cuts = cut_bins(distinct, bins)
         for bin_, others in map(unpack_arrays, blobs):
             df[cuts[bin_[0]] : cuts[bin_[0] + 1]] += others
@@ -169,8 +168,6 @@ def _apply(total: int, bins: int):
         bands: list = [None] * n
         bags: list = [None] * n
         if len(rows):
-            from .bpe import ragged
-
             size = np.diff(firsts)[rows]
             pick = ragged(firsts[:-1][rows], size)
             samples = Sampler()(keys[pick], w[pick], np.append(0, np.cumsum(size)))
@@ -232,62 +229,76 @@ def components(links: DataFrame) -> DataFrame:
     end when none changes.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    old = state(edges)
     while True:
         # large star: neighbours above a node go to the least of it and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both.where("v > u"), least, ["u"], old[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the same for a node and its neighbours below
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = checkpointed(small)
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = new
-        if same:
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, ["u"], old[0]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = checkpointed(small)
+        new = state(edges)
+        if new == old:
             break
+        old = new
     return edges.select(F.col("u").alias("row"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("row"), F.col("v").alias("root"))).distinct()
 
 
 def classes(chunks: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(row, doc_id, class_row): every row of the chunks, and the row that stands for its class."""
     spark = chunks.sparkSession
-
-    def count(batches):
-        for b in batches:
-            for payload in b.column(1):
-                n = sum(x.num_rows for x in pa.ipc.open_stream(payload.as_buffer()))
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    total = chunks.mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bins = bins_for(spark)
+    total = chunks.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    bins = bins_for(chunks)
     rows = checkpointed(apply_back(chunks, reduce_bins(emit(chunks, _emit(bins)), _frequencies), _apply(total, bins), ROWS_SCHEMA))
     free(spark)
     # Equal texts: the row with the least doc_id (null first) stands for them.
-    texts = rows.groupBy("text_a", "text_b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "row"))["row"].alias("node"))
-    own = checkpointed(rows.select("row", "doc_id", "text_a", "text_b", "shared", "weight", F.col("bag").isNotNull().alias("sampled")).join(texts, ["text_a", "text_b"]).select("row", "doc_id", "node", "shared", "weight", "sampled"))
+    texts = rows.groupBy("text_a", "text_b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "row"))["row"].alias("node"), F.count("*").alias("n"))
+    own = checkpointed(join_hot(rows.select("row", "doc_id", "text_a", "text_b", "shared", "weight", F.col("bag").isNotNull().alias("sampled")), texts, ["text_a", "text_b"], total).select("row", "doc_id", "node", "shared", "weight", "sampled"))
     nodes = own.where("row = node and sampled").select("row", "shared", "weight")
     bags = rows.where("bag is not null").select("row", "bag")
     members = checkpointed(rows.where("bag is not null").select("row", F.explode("bands").alias("band")).join(nodes, "row"))
     # First each band against its best placed text.
-    best = members.groupBy("band").agg(F.max(F.struct("shared", (-F.col("row")).alias("minus"))).alias("m"), F.count("*").alias("n")).where("n > 1").select("band", (-F.col("m.minus")).alias("b"))
-    first = checkpointed(members.join(best, "band").where("row <> b").select(F.col("row").alias("a"), "b").distinct())
+    best = members.groupBy("band").agg(F.max(F.struct("shared", (-F.col("row")).alias("minus"))).alias("m"), F.count("*").alias("n")).where("n > 1").select("band", (-F.col("m.minus")).alias("b"), "n")
+    first = checkpointed(join_hot(members, best, ["band"], total).where("row <> b").select(F.col("row").alias("a"), "b").distinct())
     links = checkpointed(_verified(first.select(F.col("b").alias("a"), F.col("a").alias("b")), bags, total, least))
     root = components(links)
     free(spark)
-    # Then what is left: pairs of a band in different classes. No more of them can be alike than the lesser shared
-    # weight, which must be least / (1 + least) of both weights. A pair comes up in the first band it shares only.
-    split = members.join(root, "row", "left").select("band", "row", "weight", (F.col("shared") * F.col("weight")).alias("common"), F.coalesce("root", "row").alias("root"))
-    mixed = split.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    split = split.join(mixed, "band").join(rows.where("bag is not null").select("row", "bands"), "row")
-    x, y = split.alias("x"), split.alias("y")
-    enough = F.least(F.col("x.common"), F.col("y.common")) >= (least / (1 + least) * (1 - 1e-9)) * (F.col("x.weight") + F.col("y.weight"))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & enough & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))
+    rest = _unlike(members.join(root, "row", "left").withColumn("root", F.coalesce("root", "row")), rows, total, least)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).join(tried, ["a", "b"], "left_anti")
-    more = checkpointed(_verified(checkpointed(rest), bags, total, least))
+    more = checkpointed(_verified(checkpointed(rest.join(tried, ["a", "b"], "left_anti")), bags, total, least))
     if not more.isEmpty():
         root = components(links.unionByName(more))
-    return own.join(root.select(F.col("row").alias("node"), "root"), "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("class_row"))
+    heads = own.groupBy("node").agg(F.count("*").alias("n")).join(root.select(F.col("row").alias("node"), "root"), "node", "left")
+    return join_hot(own, heads, ["node"], total).select("row", "doc_id", F.coalesce("root", "node").alias("class_row"))
+
+
+def _unlike(members: DataFrame, rows: DataFrame, total: int, least: float) -> DataFrame:
+    """The pairs (a, b) of a band's texts that lie in different classes so far and may be alike.
+
+    Most of a band is usually one class, its major one, so pairs are made of the
+    texts outside it with each other and with all the band.  Bands are dealt to a
+    grid: a task gets GRID texts of each side at most.  No more of two texts can be
+    alike than the lesser shared weight, which must be least / (1 + least) of both
+    weights.  A pair comes up in the first band it shares only.
+    """
+    split = members.select("band", "row", "weight", (F.col("shared") * F.col("weight")).alias("common"), "root")
+    counts = split.groupBy("band", "root").agg(F.count("*").alias("c"))
+    bands = counts.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    bands = checkpointed(bands.select("band", F.col("m.root").alias("major"), "n", F.col("n").alias("all"), (F.col("n") - F.col("m.c")).alias("few")))
+    split = checkpointed(join_hot(split, bands, ["band"], total).join(rows.where("bag is not null").select("row", "bands"), "row"))
+    place = lambda count: F.pmod(F.xxhash64("row"), F.ceil(F.col(count) / GRID)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / GRID).cast("int") - 1))
+    kept = ["band", "row", "weight", "common", "root", "major", "bands"]
+    x = split.where("root <> major").select(*kept, place("few").alias("i"), every("all").alias("j")).alias("x")
+    y = split.select(*kept, place("all").alias("j"), every("few").alias("i")).alias("y")
+    enough = F.least(F.col("x.common"), F.col("y.common")) >= (least / (1 + least) * (1 - 1e-9)) * (F.col("x.weight") + F.col("y.weight"))
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.row") < F.col("y.row"))
+    pairs = x.join(y, same & (F.col("x.root") != F.col("y.root")) & once & enough & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))
+    return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -299,7 +310,8 @@ def report(docs: DataFrame) -> DataFrame:
     """
     found = checkpointed(classes(make_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))))
     heads = found.groupBy("class_row").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("order"), "row", "doc_id")).alias("m"), F.count("*").alias("class_size"))
-    return found.join(heads, "class_row").select("doc_id", F.col("m.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("m.row")).alias("keep"))
+    heads = heads.select("class_row", "m", "class_size", F.col("class_size").alias("n"))
+    return join_hot(found, heads, ["class_row"], found.count()).select("doc_id", F.col("m.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("m.row")).alias("keep"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -45,11 +45,13 @@ class LibraryEncoder(Encoder):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(path)
         self.library = Tokenizer.from_file(path)
-        self.fresh = self._fresh
+        super().__init__(path)
+
+    def _walk(self):
+        return self._library_ids
 
-    def _fresh(self, words: list[bytes]) -> list[list[int]]:
+    def _library_ids(self, words: list[bytes]) -> list[list[int]]:
         # Each is one word of the library's own pattern, so it stands for itself.
         many = self.library.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
         return [x.ids for x in many]

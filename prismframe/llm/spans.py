@@ -1,6 +1,6 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of SPAN consecutive sentences is hashed, runs are matched over the whole
+Every run of SPAN consecutive sentences is hashed to 128 bits, runs are matched over the whole
 corpus, and each sentence that a run covers which is not the first of its kind (by
 doc_id, then place) is removed.  A chunk settles its own repeats; only its first
 run of each kind is matched with those of other chunks.
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, cut_out, doc_keys, emit, from_least, lowered, make_chunks, narrow, pack_arrays, prefix_sums, reduce_bins, runs_per_text, span_hashes, to_ids, unpack_arrays, with_texts, word_bounds
+from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, cut_out, doc_keys, emit, from_least, item_hashes, lowered, make_chunks, narrow, pack_arrays, reduce_bins, runs_per_text, span_hashes, to_ids, unpack_arrays, with_texts, word_bounds
 
 SPAN = 3
 LONG = 16
@@ -47,20 +47,20 @@ def least_of(near: int, words: np.ndarray, at: np.ndarray, size: np.ndarray) ->
     return chosen
 
 
-def sentences(t: Texts, content: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, hash and units of each sentence, whether spans begin there, and each text's first sentence."""
+def sentences(t: Texts, content: bool = False) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, hash (both lanes) and units of each sentence, whether spans begin there, and each text's first sentence."""
     raw = lowered(t.bytes)
     starts, ends, firsts = word_bounds(t)
     n = len(starts)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(len(t) + 1, np.int64)
-    words = span_hashes(prefix_sums(raw), starts, ends)
+        return np.zeros(0, np.int64), [np.zeros(0, U64)] * 2, np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(len(t) + 1, np.int64)
+    words, other = (span_hashes(raw, starts, ends, lane) for lane in (0, 1))
     last = raw[ends - 1]
     stop = (last == 46) | (last == 33) | (last == 63)
     wide = ends - starts >= 3
     three = raw[ends - 3].astype(np.int64) << 16 | raw[ends - 2].astype(np.int64) << 8 | last
     stop |= wide & np.isin(three, [0xE38082, 0xEFBC81, 0xEFBC9F])
-    lines = np.append(0, np.cumsum(raw == 10))
+    lines = np.append(0, np.cumsum(raw == 10, dtype=np.int32))
     stop[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     begin = np.empty(n, bool)
     begin[0], begin[1:] = True, stop[:-1]
@@ -80,16 +80,16 @@ def sentences(t: Texts, content: bool = False) -> tuple[np.ndarray, np.ndarray,
         at = np.repeat(at, pieces) + LONG * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     if not (content and cut.any()):
         units, starting = np.full(len(at), UNIT), np.ones(len(at), bool)
-    own = span_hashes(prefix_sums(words), at, np.append(at[1:], n))
+    own = [item_hashes(x, at, np.append(at[1:], n), lane) for lane, x in enumerate((words, other))]
     return starts[at], own, units, starting, np.searchsorted(at, firsts)
 
 
-def span_runs(own: np.ndarray, units: np.ndarray, starting: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first sentence and the place behind the last one of all spans that lie in one text."""
+def span_runs(own: list[np.ndarray], units: np.ndarray, starting: np.ndarray, firsts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hash (both lanes), first sentence and the place behind the last one of all spans that lie in one text."""
     total = np.append(0, np.cumsum(units))
     stop = np.searchsorted(total, total[:-1] + SPAN * UNIT)
     at = np.flatnonzero(starting & (stop <= np.repeat(firsts[1:], np.diff(firsts))))
-    return span_hashes(prefix_sums(own), at, stop[at]), at, stop[at]
+    return [item_hashes(x, at, stop[at], lane) for lane, x in enumerate(own)], at, stop[at]
 
 
 class _Spans:
@@ -99,14 +99,14 @@ class _Spans:
         self.t = Texts(table.column("text"))
         self.begin, own, units, starting, self.firsts = sentences(self.t, content)
         keys, at, stop = span_runs(own, units, starting, self.firsts)
-        self.stop = np.zeros(len(own), np.int64)
+        self.stop = np.zeros(len(self.begin), np.int64)
         self.stop[at] = stop
         docs = doc_keys(table)
         text = np.searchsorted(self.firsts, at, "right") - 1
-        order = np.lexsort((at, docs[text], keys))
-        self.keys, self.at, self.docs = keys[order], at[order], docs[text][order]
+        order = np.lexsort((at, docs[text], keys[1], keys[0]))
+        self.keys, self.check, self.at, self.docs = keys[0][order], keys[1][order], at[order], docs[text][order]
         self.first = np.ones(len(at), bool)
-        self.first[1:] = self.keys[1:] != self.keys[:-1]
+        self.first[1:] = (self.keys[1:] != self.keys[:-1]) | (self.check[1:] != self.check[:-1])
 
     def gone(self, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sentences to remove, and their bytes; later: spans that stand first here, but not in the corpus."""
@@ -133,7 +133,7 @@ def _emit(bins: int, content: bool):
         s = _Spans(table, content)
         if len(s.at):
             docs, low = from_least(s.docs[s.first])
-            yield by_bin(number, bins, s.keys[s.first], docs, s.at[s.first], whole=(low,))
+            yield by_bin(number, bins, s.keys[s.first], docs, s.at[s.first], s.check[s.first], whole=(low,))
 
     return run
 
@@ -142,19 +142,20 @@ def _later(number: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch
     """For each chunk the spans that an earlier span of another chunk equals."""
     parts = [unpack_arrays(b) for b in blobs]
     keys = np.concatenate([p[0] for p in parts])
-    docs = np.concatenate([to_ids(p[1], p[3]) for p in parts])
+    docs = np.concatenate([to_ids(p[1], p[4]) for p in parts])
     at = np.concatenate([p[2].astype(np.int64) for p in parts])
     chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
-    order = np.lexsort((at, chunk, docs, keys))
-    k = keys[order]
-    again = order[1:][k[1:] == k[:-1]]
+    check = np.concatenate([p[3].astype(U64) for p in parts])
+    order = np.lexsort((at, chunk, docs, check, keys))
+    k, c = keys[order], check[order]
+    again = order[1:][(k[1:] == k[:-1]) & (c[1:] == c[:-1])]
     again = again[np.argsort(chunk[again], kind="stable")]
     to, begin = np.unique(chunk[again], return_index=True)
     return back_rows(to.tolist(), number, [pack_arrays(narrow(x)) for x in np.split(at[again], begin[1:])] if len(to) else [])
 
 
 def _matched(chunks: DataFrame, content: bool) -> DataFrame:
-    return reduce_bins(emit(chunks, _emit(bins_for(chunks.sparkSession), content)), _later)
+    return reduce_bins(emit(chunks, _emit(bins_for(chunks), content)), _later)
 
 
 def _read(blobs: list[bytes]) -> np.ndarray:

@@ -19,8 +19,9 @@ Stretches that repeat within a chunk are settled there, and equal stretches are
 merged before the passes, so a passage in every document costs one entry a chunk.
 A digit that more than HOT stretches have (a phrase in very many contexts) would
 still fill one task: its windows are dealt by a digit of their whole DEPTH bytes
-instead, one entry a chunk for each, compared by 96 bits of hash.  Elsewhere only
-bytes decide that windows are equal; hashes only deal them out.
+instead, one entry a chunk for each; first the digits alone, then the bytes of those
+that another chunk has too.  Hashes only deal windows out: bytes decide that they
+are equal, in the passes and everywhere else.
 """
 
 from __future__ import annotations
@@ -31,8 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import ragged
-from .common import U64, Texts, apply_back, back_rows, bins_for, by_bin, cut_bins, cut_out, doc_keys, emit, from_least, make_chunks, mix, narrow, pack_arrays, prefix_sums, reduce_bins, runs_per_text, span_hashes, to_ids, unpack_arrays, with_texts, _powers, blob_rows
+from .common import BLOB_SCHEMA, U64, Texts, apply_back, back_rows, bins_for, blob_rows, by_bin, checkpointed, cut_bins, cut_out, doc_keys, emit, from_least, make_chunks, mix, narrow, pack_arrays, ragged, reduce_bins, runs_per_text, to_ids, unpack_arrays, with_texts
 
 DEPTH = 100
 SEED = 32
@@ -56,6 +56,18 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
+def _seeds(raw: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` (a multiple of eight) bytes from each place on."""
+    words = np.ascontiguousarray(np.ndarray(len(raw) - 7, "<u8", np.ascontiguousarray(raw), strides=(1,)))
+    n = len(raw) - size + 1
+    h = words[:n] * U64(0x9E3779B97F4A7C15)
+    for k in range(8, size, 8):
+        h ^= h >> U64(29)
+        h += words[k : k + n]
+        h *= U64(0xC2B2AE3D27D4EB4F)
+    return mix(h)
+
+
 def stretches(t: Texts, depth: int = DEPTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, count of windows, digit, and whether windows may repeat inside, of every stretch; windows are numbered by their first byte in the chunk.
 
@@ -65,20 +77,17 @@ def stretches(t: Texts, depth: int = DEPTH, seed: int = SEED) -> tuple[np.ndarra
     """
     starts, counts, digits, inners = [], [], [], []
     reach = depth - seed
-    groups = np.searchsorted(t.offsets, np.arange(0, len(t.bytes), STEP))
-    groups = np.unique(np.append(groups, len(t)))
-    for a, b in zip(groups, groups[1:]):
-        low, high = int(t.offsets[a]), int(t.offsets[b])
-        n = high - low - depth + 1
-        if n <= 0:
-            continue
-        sums = prefix_sums(t.bytes[low:high])
-        h = mix((sums[seed:] - sums[:-seed]) * _powers(len(sums))[1][: len(sums) - seed])
+    edges = t.offsets[1:-1]
+    for low in range(0, len(t.bytes) - depth + 1, STEP):
+        n = min(STEP, len(t.bytes) - depth + 1 - low)
+        h = _seeds(t.bytes[low : low + n + depth - 1], seed)
         digit = _least(h, depth - seed + 1)
-        ok = np.ones(n, bool)
-        ends = t.offsets[a + 1 : b] - low
-        bad = ragged(np.maximum(ends - depth + 1, 0), np.minimum(ends, n) - np.maximum(ends - depth + 1, 0)) if len(ends) and (np.minimum(ends, n) >= np.maximum(ends - depth + 1, 0)).all() else np.concatenate([np.zeros(0, np.int64), *(np.arange(max(e - depth + 1, 0), min(e, n)) for e in ends.tolist())])
-        ok[bad] = False
+        # windows that reach over the end of a text are none
+        ends = edges[np.searchsorted(edges, low, "right") : np.searchsorted(edges, low + n + depth - 1)] - low
+        over = np.zeros(n + 1, np.int32)
+        np.add.at(over, np.maximum(ends - depth + 1, 0), 1)
+        np.add.at(over, np.minimum(ends, n), -1)
+        ok = np.cumsum(over[:n]) == 0
         begin = ok.copy()
         begin[1:] &= ~ok[:-1] | (digit[1:] != digit[:-1])
         at = np.flatnonzero(begin)
@@ -114,20 +123,37 @@ def _emit_digits(bins: int, depth: int):
     return run
 
 
-def _shared(number: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    """For each chunk the digits that another chunk has too, and which of them are hot."""
-    parts = [unpack_arrays(b) for b in blobs]
-    keys, at, many = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
-    hot = np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)) > HOT
-    out_chunks, out, start = [], [], 0
-    for c, p in zip(chunks, parts):
-        mine = at[start : start + len(p[0])]
-        start += len(p[0])
-        own = many[mine] > 1
-        if own.any():
-            out_chunks.append(c)
-            out.append(pack_arrays(p[0][own], hot[mine][own].astype(np.uint8)))
-    return back_rows(out_chunks, number, out)
+SHARED_SCHEMA = "chunk long, bin int, blob binary, hot long"
+DIGITS, WINDOW_DIGITS = 0, 1
+
+
+def _shared(kind: int, limit: int | None):
+    def run(number: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        """For each chunk the digits that another chunk has too, and which of them more than `limit` stretches have."""
+        parts = [unpack_arrays(b) for b in blobs]
+        keys, at, many = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
+        hot = np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)) > (np.inf if limit is None else limit)
+        out_chunks, out, count, start = [], [], [], 0
+        for c, p in zip(chunks, parts):
+            mine = at[start : start + len(p[0])]
+            start += len(p[0])
+            own = many[mine] > 1
+            if own.any():
+                out_chunks.append(c)
+                out.append(pack_arrays(np.array([kind], np.uint8), p[0][own], hot[mine][own].astype(np.uint8)))
+                count.append(int(hot[mine][own].sum()))
+        rows = back_rows(out_chunks, number, out)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(count, pa.int64())], [*rows.schema.names, "hot"])
+
+    return run
+
+
+def _told(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _shared() said: digits of stretches, which of them are hot, and digits of single windows."""
+    got = [unpack_arrays(b) for b in blobs]
+    some = lambda kind: [g for g in got if g[0][0] == kind]
+    join = lambda parts: np.concatenate([np.zeros(0, U64), *parts])
+    return join(g[1] for g in some(DIGITS)), join(g[1][g[2] > 0] for g in some(DIGITS)), join(g[1] for g in some(WINDOW_DIGITS))
 
 
 def equal_strings(raw: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -139,74 +165,95 @@ def equal_strings(raw: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.nda
     return out
 
 
-def _emit_stretches(bins: int, depth: int):
-    def run(number, table, blobs):
-        t = Texts(table.column("text"))
-        start, count, digit, inner = stretches(t, depth)
-        got = [unpack_arrays(b) for b in blobs]
-        shared = np.concatenate([np.zeros(0, U64), *(g[0] for g in got)])
-        hot_ones = np.concatenate([np.zeros(0, U64), *(g[0][g[1] > 0] for g in got)])
-        kinds, at, many = np.unique(digit, return_inverse=True, return_counts=True)
-        wanted = many > 1
-        wanted[np.searchsorted(kinds, shared)] = True
-        own = np.flatnonzero(wanted[at] | inner)
-        if not len(own):
-            return blob_rows([], [], [])
+class _Stretches:
+    """The stretches of a chunk that may have an equal, in the order of the corpus and each only once; `gone`: the others of each."""
+
+    def __init__(self, table: pa.Table, blobs: list[bytes], depth: int):
+        t = self.t = Texts(table.column("text"))
+        self.start, self.count, self.digit, self.inner = stretches(t, depth)
+        shared, hot, self.windows = _told(blobs)
+        kinds, at, many = np.unique(self.digit, return_inverse=True, return_counts=True)
+        outside = np.zeros(len(kinds), bool)
+        outside[np.searchsorted(kinds, shared)] = True
+        own = np.flatnonzero(((many > 1) | outside)[at] | self.inner)
         # in the order of the corpus, so that the first of equal stretches is the one that stays
         docs = doc_keys(table)
-        text = np.searchsorted(t.offsets, start[own], "right") - 1
-        order = np.lexsort((start[own], text, docs[text]))
+        text = np.searchsorted(t.offsets, self.start[own], "right") - 1
+        order = np.lexsort((self.start[own], text, docs[text]))
         own, text = own[order], text[order]
-        first = equal_strings(t.bytes, start[own], count[own] + depth - 1, digit[own])
+        first = equal_strings(t.bytes, self.start[own], self.count[own] + depth - 1, self.digit[own])
         stays = first == np.arange(len(own))
-        gone = own[~stays]
+        self.gone = own[~stays]
         # Alone in the chunk and in the corpus once copies are merged: nothing left to compare.
         own, text = own[stays], text[stays]
-        alone = np.zeros(len(kinds), np.int64)
-        np.add.at(alone, at[own], 1)
-        outside = np.zeros(len(kinds), bool)
-        outside[np.searchsorted(kinds, shared)] = True
-        keep = outside[at[own]] | (alone[at[own]] > 1) | inner[own]
-        own, text = own[keep], text[keep]
+        alone = np.bincount(at[own], minlength=len(kinds))
+        keep = outside[at[own]] | (alone[at[own]] > 1) | self.inner[own]
+        self.own, self.docs = own[keep], docs[text[keep]]
+        self.hot = np.isin(self.digit[self.own], hot)
+
+    def single_windows(self, depth: int):
+        """The windows of hot digits, the first of equal ones, with their documents and digits; and the others."""
+        own = self.own[self.hot]
+        at = np.repeat(self.start[own], self.count[own]) + ragged(np.zeros(len(own), np.int64), self.count[own])
+        docs = np.repeat(self.docs[self.hot], self.count[own])
+        equal, begin = radix_groups(self.t.bytes, at, np.zeros(len(at), np.int64), depth)
+        again = np.zeros(len(at), bool)
+        again[equal[~begin]] = True
+        key = window_digits(self.t.bytes, at[~again], depth)
+        order = np.argsort(key, kind="stable")
+        return at[~again][order], docs[~again][order], key[order], at[again]
+
+
+def window_digits(raw: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """A digit of the `depth` bytes from each place on."""
+    wide = np.concatenate([raw, np.zeros(8, np.uint8)])
+    h = np.full(len(at), depth, U64)
+    for place in range(0, depth, 8):
+        word = np.zeros(len(at), U64)
+        for k in range(min(8, depth - place)):
+            word = word << U64(8) | wide[at + (place + k)]
+        h = mix(h ^ word)
+    return h
+
+
+def _emit_window_digits(bins: int, depth: int):
+    def run(number, table, blobs):
+        digits = np.unique(_Stretches(table, blobs, depth).single_windows(depth)[2])
+        return by_bin(number, bins, digits, np.ones(len(digits), np.int64))
+
+    return run
+
+
+def _emit_stretches(bins: int, depth: int):
+    def run(number, table, blobs):
+        s = _Stretches(table, blobs, depth)
+        t, start, count, digit, inner = s.t, s.start, s.count, s.digit, s.inner
         # Windows of hot digits one by one; the order of the corpus is kept.
-        is_hot = np.isin(digit[own], hot_ones)
-        w_start, w_docs, w_key, w_check, again = _single_windows(t, start[own[is_hot]], count[own[is_hot]], docs[text[is_hot]], depth)
-        settled = pack_arrays(np.concatenate([start[gone], again]), np.concatenate([count[gone], np.ones(len(again), np.int64)]))
-        gone = np.concatenate([gone, again])
-        own, text = own[~is_hot], text[~is_hot]
+        w_start, w_docs, w_key, again = s.single_windows(depth)
+        some = np.isin(w_key, s.windows)
+        w_start, w_docs, w_key = w_start[some], w_docs[some], w_key[some]
+        gone = np.concatenate([s.gone, again])
+        settled = pack_arrays(np.concatenate([start[s.gone], again]), np.concatenate([count[s.gone], np.ones(len(again), np.int64)]))
+        own, docs = s.own[~s.hot], s.docs[~s.hot]
         by = np.argsort(digit[own], kind="stable")
-        own, text = own[by], text[by]
+        own, docs = own[by], docs[by]
         cuts, w_cuts = cut_bins(digit[own], bins), cut_bins(w_key, bins)
         rows, out = [], []
-        for b in np.flatnonzero(np.diff(cuts) + np.diff(w_cuts)).tolist():
-            x = own[cuts[b] : cuts[b + 1]]
+        used = np.flatnonzero(np.diff(cuts) + np.diff(w_cuts)).tolist()
+        for b in used or [0] if len(gone) else used:
+            x = slice(cuts[b], cuts[b + 1])
             w = slice(w_cuts[b], w_cuts[b + 1])
             w_ids, w_low = from_least(w_docs[w])
-            ids, low = from_least(docs[text[cuts[b] : cuts[b + 1]]])
+            ids, low = from_least(docs[x])
+            w_bytes = t.bytes[ragged(w_start[w], np.full(w.stop - w.start, depth))]
+            x = own[x]
             rows.append(b)
-            out.append(pack_arrays(digit[x], narrow(ids), low, narrow(start[x]), narrow(count[x]), t.bytes[ragged(start[x], count[x] + depth - 1)], inner[x].view(np.uint8), np.frombuffer(settled if not rows[:-1] else b"", np.uint8), w_key[w], w_check[w], narrow(w_ids), w_low, narrow(w_start[w])))
-        if not rows and len(gone):
-            rows, out = [0], [pack_arrays(np.zeros(0, U64), np.zeros(0, np.uint8), np.zeros(1, np.int64), *[np.zeros(0, np.uint8)] * 4, np.frombuffer(settled, np.uint8), np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.uint8))]
+            out.append(pack_arrays(digit[x], narrow(ids), low, narrow(start[x]), narrow(count[x]), t.bytes[ragged(start[x], count[x] + depth - 1)], inner[x].view(np.uint8), np.frombuffer(settled if not rows[:-1] else b"", np.uint8), w_key[w], w_bytes, narrow(w_ids), w_low, narrow(w_start[w])))
         return blob_rows(rows, [number] * len(rows), out)
 
     return run
 
 
-def _single_windows(t: Texts, start: np.ndarray, count: np.ndarray, docs: np.ndarray, depth: int):
-    """The windows of stretches (in the order of the corpus) by their digits, the first of equal ones; and the first bytes of the others."""
-    at, ids = np.repeat(start, count) + ragged(np.zeros(len(start), np.int64), count), np.repeat(docs, count)
-    if not len(at):
-        return at, ids, np.zeros(0, U64), np.zeros(0, np.uint32), at
-    sums = prefix_sums(t.bytes)
-    key = span_hashes(sums, at, at + depth)
-    check = (span_hashes(sums, at + depth // 3, at + depth) >> U64(32)).astype(np.uint32)
-    order = np.lexsort((np.arange(len(at)), check, key))
-    first = np.ones(len(at), bool)
-    first[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
-    own = order[first]
-    return at[own], ids[own], key[own], check[own], at[order[~first]]
-
-
 def radix_groups(raw: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorts suffixes (their first bytes in raw: at) group by group through `depth` bytes, most significant digit first.
 
@@ -281,17 +328,24 @@ def _repeated(depth: int):
                 out_chunk.append(chunk[own[begins]])
                 out_start.append(window[begins])
                 out_count.append(np.diff(np.append(begins, len(later))))
-        # Windows of hot digits: the later ones of one digit and check.
-        key, check = np.concatenate([p[8] for p in parts]), np.concatenate([p[9] for p in parts])
+        # Windows of hot digits: each digit's are compared byte by byte.
+        key = np.concatenate([p[8] for p in parts])
         if len(key):
-            ids = np.concatenate([to_ids(p[10], p[11]) for p in parts])
+            w_raw, ids = np.concatenate([p[9] for p in parts]), np.concatenate([to_ids(p[10], p[11]) for p in parts])
             w_start = np.concatenate([p[12].astype(np.int64) for p in parts])
             w_chunk = np.repeat(np.array(chunks, np.int64), [len(p[8]) for p in parts])
-            order = np.lexsort((w_start, w_chunk, ids, check, key))
-            again = order[1:][(key[order][1:] == key[order][:-1]) & (check[order][1:] == check[order][:-1])]
-            out_chunk.append(w_chunk[again])
-            out_start.append(w_start[again])
-            out_count.append(np.ones(len(again), np.int64))
+            order = np.lexsort((w_start, w_chunk, ids, key))
+            edge = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order))
+            turn = 0
+            while turn < len(edge) - 1:
+                stop = max(turn + 1, int(np.searchsorted(edge, edge[turn] + WINDOWS, "right")) - 1)
+                some = order[edge[turn] : edge[stop]]
+                turn = stop
+                found, first = radix_groups(w_raw, some * depth, key[some].view(np.int64), depth)
+                again = some[found[~first]]
+                out_chunk.append(w_chunk[again])
+                out_start.append(w_start[again])
+                out_count.append(np.ones(len(again), np.int64))
         for c, p in zip(chunks, parts):
             if len(p[7]):
                 s, n = unpack_arrays(p[7].tobytes())
@@ -318,9 +372,13 @@ def _gone(t: Texts, blobs: list[bytes], depth: int) -> np.ndarray:
 
 
 def _matched(chunks: DataFrame, depth: int) -> DataFrame:
-    bins = bins_for(chunks.sparkSession)
-    shared = reduce_bins(emit(chunks, _emit_digits(bins, depth)), _shared)
-    moved = apply_back(chunks, shared, _emit_stretches(bins, depth), "bin int, chunk long, blob binary")
+    bins = bins_for(chunks)
+    shared = checkpointed(reduce_bins(emit(chunks, _emit_digits(bins, depth)), _shared(DIGITS, HOT), SHARED_SCHEMA))
+    told = shared.drop("hot")
+    if not shared.where("hot > 0").isEmpty():
+        windows = apply_back(chunks, told, _emit_window_digits(bins, depth), BLOB_SCHEMA)
+        told = told.unionByName(reduce_bins(windows, _shared(WINDOW_DIGITS, None), SHARED_SCHEMA).drop("hot"))
+    moved = apply_back(chunks, told, _emit_stretches(bins, depth), BLOB_SCHEMA)
     return reduce_bins(moved, _repeated(depth))
 
 

@@ -39,16 +39,12 @@ def test_suffix_windows(table):
 
 
 def test_hot_digits_give_the_same(table, monkeypatch):
-    monkeypatch.setattr(suffixes, "_shared", lambda *a, f=suffixes._shared: with_hot(f, 3, *a))
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "WINDOWS", 500)
     got = sorted((cases.key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.report(table).collect())
     assert got == cases.windows(pairs(table), suffixes.DEPTH)
 
 
-def with_hot(f, limit, *a):
-    f.__globals__["HOT"] = limit
-    return f(*a)
-
-
 def test_language_model(table):
     got = sorted((cases.key(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.report(table).collect())
     want = cases.language_model(pairs(table), lm.PRIOR)
@@ -74,6 +70,29 @@ def test_rewriting_keeps_rows_and_columns(table):
     assert len(kept) == sum(r.keep for r in neardup.report(table).collect())
 
 
+def test_thue_morse_words_are_not_one(spark):
+    """Words on which sums modulo powers of two collide, in every operator that hashes words."""
+    from tests.llm.test_rows import thue_morse
+
+    a, b = thue_morse(2048)
+    rows = [(0, f"{a} x. {a} y. {a} z."), (1, f"{b} x. {b} y. {b} z."), (2, f"{a} x. {a} y. {a} z."), (3, f"{a} {b} {a} {a} {a} x y"), (4, f"{b} {b} {a} {a} {a} x y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_sentences, r.n_removed, r.kept_sha256) for r in spans.report(table).collect())
+    assert got == cases.spans(rows, spans.SPAN, spans.LONG) and [g[2] for g in got] == [0, 0, 3, 0, 0]
+    got = sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.report(table).collect())
+    assert got == [(w[0], w[3], *w[5:]) for w in cases.language_model(rows, lm.PRIOR)]
+    assert sorted((r.doc_id, r.class_id) for r in neardup.report(table).collect()) == cases.near_classes(rows, neardup.WORDS, neardup.SIMILARITY)
+
+
+def test_bands_of_unlike_texts_are_paired_in_blocks(spark, monkeypatch):
+    """A band that every text shares, most of them in one class: all other pairs come up once."""
+    monkeypatch.setattr(neardup, "GRID", 3)
+    members = spark.createDataFrame([(7, k, 1.0, 1.0, 0 if k < 20 else k) for k in range(31)], "band long, row long, shared double, weight double, root long")
+    rows = spark.createDataFrame([(k, [7], b"x") for k in range(31)], "row long, bands array<long>, bag binary")
+    got = sorted((r.a, r.b) for r in neardup._unlike(members, rows, 31, 0.8).collect())
+    assert got == sorted((a, b) for b in range(31) for a in range(b) if b >= 20)
+
+
 def test_large_group_of_near_copies_is_one_class(spark):
     words = [f"w{k}" for k in range(300)]
     rows = [(k, " ".join(words[: 5 * k % 290] + [f"x{k}"] + words[5 * k % 290 + 1 :])) for k in range(120)]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from prismframe.llm import ann, bpe, flac, packing, secrets, toxicity
+from prismframe.llm import ann, bpe, common, flac, packing, secrets, toxicity
 from prismframe.llm.queries import vocabulary_path
 from tests.llm import cases
 
@@ -207,3 +207,44 @@ def test_neighbours(spark):
         assert found == sorted(found, key=lambda f: (-f[1], f[0]))
     assert hit >= 0.9 * 20 * len(got)
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word on which sums modulo powers of two collide, and its complement."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_told_apart_by_their_bytes(library):
+    texts = [w for n in (1024, 2048, 4096) for w in thue_morse(n)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for e in (bpe.encoder(vocabulary_path()), packing.library_encoder(vocabulary_path())):
+        ids, firsts = e.ids(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(firsts, firsts[1:])] == want
+
+
+def test_distinct_spans_when_hashes_collide(monkeypatch):
+    raw = np.frombuffer(b"one two one three two one", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12, 18, 22]), np.array([3, 7, 11, 17, 21, 25])
+    want = [0, 1, 0, 2, 1, 0]
+    assert common.distinct_spans(raw, starts, ends)[0].tolist() == want
+    monkeypatch.setattr(common, "span_hashes", lambda *a: np.ones(6, np.uint64))
+    code, first = common.distinct_spans(raw, starts, ends)
+    assert code.tolist() == want and first.tolist() == [0, 1, 3]
+
+
+def test_toxicity_beside_a_column_of_the_same_name(spark):
+    rows = [(k, "vile word " * 20 if k % 3 == 0 else "kind text " * 20, 0.5, "x") for k in range(200)] + [(200, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity_score double, score_of_text string")
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, marks)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert {r.doc_id % 3 for r in kept.where("doc_id < 200").collect()} == {1, 2} and kept.where("doc_id = 200 and text is null").count() == 1
+    assert toxicity.drop_toxic(docs.limit(0), marks).count() == 0
+
+
+def test_long_labelled_texts_are_shortened_over_their_whole_length():
+    text = " ".join(f"w{k}" for k in range(20_000))
+    short = toxicity.shortened(pa.array([text, "A b", "", None]), 4096)
+    words = short[0].split()
+    assert len(words) == 4096 and words[0] == b"w0" and words[-1] == b"w19999" and short[1:] == [b"a b", b"", b""]
