@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prismframe.functions.rng import between, uniform
+from prismframe.functions.rng import between, let, uniform
 
 #: Decode scales, least first.
 SCALES = ((1, 8), (1, 4), (3, 8), (1, 2), (5, 8), (3, 4), (7, 8), (1, 1))
@@ -37,8 +37,12 @@ def centre(w: Column, h: Column, size: int | Column) -> Column:
 
 def aligned(r: Column, w: Column, h: Column, size: int = 8) -> Column:
     """A rectangle moved out to block borders: its place down, its end up, within the image."""
-    x, y = align(r["x"], size), align(r["y"], size)
-    return rect(x, y, F.least(align(r["w"] + r["x"] - x, size, True), w - x), F.least(align(r["h"] + r["y"] - y, size, True), h - y))
+
+    def moved(r: Column) -> Column:
+        x, y = align(r["x"], size), align(r["y"], size)
+        return rect(x, y, F.least(align(r["w"] + r["x"] - x, size, True), w - x), F.least(align(r["h"] + r["y"] - y, size, True), h - y))
+
+    return let(r, moved)
 
 
 def about(cx: Column, cy: Column, w: Column, h: Column, cw: Column, ch: Column) -> Column:
@@ -55,25 +59,33 @@ def random_resized(w: Column, h: Column, key: Column, salt: str = "rrc", scale=(
     def attempt(k: Column) -> Column:
         area = w * h * between(*scale, uniform(F.concat(F.lit(f"{salt}/s"), k.cast("string")), key))
         aspect = F.exp(between(math.log(ratio[0]), math.log(ratio[1]), uniform(F.concat(F.lit(f"{salt}/r"), k.cast("string")), key)))
-        return F.struct(whole(F.sqrt(area * aspect)).alias("w"), whole(F.sqrt(area / aspect)).alias("h"))
+        return let(F.struct(area.alias("a"), aspect.alias("r")), lambda t: F.struct(whole(F.sqrt(t["a"] * t["r"])).alias("w"), whole(F.sqrt(t["a"] / t["r"])).alias("h")))
 
-    fits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), attempt), lambda c: (c["w"] > 0) & (c["w"] <= w) & (c["h"] > 0) & (c["h"] <= h))
-    first = F.get(fits, F.lit(0))
-    return F.when(first.isNull(), centre(w, h, F.least(w, h))).otherwise(about(cx, cy, w, h, first["w"], first["h"]))
+    # A try is drawn only where none before it fits.
+    fits = lambda c: (c["w"] > 0) & (c["w"] <= w) & (c["h"] > 0) & (c["h"] <= h)
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.lit(None).cast("struct<w:bigint,h:bigint>"), lambda got, k: F.when(got.isNotNull(), got).otherwise(let(attempt(k), lambda c: F.when(fits(c), c))))
+    return let(first, lambda c: F.when(c.isNull(), centre(w, h, F.least(w, h))).otherwise(about(cx, cy, w, h, c["w"], c["h"])))
 
 
 def direct_resized(w: Column, h: Column, key: Column, salt: str = "rrc", scale=(0.08, 1.0), ratio=(3 / 4, 4 / 3)) -> Column:
     """No tries: aspect from the feasible interval, then area up to what that aspect allows."""
     cx, cy = uniform(f"{salt}/cx", key), uniform(f"{salt}/cy", key)
     wf, hf = w.cast("double"), h.cast("double")
-    low = F.greatest(F.lit(float(ratio[0])), wf * scale[0] / hf)
-    high = F.least(F.lit(float(ratio[1])), wf / (hf * scale[0]))
-    r = F.exp(F.ln(low) + uniform(f"{salt}/r", key) * (F.ln(high) - F.ln(low)))
-    most = F.greatest(F.least(F.lit(float(scale[1])), wf / hf / r, hf * r / wf), F.lit(float(scale[0])))
-    area = wf * hf * (F.lit(float(scale[0])) + uniform(f"{salt}/s", key) * (most - F.lit(float(scale[0]))))
-    cw = F.greatest(F.least(whole(F.sqrt(area * r)), w), F.lit(1))
-    ch = F.greatest(F.least(whole(F.sqrt(area / r)), h), F.lit(1))
-    return F.when(low > high, centre(w, h, F.least(w, h))).otherwise(about(cx, cy, w, h, cw, ch))
+    least_r = F.greatest(F.lit(float(ratio[0])), wf * scale[0] / hf)
+    most_r = F.least(F.lit(float(ratio[1])), wf / (hf * scale[0]))
+
+    def area_of(r: Column) -> Column:
+        most = F.greatest(F.least(F.lit(float(scale[1])), wf / hf / r, hf * r / wf), F.lit(float(scale[0])))
+        return wf * hf * (F.lit(float(scale[0])) + uniform(f"{salt}/s", key) * (most - F.lit(float(scale[0]))))
+
+    def size_of(t: Column) -> Column:
+        cw = F.greatest(F.least(whole(F.sqrt(t["a"] * t["r"])), w), F.lit(1))
+        ch = F.greatest(F.least(whole(F.sqrt(t["a"] / t["r"])), h), F.lit(1))
+        return F.struct(cw.alias("w"), ch.alias("h"))
+
+    aspect = let(F.struct(F.ln(least_r).alias("low"), F.ln(most_r).alias("high")), lambda t: F.exp(t["low"] + uniform(f"{salt}/r", key) * (t["high"] - t["low"])))
+    placed = let(let(let(aspect, lambda r: F.struct(area_of(r).alias("a"), r.alias("r"))), size_of), lambda c: about(cx, cy, w, h, c["w"], c["h"]))
+    return F.when(least_r > most_r, centre(w, h, F.least(w, h))).otherwise(placed)
 
 
 def short_edge_scale(w: Column, h: Column, target: Column) -> Column:
@@ -131,3 +143,20 @@ def cutout(h: int, w: int, lam: Column, cy: Column, cx: Column) -> Column:
     ch, cw = halved(F.floor(F.lit(h) * cut)), halved(F.floor(F.lit(w) * cut))
     clip = lambda v, top: F.least(F.greatest(v, F.lit(0)), F.lit(top)).cast("long")
     return F.struct(clip(cy - ch, h).alias("yl"), clip(cy + ch, h).alias("yh"), clip(cx - cw, w).alias("xl"), clip(cx + cw, w).alias("xh"))
+
+
+def cutout_between(h: int, w: int, share: tuple[float, float], uh: Column, uw: Column, uy: Column, ux: Column) -> Column:
+    """(yl, yh, xl, xh) of a box whose sides are drawn between shares of the image's, placed anywhere in it."""
+    side = lambda n, u: int(n * share[0]) + F.floor(u * (max(int(n * share[1]), int(n * share[0]) + 1) - int(n * share[0])))
+
+    def placed(t: Column) -> Column:
+        low = lambda n, size, u: F.floor(u * F.greatest(F.lit(n) - size, F.lit(0))).cast("long")
+        y, x = low(h, t["h"], uy), low(w, t["w"], ux)
+        return F.struct(y.alias("yl"), F.least(y + t["h"], F.lit(h)).cast("long").alias("yh"), x.alias("xl"), F.least(x + t["w"], F.lit(w)).cast("long").alias("xh"))
+
+    return let(F.struct(side(h, uh).alias("h"), side(w, uw).alias("w")), placed)
+
+
+def centre_share(w: Column, h: Column, share: float) -> Column:
+    """The middle square whose side is a share of the shorter edge."""
+    return centre(w, h, F.greatest(F.floor(F.least(w, h) * share), F.lit(1)))

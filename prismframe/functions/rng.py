@@ -17,6 +17,11 @@ def uniform(salt: str | Column, key: str | Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", salt, key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once a row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def between(low: float, high: float, u: Column) -> Column:
     return F.lit(float(low)) + u * F.lit(float(high) - float(low))
 
