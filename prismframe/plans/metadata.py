@@ -43,6 +43,11 @@ def u(salt: str, key: str = "_idx") -> str:
     return f"(CAST(('0x' || substr(md5({salt} || '|' || CAST({key} AS VARCHAR)),1,8)) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
+def half_up(x, digits: int):
+    """A double rounded as SQL engines that have no exact decimals do it: scaled, moved by one half, cut. F.round() looks at the decimal digits, which differs where ties are many."""
+    return F.floor(x * 10.0**digits + F.lit(0.5)) / F.lit(10.0**digits)
+
+
 def epoch(n: int, source: str = "m", key: str = "_idx") -> str:
     return f"o AS (SELECT *, row_number() OVER (ORDER BY {u(f'epoch{n}', key)}, {key}) - 1 AS _pos FROM {source})"
 
@@ -348,11 +353,11 @@ def seed_formula(spark, d):
     return meta(spark, d).select("_idx", b.alias("batch_seed"), row_seed(b, F.pmod(K(), F.lit(32))).alias("row_seed"))
 
 
-@query(f"WITH {META}, g AS (SELECT DISTINCT width, height FROM m WHERE _idx % 40 = 0), t AS (SELECT *, unnest(range(200)) AS k FROM g), q AS (SELECT *, {u('fall/s', '(width*100000000+height*10000+k)')} AS us, {u('fall/r', '(width*100000000+height*10000+k)')} AS ur FROM t), z AS (SELECT width, height, width*height*(0.5::DOUBLE+us*0.5::DOUBLE) AS area, exp(ln(0.75::DOUBLE)+ur*(ln(4.0::DOUBLE/3)-ln(0.75::DOUBLE))) AS r FROM q) SELECT width, height, round(avg(CASE WHEN floor(sqrt(area*r)+0.5) <= width AND floor(sqrt(area/r)+0.5) <= height THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS rate FROM z GROUP BY 1,2")
+@query(f"WITH {META}, g AS (SELECT DISTINCT width, height FROM m), t AS (SELECT *, unnest(range(200)) AS k FROM g), q AS (SELECT *, {u('fall/s', '(width*100000000+height*10000+k)')} AS us, {u('fall/r', '(width*100000000+height*10000+k)')} AS ur FROM t), z AS (SELECT width, height, width*height*(0.5::DOUBLE+us*0.5::DOUBLE) AS area, exp(ln(0.75::DOUBLE)+ur*(ln(4.0::DOUBLE/3)-ln(0.75::DOUBLE))) AS r FROM q) SELECT width, height, round(avg(CASE WHEN floor(sqrt(area*r)+0.5) <= width AND floor(sqrt(area/r)+0.5) <= height THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS rate FROM z GROUP BY 1,2")
 def fallback_rate(spark, d):
     import math
 
-    g = meta(spark, d).where("_idx % 40 = 0").select("width", "height").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
+    g = meta(spark, d).select("width", "height").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
     key = W() * 100000000 + H() * 10000 + F.col("k")
     area = W() * H() * between(0.5, 1.0, uniform("fall/s", key))
     r = F.exp(between(math.log(0.75), math.log(4 / 3), uniform("fall/r", key)))
@@ -375,7 +380,7 @@ def cutmix_bbox(spark, d):
     from prismframe.operators.mixup import kept_share
 
     box = crops.cutout(200, 160, uniform("lam", K()), F.floor(uniform("cut/y", K()) * 200), F.floor(uniform("cut/x", K()) * 160))
-    return meta(spark, d).select("_idx", box.alias("b")).select("_idx", "b.*", F.round(kept_share(F.col("b"), 200, 160), 6).alias("kept"))
+    return meta(spark, d).select("_idx", box.alias("b")).select("_idx", "b.*", half_up(kept_share(F.col("b"), 200, 160), 6).alias("kept"))
 
 
 # --- hashes -------------------------------------------------------------------------

@@ -14,7 +14,7 @@ def connection(d: str):
 
 def plain(v):
     if isinstance(v, float):
-        return round(v, 4) + 0.0
+        return round(v, 9) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     return v
