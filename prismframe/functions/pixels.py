@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prismframe.functions.rng import let
+
 #: Luma weights, the YIQ matrix, sRGB to cone responses, ImageNet statistics.
 LUMA = (0.2989, 0.587, 0.114)
 YIQ = ((0.299, 0.587, 0.114), (0.596, -0.274, -0.321), (0.211, -0.523, 0.311))
 XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
 CAT02 = ((0.7328, 0.4296, -0.1624), (-0.7036, 1.6975, 0.0061), (0.0030, 0.0136, 0.9834))
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+#: The same for the five channels of centre and surround responses.
+LGN_MEAN, LGN_STD = (0.2,) * 5, (0.2,) * 5
 
 
 def clamp(x: Column, top: float = 1.0) -> Column:
@@ -86,6 +90,87 @@ def linear(px: Column) -> Column:
     return each(px, lambda x: F.when(x > 0.04045, F.pow((x + 0.055) / 1.055, F.lit(2.4))).otherwise(x / 12.92))
 
 
+# --- hue, saturation, value --------------------------------------------------------
+
+
+def _hsv(p: Column) -> Column:
+    top, low = F.greatest(p["r"], p["g"], p["b"]), F.least(p["r"], p["g"], p["b"])
+
+    def of(t: Column) -> Column:
+        spread = F.when(t["top"] == t["low"], F.lit(1.0)).otherwise(t["top"] - t["low"])
+        from_top = lambda c: (t["top"] - p[c]) / spread
+        hue = F.when(t["top"] == p["r"], from_top("b") - from_top("g")).when(t["top"] == p["g"], F.lit(2.0) + from_top("r") - from_top("b")).otherwise(F.lit(4.0) + from_top("g") - from_top("r"))
+        most = F.when(t["top"] == t["low"], F.lit(1.0)).otherwise(t["top"])
+        return F.struct(((hue / 6 + 1.0) % 1.0).alias("h"), ((t["top"] - t["low"]) / most).alias("s"), t["top"].alias("v"))
+
+    return let(F.struct(top.alias("top"), low.alias("low")), of)
+
+
+def _rgb(c: Column) -> Column:
+    place = F.floor(c["h"] * 6)
+
+    def of(t: Column) -> Column:
+        p = clamp(c["v"] * (F.lit(1.0) - c["s"]))
+        q = clamp(c["v"] * (F.lit(1.0) - c["s"] * t["f"]))
+        u = clamp(c["v"] * (F.lit(1.0) - c["s"] * (F.lit(1.0) - t["f"])))
+        v = c["v"]
+        pick = lambda *xs: F.when(t["i"] == 0, xs[0]).when(t["i"] == 1, xs[1]).when(t["i"] == 2, xs[2]).when(t["i"] == 3, xs[3]).when(t["i"] == 4, xs[4]).otherwise(xs[5])
+        return F.struct(pick(v, q, p, p, u, v).alias("r"), pick(u, v, v, q, p, p).alias("g"), pick(p, p, u, v, v, q).alias("b"))
+
+    return let(F.struct(F.pmod(place, F.lit(6)).alias("i"), (c["h"] * 6 - place).alias("f")), of)
+
+
+def _by_pixel(px: Column, hw: int, names: str, f, out: str) -> Column:
+    """f over the pixels as structs of three channels; the channels of its result, end to end."""
+    channels = [channel(px, c, hw) for c in range(3)]
+    done = F.transform(F.arrays_zip(*[x.alias(n) for x, n in zip(channels, names)]), lambda p: f(p))
+    return let(done, lambda d: joined(*[d[n] for n in out]))
+
+
+def to_hsv(px: Column, hw: int) -> Column:
+    """Hue as a share of the circle, saturation and value."""
+    return _by_pixel(px, hw, "rgb", _hsv, "hsv")
+
+
+def from_hsv(px: Column, hw: int) -> Column:
+    return _by_pixel(px, hw, "hsv", _rgb, "rgb")
+
+
+def hue_shifted(px: Column, hw: int, by: Column) -> Column:
+    """Hue moved by a share of the circle, from -0.5 to 0.5."""
+    moved = lambda c: F.struct(((c["h"] + by) % 1.0).alias("h"), c["s"].alias("s"), c["v"].alias("v"))
+    return _by_pixel(px, hw, "rgb", lambda p: let(let(_hsv(p), moved), _rgb), "rgb")
+
+
+def blended(a: Column, b: Column, ratio: Column, top: float = 1.0) -> Column:
+    return F.zip_with(a, b, lambda x, y: clamp(x * ratio + y * (F.lit(1.0) - ratio), top))
+
+
+def colour_jitter(px: Column, hw: int, hue: Column | None = None, sat: Column | None = None, bright: Column | None = None, con: Column | None = None) -> Column:
+    """Brightness, contrast, saturation and hue, in this order; None leaves one out."""
+    held = lambda step: let(px, lambda x: step(x))  # noqa: E731  each step's images are worked out once
+    px = px if bright is None else held(lambda x: brightness(x, bright))
+    px = px if con is None else held(lambda x: contrast(x, hw, con))
+    px = px if sat is None else held(lambda x: saturation(x, hw, sat))
+    return px if hue is None else held(lambda x: hue_shifted(x, hw, hue))
+
+
+def twisted(px: Column, hw: int, rows, bright: Column, con: Column) -> Column:
+    """A YIQ jitter matrix, then contrast about one half, then brightness."""
+    offset = (F.lit(0.5) - con * 0.5) * bright
+    return each(mixed(px, hw, rows), lambda x: clamp(x * (bright * con) + offset))
+
+
+def rescaled(px: Column, top_from: float, top_to: float) -> Column:
+    """Values of one number type as another's: their greatest values meet; to whole numbers, cut off below the next one."""
+    if top_to == 1.0:
+        return each(px, lambda x: x / F.lit(float(top_from)))
+    if top_from == 1.0:
+        return each(px, lambda x: F.floor(x * F.lit(top_to + 1.0 - 1e-3)).cast("double"))
+    ratio = (top_to + 1) / (top_from + 1)
+    return each(px, lambda x: F.floor(x * F.lit(float(ratio))).cast("double"))
+
+
 def hflip(px: Column, h: int, w: int, channels: int = 3) -> Column:
     return remap(px, channels * h * w, lambda i: i - i % w + (F.lit(w - 1) - i % w))
 
@@ -189,6 +274,11 @@ def zoom_rows(scale: Column, x: Column, y: Column) -> list[list]:
     return [[scale, 0, (1 - scale) * (x * 2 - 1)], [0, scale, (1 - scale) * (y * 2 - 1)], [0, 0, 1]]
 
 
+def flip_rows(flip: Column) -> list[list]:
+    """Left to right where flip is true."""
+    return [[F.when(flip, F.lit(-1.0)).otherwise(F.lit(1.0)), 0, 0], [0, 1, 0], [0, 0, 1]]
+
+
 def shift_rows(x: Column, y: Column) -> list[list]:
     return [[1, 0, x * 2], [0, 1, y * 2], [0, 0, 1]]
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
 import numpy as np
 
-from prismframe.functions.imagebytes import PNG
+from prismframe.functions.imagebytes import PNG, rgb_to_yuv
+from prismframe.operators import jpeg
 
 # --- decoding ------------------------------------------------------------------------
 
@@ -82,15 +84,41 @@ def decode_yuv(data: bytes, h: int, w: int, rgb: bool = True) -> np.ndarray:
     return np.clip(np.stack([y + part(91881 * v), y + part(-22554 * u - 46802 * v), y + part(116130 * u)], 2), 0, 255).astype(np.uint8)
 
 
-def decode(data: bytes, h: int = 0, w: int = 0) -> np.ndarray:
-    """By the bytes: PNG, BMP, or planar YUV of the given size. JPEG is decoded by Spark's image source, from paths."""
-    if data[:8] == PNG:
-        return decode_png(data)
-    if data[:2] == b"BM":
-        return decode_bmp(data)
-    if h and w and len(data) == h * w + 2 * (h // 2) * (w // 2):
-        return decode_yuv(data, h, w)
-    raise ValueError("format")
+def decode(data: bytes, h: int = 0, w: int = 0, rgb: bool = True) -> np.ndarray:
+    """By the bytes: JPEG, PNG, BMP, or planar YUV of the given size; not rgb: luma and chroma at full size."""
+    return decode_all([data], [h], [w], rgb)[0]
+
+
+def decode_all(data: list[bytes | None], heights: list[int], widths: list[int], rgb: bool = True) -> list[np.ndarray | None]:
+    """decode() of a batch: its JPEGs together; null bytes give None."""
+    out: list = [None] * len(data)
+    jpegs = [k for k, d in enumerate(data) if d is not None and d[:2] == b"\xff\xd8"]
+    for k, px in zip(jpegs, jpeg.decode([data[k] for k in jpegs])):
+        out[k] = px if rgb else to_yuv(px)
+    for k, d in enumerate(data):
+        if d is None or out[k] is not None:
+            continue
+        h, w = heights[k] or 0, widths[k] or 0
+        if d[:8] == PNG or d[:2] == b"BM":
+            px = decode_png(d) if d[:8] == PNG else decode_bmp(d)
+            out[k] = px if rgb else to_yuv(px)
+        elif h and w and len(d) == h * w + 2 * (h // 2) * (w // 2):
+            out[k] = decode_yuv(d, h, w, rgb)
+        else:
+            raise ValueError("format")
+    return out
+
+
+def to_yuv(px: np.ndarray) -> np.ndarray:
+    """Luma and chroma at full size, of an image that is stored as RGB: through planar 4:2:0, as a store would hold it."""
+    data, h, w = rgb_to_yuv(px)
+    return decode_yuv(data, h, w, False)[: px.shape[0], : px.shape[1]]
+
+
+def image_end(data: bytes) -> int:
+    """Where an encoded image ends: behind the first end marker of a JPEG, else with the bytes."""
+    at = data.find(b"\xff\xd9") if data[:2] == b"\xff\xd8" else -1
+    return at + 2 if at >= 0 else len(data)
 
 
 # --- resampling ----------------------------------------------------------------------
@@ -112,8 +140,36 @@ def resize(px: np.ndarray, h: int, w: int) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8) if px.dtype == np.uint8 else out
 
 
+def _cubic(x: np.ndarray, b: float, c: float) -> np.ndarray:
+    """The cubic filters of Mitchell and Netravali."""
+    x = np.abs(x)
+    near = (12 - 9 * b - 6 * c) * x**3 + (12 * b + 6 * c - 18) * x**2 + 6 - 2 * b
+    far = -(b + 6 * c) * x**3 + (6 * b + 30 * c) * x**2 - (12 * b + 48 * c) * x + 8 * b + 24 * c
+    return np.where(x < 1, near, np.where(x < 2, far, 0)) / 6
+
+
+@functools.lru_cache(4096)
+def _cubic_weights(n: int, to: int) -> np.ndarray:
+    """Catmull-Rom when growing, Mitchell and as much wider when shrinking; what reaches over an edge counts for its last sample."""
+    scale = n / to
+    if scale == 1:
+        return np.eye(n, dtype=np.float32)
+    centre, reach = (np.arange(to) + 0.5) * scale - 0.5, max(scale, 1.0)
+    first = np.floor(centre - 2 * reach).astype(int)
+    taps = first[:, None] + np.arange(int(4 * reach) + 3)
+    w = _cubic((taps - centre[:, None]) / reach, *((0, 0.5) if scale < 1 else (1 / 3, 1 / 3)))
+    out = np.zeros((to, n))
+    np.add.at(out, (np.arange(to)[:, None], np.clip(taps, 0, n - 1)), w)
+    return (out / out.sum(1, keepdims=True)).astype(np.float32)
+
+
 def crop_resize(px: np.ndarray, x: int, y: int, w: int, h: int, size: int) -> np.ndarray:
-    return resize(px[y : y + h, x : x + w], size, size)
+    """A rectangle at [size, size], cubic, one axis after the other; values are taken as they are."""
+    part = px[y : y + h, x : x + w].astype(np.float32)
+    h, w, c = part.shape
+    out = (_cubic_weights(h, size) @ part.reshape(h, w * c)).reshape(size, w, c)
+    out = np.matmul(_cubic_weights(w, size), out)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8) if px.dtype == np.uint8 else out
 
 
 def _fold(i: np.ndarray, n: int, mode: str) -> tuple[np.ndarray, np.ndarray]:
@@ -127,40 +183,44 @@ def _fold(i: np.ndarray, n: int, mode: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grid_sample(px: np.ndarray, gx: np.ndarray, gy: np.ndarray, mode: str = "zeros", corners: bool = False) -> np.ndarray:
-    """Bilinear samples of [c, h, w] at places from -1 to 1."""
-    c, h, w = px.shape
-    to = lambda g, n: (g + 1) / 2 * (n - 1) if corners else ((g + 1) * n - 1) / 2
+    """Bilinear samples of [..., c, h, w] at places [..., h, w] from -1 to 1."""
+    one = px.ndim == 3
+    px, gx, gy = (px[None], gx[None], gy[None]) if one else (px, np.broadcast_to(gx, (len(px), *gx.shape[-2:])), np.broadcast_to(gy, (len(px), *gy.shape[-2:])))
+    n, c, h, w = px.shape
+    to = lambda g, k: (g + 1) / 2 * (k - 1) if corners else ((g + 1) * k - 1) / 2
     x, y = to(gx, w), to(gy, h)
     if mode == "border":
         x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
     x0, y0 = np.floor(x), np.floor(y)
-    out = np.zeros((c, *gx.shape))
+    flat, out = px.reshape(n, c, h * w), np.zeros((n, c, *gx.shape[-2:]))
     for dx in (0, 1):
         for dy in (0, 1):
             wx, wy = (x - x0 if dx else 1 - x + x0), (y - y0 if dy else 1 - y + y0)
             ix, okx = _fold(x0 + dx, w, mode)
             iy, oky = _fold(y0 + dy, h, mode)
-            out += px[:, iy, ix] * (wx * wy * (okx & oky))
-    return out
+            at = (iy * w + ix).reshape(n, 1, -1)
+            out += np.take_along_axis(flat, np.broadcast_to(at, (n, c, at.shape[-1])), 2).reshape(out.shape) * (wx * wy * (okx & oky))[:, None]
+    return out[0] if one else out
 
 
 def affine(px: np.ndarray, m: np.ndarray, mode: str = "zeros") -> np.ndarray:
-    """[c, h, w] seen through a 3 x 3 matrix on places from -1 to 1; off-diagonal terms are corrected for the aspect."""
-    _, h, w = px.shape
-    m = np.array(m, float)
-    m[0, 1] *= h / w
-    m[1, 0] *= w / h
+    """[..., c, h, w] seen through 3 x 3 matrices on places from -1 to 1; off-diagonal terms are corrected for the aspect."""
+    h, w = px.shape[-2:]
+    m = np.array(m, float).reshape(*px.shape[:-3], 3, 3)
+    m[..., 0, 1] *= h / w
+    m[..., 1, 0] *= w / h
     x, y = np.meshgrid((np.arange(w) * 2 + 1) / w - 1, (np.arange(h) * 2 + 1) / h - 1)
-    return grid_sample(px, m[0, 0] * x + m[0, 1] * y + m[0, 2], m[1, 0] * x + m[1, 1] * y + m[1, 2], mode)
+    e = lambda i, j: m[..., i, j, None, None]
+    return grid_sample(px, e(0, 0) * x + e(0, 1) * y + e(0, 2), e(1, 0) * x + e(1, 1) * y + e(1, 2), mode)
 
 
 def distort(px: np.ndarray, k: float = -0.5, dx: float = 0.0, dy: float = 0.0) -> np.ndarray:
-    """Radial distortion 1 + k r^2 + k r^4 about a point."""
-    _, h, w = px.shape
-    x, y = np.meshgrid(np.linspace(-1, 1, w) - dx, np.linspace(-1, 1, h) - dy)
+    """Radial distortion by 1 + k r^2 + k r^4 about the middle, moved by dx and dy pixels; r is 0.5 at the middle of an edge."""
+    h, w = px.shape[-2:]
+    x, y = np.meshgrid((np.arange(w) - w / 2 - dx) / w, (np.arange(h) - h / 2 - dy) / h)
     r = x * x + y * y
     f = 1 + k * r + k * r * r
-    return grid_sample(px, x * f + dx, y * f + dy, "zeros", True)
+    return grid_sample(px, 2 * (x * f + dx / w), 2 * (y * f + dy / h))
 
 
 # --- filters and noise ---------------------------------------------------------------
@@ -181,7 +241,7 @@ def convolve(px: np.ndarray, k: np.ndarray, mode: str = "constant") -> np.ndarra
     """Correlation of [c, h, w] with a square kernel, borders of np.pad's modes."""
     n = len(k)
     p = np.pad(px, ((0, 0), (n // 2, (n - 1) // 2), (n // 2, (n - 1) // 2)), mode=mode)
-    return np.einsum("chwij,ij->chw", np.lib.stride_tricks.sliding_window_view(p, (n, n), axis=(1, 2)), k)
+    return np.tensordot(np.lib.stride_tricks.sliding_window_view(p, (n, n), axis=(1, 2)), k, 2)
 
 
 def blur(px: np.ndarray, sigma: float, size: int = 6) -> np.ndarray:
@@ -202,6 +262,12 @@ def lgn(lms: np.ndarray, parvo=(1.5, 5.0), magno=(2.5, 5.0), konio=(2.5, 6.5)) -
     return np.concatenate([up(rg), up(-rg), up(light), up(-light), up(blue)])
 
 
+def magno(lms: np.ndarray, centre: float = 2.5, surround: float = 5.0) -> np.ndarray:
+    """Two channels: light on and off, half-rectified."""
+    light = centre_surround(lms[:1] + lms[1:2], centre, surround)
+    return np.maximum(np.concatenate([light, -light]), 0)
+
+
 def power_noise(h: int, w: int, alpha: float = 2.0, channels: int = 1, low: float = -1.0, high: float = 1.0, seed: int = 0) -> np.ndarray:
     """Noise whose spectrum falls as frequency to the power -alpha, scaled to a range."""
     rng = np.random.default_rng(seed)
@@ -212,22 +278,23 @@ def power_noise(h: int, w: int, alpha: float = 2.0, channels: int = 1, low: floa
     return low + (out - a) / np.where(b > a, b - a, 1) * (high - low)
 
 
-def circle_mask(size: int, span: float = 8.0, tolerance: float = 5e-4) -> np.ndarray:
-    """1 inside a circle, falling off as a Gaussian at its edge; the fall is narrowed until the border is dark."""
-    x = np.arange(size) - (size - 1) / 2
-    r, sigma = np.hypot(x[None], x[:, None]), span
-    while True:
-        m = np.where(r <= size / 2 - span, 1.0, np.exp(-((np.maximum(r - size / 2 + span, 0)) ** 2) / (2 * sigma**2)))
-        if m[size // 2, 0] <= tolerance or sigma < 1e-3:
-            return m
+def circle_mask(size: int, span: float = 8.0, tolerance: float = 5e-4, width: int | None = None) -> np.ndarray:
+    """1 inside a circle `span` smaller than the image; beyond, a Gaussian narrowed until it has fallen to the tolerance after `span` pixels."""
+    sigma = span
+    while np.exp(-(span**2) / (2 * sigma**2)) > tolerance:
         sigma *= 0.975
+    x, y = np.arange(width or size) - ((width or size) - 1) / 2, np.arange(size) - (size - 1) / 2
+    over = np.hypot(x[None], y[:, None]) - (size / 2 - span)
+    return np.where(over < 0, 1.0, np.exp(-(over**2) / (2 * sigma**2)))
 
 
 def patch_shuffle(px: np.ndarray, size: int, order: np.ndarray) -> np.ndarray:
-    c, h, w = px.shape
+    """Tiles of [..., c, h, w] in a new order: place k takes tile order[..., k]."""
+    *lead, c, h, w = px.shape
     gy, gx = h // size, w // size
-    tiles = px.reshape(c, gy, size, gx, size).transpose(1, 3, 0, 2, 4).reshape(gy * gx, c, size, size)[order]
-    return tiles.reshape(gy, gx, c, size, size).transpose(2, 0, 3, 1, 4).reshape(c, h, w)
+    tiles = px.reshape(-1, c, gy, size, gx, size).transpose(0, 2, 4, 1, 3, 5).reshape(-1, gy * gx, c, size, size)
+    tiles = np.take_along_axis(tiles, np.asarray(order).reshape(-1, gy * gx, 1, 1, 1), 1)
+    return tiles.reshape(-1, gy, gx, c, size, size).transpose(0, 3, 1, 4, 2, 5).reshape(*lead, c, h, w)
 
 
 def embed(px: np.ndarray, canvas: np.ndarray, x: int, y: int) -> np.ndarray:

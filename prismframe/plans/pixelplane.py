@@ -202,6 +202,192 @@ def yuv_planes_table(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select(i.alias("_idx"), p.alias("p")).select("_idx", *[F.hex(F.col(f"p.{c}")).alias(c) for c in "yuv"])
 
 
+# --- hue, saturation, value; JPEG; mixing; warps drawn for each row --------------------
+
+_TOP, _LOW = "greatest(r,g,b)", "least(r,g,b)"
+_SPREAD = f"(CASE WHEN {_TOP}={_LOW} THEN 1.0::DOUBLE ELSE {_TOP}-{_LOW} END)"
+_HUE = f"fmod((CASE WHEN {_TOP}=r THEN ({_TOP}-b)/{_SPREAD} - ({_TOP}-g)/{_SPREAD} WHEN {_TOP}=g THEN 2.0::DOUBLE + ({_TOP}-r)/{_SPREAD} - ({_TOP}-b)/{_SPREAD} ELSE 4.0::DOUBLE + ({_TOP}-g)/{_SPREAD} - ({_TOP}-r)/{_SPREAD} END)/6 + 1.0::DOUBLE, 1.0::DOUBLE)"
+_SATURATION = f"(({_TOP}-{_LOW}) / (CASE WHEN {_TOP}={_LOW} THEN 1.0::DOUBLE ELSE {_TOP} END))"
+matrix("rgb_to_hsv", [_HUE, _SATURATION, _TOP], lambda p: pixels.to_hsv(p, HW))
+
+
+def _hue_sql(source: str, shift: str) -> str:
+    """r, g, b of the CTE `source` with their hue moved, as a chain of CTEs that ends in `done`."""
+    clip = lambda e: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {e}))"
+    pick = lambda *xs: "CASE i6 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(xs)) + " END"
+    return (
+        f"hsv AS (SELECT _idx, i, fmod({_HUE} + {shift}, 1.0::DOUBLE) AS h, {_SATURATION} AS s, {_TOP} AS v FROM {source}), "
+        "sect AS (SELECT *, ((CAST(floor(h*6) AS BIGINT) % 6) + 6) % 6 AS i6, h*6 - floor(h*6) AS f FROM hsv), "
+        f"pqt AS (SELECT *, {clip('v*(1-s)')} AS p, {clip('v*(1-s*f)')} AS q, {clip('v*(1-s*(1-f))')} AS t FROM sect), "
+        f"done AS (SELECT _idx, i, {pick(*'vqpptv')} AS r, {pick(*'tvvqpp')} AS g, {pick(*'pptvvq')} AS b FROM pqt)"
+    )
+
+
+_UNPACK = " UNION ALL ".join(f"SELECT _idx, {c * HW} + i AS k, round({x}, 5) AS v FROM done" for c, x in enumerate("rgb"))
+pixel("hue_shift", f"WITH {RGB}, {_hue_sql('rgb', f'({u('hshift')} - 0.5::DOUBLE)')} {_UNPACK}", lambda p: pixels.hue_shifted(p, HW, uniform("hshift", "_idx") - 0.5))
+
+_CJ = lambda name: f"(0.6::DOUBLE + {u(name)} * {1.4 - 0.6!r}::DOUBLE)"
+_CLIP = lambda e: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {e}))"
+_GRAY3 = "(r*0.2989::DOUBLE + g*0.587::DOUBLE + b*0.114::DOUBLE)"
+_JITTERED = (
+    f"WITH {RGB}, j1 AS (SELECT _idx, i, " + ", ".join(f"{_CLIP(f'{x}*{_CJ("cj/b")}')} AS {x}" for x in "rgb") + " FROM rgb), "
+    f"j2 AS (SELECT *, avg({_GRAY3}) OVER (PARTITION BY _idx) AS mean FROM j1), "
+    "j3 AS (SELECT _idx, i, " + ", ".join(f"{_CLIP(f'mean*(1-{_CJ("cj/c")}) + {x}*{_CJ("cj/c")}')} AS {x}" for x in "rgb") + " FROM j2), "
+    "j4 AS (SELECT _idx, i, " + ", ".join(f"{_CLIP(f'{x}*{_CJ("cj/s")} + {_GRAY3}*(1-{_CJ("cj/s")})')} AS {x}" for x in "rgb") + " FROM j3), "
+    + _hue_sql("j4", f"({u('cj/h')} * 0.2::DOUBLE - 0.1::DOUBLE)") + " " + _UNPACK
+)
+
+
+@query(_JITTERED)
+def color_jitter(spark, d):
+    factor = lambda s: between(0.6, 1.4, uniform(s, "_idx"))
+    return values(px(spark, d), pixels.colour_jitter(F.col("px"), HW, uniform("cj/h", "_idx") * 0.2 - 0.1, factor("cj/s"), factor("cj/b"), factor("cj/c")))
+
+
+def _twist_sql() -> list[str]:
+    b, c = "(0.8::DOUBLE + " + u("tw/b") + " * 0.4::DOUBLE)", "(0.5::DOUBLE + " + u("tw/c") + ")"
+    inner = [e.removeprefix("least(1.0::DOUBLE, greatest(0.0::DOUBLE, ").removesuffix("))") for e in _jitter_sql()]
+    return [f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({e})*({b}*{c}) + (0.5::DOUBLE - 0.5::DOUBLE*{c})*{b}))" for e in inner]
+
+
+matrix("jitter_twist", _twist_sql(), None)
+
+
+def jitter_twist(spark, d):
+    rows = pixels.jitter_rows(uniform("hue", "_idx") * 40 - 20, F.lit(0.5) + uniform("jsat", "_idx"), F.lit(0.8) + uniform("jval", "_idx") * 0.4)
+    df = px(spark, d).withColumn("m", pixels.flat(rows)).withColumn("b", F.lit(0.8) + uniform("tw/b", "_idx") * 0.4).withColumn("c", F.lit(0.5) + uniform("tw/c", "_idx"))
+    return values(df, pixels.twisted(F.col("px"), HW, pixels.held(F.col("m")), F.col("b"), F.col("c")))
+
+
+QUERIES["jitter_twist"] = jitter_twist
+
+
+_SIZES = "m AS (SELECT p_partkey AS _idx, 64 + p_partkey*37%577 AS width, 64 + (p_partkey*53+11)%449 AS height, p_partkey*29%256 AS v FROM part)"
+
+
+@query(f"WITH {_SIZES} SELECT _idx, 'jpeg' AS format, 1 + width%40 AS width, 1 + height%30 AS height, v AS least, v AS most, v*3*(1 + width%40)*(1 + height%30) AS total FROM m")
+def decode_jpeg_solid(spark, d):
+    """JPEG bytes of one gray each, decoded in batches: size, least, greatest and sum of the bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from prismframe.operators import jpeg, kernels
+    from prismframe.plans.metadata import meta
+
+    rows = meta(spark, d).select("_idx", (1 + F.col("width") % 40).alias("w"), (1 + F.col("height") % 30).alias("h"), (F.col("_idx") * 29 % 256).alias("v"))
+
+    def make(batches):
+        for b in batches:
+            data = [jpeg.encode(np.full((h, w, 3), v, np.uint8)) for w, h, v in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["_idx", "image"])
+
+    def decode(batches):
+        for b in batches:
+            images = kernels.decode_all(b.column(1).to_pylist(), [0] * b.num_rows, [0] * b.num_rows)
+            got = [(x.shape[1], x.shape[0], int(x.min()), int(x.max()), int(x.sum(dtype=np.int64))) for x in images]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in zip(*got))], ["_idx", "format", "width", "height", "least", "most", "total"])
+
+    encoded = rows.mapInArrow(make, "_idx long, image binary").withColumn("format", imagebytes.image_format(F.col("image")))
+    return encoded.mapInArrow(decode, "_idx long, format string, width long, height long, least long, most long, total long")
+
+
+_MIX = (
+    f"WITH {PAIR}, d1 AS (SELECT *, {u('mix/do')} < 0.8::DOUBLE AS does, {u('mix/switch')} < 0.5::DOUBLE AS cuts, {u('mix/cut')} AS lc, {u('mix/lam')} AS lm, CAST(floor({u('mix/cy')}*4) AS BIGINT) AS cy, CAST(floor({u('mix/cx')}*4) AS BIGINT) AS cx FROM w), "
+    "d2 AS (SELECT _idx, other, label, other_label, cy, cx, does AND cuts AS cut, CASE WHEN NOT does THEN 1.0::DOUBLE WHEN cuts THEN lc ELSE lm END AS l0 FROM d1), "
+    "d3 AS (SELECT *, CAST(floor(floor(4*sqrt(1-l0))/2) AS BIGINT) AS half FROM d2), "
+    "d4 AS (SELECT *, least(greatest(cy-half,0),4) AS yl, least(greatest(cy+half,0),4) AS yh, least(greatest(cx-half,0),4) AS xl, least(greatest(cx+half,0),4) AS xh FROM d3), "
+    "d5 AS (SELECT *, CASE WHEN cut THEN 1 - (yh-yl)*(xh-xl)/16.0::DOUBLE ELSE l0 END AS l1 FROM d4) "
+)
+
+
+def _mixed(spark, d) -> DataFrame:
+    from prismframe.operators.loader import Loader
+
+    return mixup.mix(Loader(px(spark, d), 50, shuffle=False).plan(), 50, SIDE, SIDE, 10, smoothing=0.1, mixup_alpha=1.0, cutmix_alpha=1.0, prob=0.8)
+
+
+@query(_MIX + "SELECT e._idx, p.k, round(CASE WHEN cut THEN CASE WHEN p.row>=yl AND p.row<yh AND p.col>=xl AND p.col<xh THEN q.v ELSE p.v END ELSE p.v*l1 + q.v*(1-l1) END, 5) AS v FROM d5 e JOIN p ON p._idx=e._idx JOIN p q ON q._idx=e.other AND q.k=p.k")
+def mixup_cutmix_pixels(spark, d):
+    return values(_mixed(spark, d), F.col("px"))
+
+
+@query(_MIX + "SELECT _idx, k, round((CASE WHEN k=label THEN 0.91::DOUBLE ELSE 0.01::DOUBLE END)*l1 + (CASE WHEN k=other_label THEN 0.91::DOUBLE ELSE 0.01::DOUBLE END)*(1-l1), 5) AS v FROM (SELECT *, unnest(range(10)) AS k FROM d5)")
+def mixup_cutmix_target(spark, d):
+    return values(_mixed(spark, d), F.col("label"))
+
+
+@query(f"WITH t AS (SELECT p_partkey AS _idx FROM part), b AS (SELECT _idx, 40 + CAST(floor({u('mm/h')}*80) AS BIGINT) AS h, 32 + CAST(floor({u('mm/w')}*64) AS BIGINT) AS w FROM t), q AS (SELECT _idx, h, w, CAST(floor({u('mm/y')}*(200-h)) AS BIGINT) AS yl, CAST(floor({u('mm/x')}*(160-w)) AS BIGINT) AS xl FROM b) SELECT _idx, yl, yl+h AS yh, xl, xl+w AS xh FROM q")
+def cutmix_bbox_minmax(spark, d):
+    from prismframe.functions import crops
+    from prismframe.plans.metadata import meta
+
+    box = crops.cutout_between(200, 160, (0.2, 0.6), *(uniform(f"mm/{c}", "_idx") for c in "hwyx"))
+    return meta(spark, d).select("_idx", box.alias("b")).select("_idx", "b.*")
+
+
+def _sampled_sql(params: str, m: list[str], mode: str, p: str) -> str:
+    """Bilinear samples of the small images through a matrix: params: columns of a CTE over t(_idx); m: its entries."""
+    a, b, c, d_, e, f = m
+    folded = {"zeros": ("{0}", " AND q.{0} >= 0 AND q.{0} < 4"), "border": ("least(greatest({0},0),3)", "")}[mode]
+    place = {"zeros": "(({0}+1)*4-1)/2", "border": "least(3.0::DOUBLE, greatest(0.0::DOUBLE, (({0}+1)*4-1)/2))"}[mode]
+    taps = " UNION ALL ".join(
+        f"SELECT _idx, i, x0+{dx} AS xi, y0+{dy} AS yi, {'x-x0' if dx else '1-x+x0'} AS wx, {'y-y0' if dy else '1-y+y0'} AS wy FROM pt" for dx in (0, 1) for dy in (0, 1)
+    )
+    return (
+        f"WITH {P}, t AS (SELECT vec_id AS _idx FROM embeddings), par AS (SELECT _idx, {p} AS does, {params} FROM t), grid AS (SELECT *, unnest(range(16)) AS i FROM par), "
+        "xy AS (SELECT *, (i%4*2+1)/4.0::DOUBLE - 1 AS gx, (i//4*2+1)/4.0::DOUBLE - 1 AS gy FROM grid), "
+        f"seen AS (SELECT _idx, i, CASE WHEN does THEN {a}*gx + {b}*gy + {c} ELSE gx END AS sx, CASE WHEN does THEN {d_}*gx + {e}*gy + {f} ELSE gy END AS sy FROM xy), "
+        f"pos AS (SELECT _idx, i, {place.format('sx')} AS x, {place.format('sy')} AS y FROM seen), pt AS (SELECT *, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0 FROM pos), "
+        f"q AS ({taps}), ch AS (SELECT *, unnest(range(3)) AS c FROM q) "
+        f"SELECT q._idx, q.c*16 + q.i AS k, round(sum(coalesce(p.v, 0)*wx*wy), 5) AS v FROM ch q LEFT JOIN p ON p._idx = q._idx AND p.c = q.c AND p.row = {folded[0].format('yi')} AND p.col = {folded[0].format('xi')} GROUP BY 1, 2"
+    )
+
+
+def _stage_query(name: str, sql: str, step) -> None:
+    def run(spark, d):
+        return values(step()(px(spark, d)), F.col("px"))
+
+    run.__name__ = name
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+def _warps() -> None:
+    from prismframe.operators import stages
+
+    shape, half = (3, SIDE, SIDE), "0.5::DOUBLE"
+    deg = lambda s, most: f"radians(-({-most}::DOUBLE + {u(s)} * {2 * most}::DOUBLE))"
+    turn = ["cos(d)", "sin(d)", "x-cos(d)*x-sin(d)*y", "-sin(d)", "cos(d)", "y+sin(d)*x-cos(d)*y"]
+    point = lambda s: f"({u(s + '/x')}*2-1) AS x, ({u(s + '/y')}*2-1) AS y"
+    _stage_query("random_rotate", _sampled_sql(f"{deg('rotate/deg', 45)} AS d, {point('rotate')}", turn, "zeros", f"{u('rotate')} < {half}"), lambda: stages.random_rotate("px", shape, 0.5, 45, (0.0, 1.0), (0.0, 1.0)))
+    _stage_query("random_zoom", _sampled_sql(f"({half} + {u('zoom/z')}*{half}) AS z, {point('zoom')}", ["z", "0", "(1-z)*x", "0", "z", "(1-z)*y"], "zeros", f"{u('zoom')} < {half}"), lambda: stages.random_zoom("px", shape, 0.5, (0.5, 1.0), (0.0, 1.0), (0.0, 1.0)))
+    moved = f"{deg('object/deg', 45)} AS d, (1.0::DOUBLE + {u('object/z')}) AS z, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, ({half} - (0.25::DOUBLE + {u('object/tx')}*{half}))*2 AS sx, ({half} - (0.25::DOUBLE + {u('object/ty')}*{half}))*2 AS sy"
+    _stage_query("random_rotate_object", _sampled_sql(moved, ["z*cos(d)", "z*sin(d)", "(z*cos(d)*sx + z*sin(d)*sy)", "-z*sin(d)", "z*cos(d)", "(-z*sin(d)*sx + z*cos(d)*sy)"], "border", f"{u('object')} < {half}"), lambda: stages.random_rotate_object("px", shape))
+    tile = "(row//2*2 + col//2)"
+    orders = f"ord AS (SELECT _idx, t, row_number() OVER (PARTITION BY _idx ORDER BY {u("('patches/0/' || t)")}, t) - 1 AS to_tile, {u('patches')} < {half} AS does FROM (SELECT vec_id AS _idx, unnest(range(4)) AS t FROM embeddings))"
+    _stage_query("random_patch_shuffle", f"WITH {P}, {orders} SELECT p._idx, CASE WHEN does THEN c*16 + (to_tile//2*2 + row%2)*4 + to_tile%2*2 + col%2 ELSE k END AS k, round(v, 5) AS v FROM p JOIN ord ON ord._idx = p._idx AND ord.t = {tile}", lambda: stages.random_patch_shuffle("px", shape, [0.5]))
+    place = f"pl AS (SELECT vec_id AS _idx, CAST(floor({u('embed/x', 'vec_id')}*4) AS BIGINT) AS x0, CAST(floor({u('embed/y', 'vec_id')}*4) AS BIGINT) AS y0 FROM embeddings)"
+    cells = "cell AS (SELECT _idx, x0, y0, k, k//64 AS c, k%64//8 AS row, k%8 AS col FROM (SELECT *, unnest(range(192)) AS k FROM pl))"
+    _stage_query("random_embed", f"WITH {P}, {place}, {cells} SELECT cell._idx, cell.k, round(coalesce(p.v, [0.1, 0.2, 0.3][cell.c+1]::DOUBLE), 5) AS v FROM cell LEFT JOIN p ON p._idx = cell._idx AND p.c = cell.c AND p.row = cell.row - y0 AND p.col = cell.col - x0", lambda: stages.random_embed("px", shape, 8, (0.0, 1.0), (0.0, 1.0), "constant", (0.1, 0.2, 0.3)))
+
+
+_warps()
+
+
+@query(f"WITH {P} SELECT _idx, k, round(v*v + (1-v)*[0.1, 0.2, 0.3][c+1]::DOUBLE, 5) AS v FROM p")
+def background_blend(spark, d):
+    """Each image with itself as alpha, over one colour: alpha is a channel, so the three are blended one by one."""
+    from prismframe.operators import stages
+
+    df = px(spark, d)
+    out = None
+    for c, fill in enumerate((0.1, 0.2, 0.3)):
+        one = pixels.channel(F.col("px"), c, HW)
+        rows = df.select("_idx", F.concat(one, one, one, one).alias("px"))
+        rows = stages.background_blend("px", SIDE, "constant", (fill,) * 3)(rows).select("_idx", F.lit(c).alias("c"), F.posexplode(F.slice("px", 1, HW)).alias("i", "v"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("_idx", (F.col("c") * HW + F.col("i")).cast("long").alias("k"), F.round("v", 5).alias("v"))
+
+
 _DEG, _X, _Y, _Z = f"radians(45-{u('deg')}*90)", f"({u('cx')}*2-1)", f"({u('cy')}*2-1)", f"(0.5::DOUBLE+{u('zoom')})"
 _ROT = ["cos(d)", "sin(d)", "x-cos(d)*x-sin(d)*y", "-sin(d)", "cos(d)", "y+sin(d)*x-cos(d)*y", "0", "0", "1"]
 
