@@ -2,8 +2,8 @@
 
 The text is the first layer.  Each layer is scanned, and unwrapped in every way
 that applies: percent escapes and Unicode escapes over the whole layer, base64 run
-by run, and compressed data (gzip, zlib, bz2, xz) where decoded bytes start like
-it.  What comes out is a new layer and goes to the worklist, until no new layer
+by run, and compressed data (gzip, zlib, bz2, xz, in each other too) where decoded
+bytes start like it.  What comes out is a new layer and goes to the worklist, until no new layer
 appears.  A layer whose content and place were seen before is not taken again,
 so layers that unwrap to themselves end too.  Every layer keeps, for each of its
 characters, where it came from in the text; a find in any layer is reported as a
@@ -54,6 +54,8 @@ MASK = "[REDACTED]"
 LAYER_CHARS = 1 << 30
 #: Bytes that a decompressor takes and gives at a time; characters of a piece of what comes out, of those that the next piece repeats, and of the longest piece.
 CHUNK, PIECE, OVERLAP, LONGEST = 1 << 18, 2 << 20, 64 << 10, 32 << 20
+#: Layers of compression straight in each other that are taken, and bytes by which a layer is known.
+DEEPEST, HEAD = 64, 64 << 10
 #: Neither base64 nor escapes, one line or many, run through these.
 BREAK = re.compile(r"(?<=\S)\x20(?=\S)|(?<=\s{64})\s|[^\sA-Za-z0-9+/_=.%\\{}&#;:\"'>-]")
 
@@ -122,10 +124,57 @@ class Packed:
             while self.data[self.end : self.end + 1] == b"\0":  # padding between members
                 self.end += 1
 
+    def unwrapped(self):
+        """The data out of all their layers of compression: what comes out and starts like compressed data is inflated again."""
+        chunks, seen = self.chunks(), set()
+        for _ in range(DEEPEST):
+            head, ended = b"", True
+            for got in chunks:
+                head += got
+                if len(head) >= HEAD:
+                    ended = False
+                    break
+            rest = chunks
+            chunks = (x for part in ((head,), rest) for x in part) if not ended else iter((head,))
+            if not _inflates(head, ended):
+                yield from chunks
+                return
+            if ended:
+                if head in seen:  # it unwraps to itself
+                    return
+                seen.add(head)
+            chunks = self._again(chunks)
+        self.whole = False
+
+    def _again(self, chunks):
+        """What a stream of compressed data holds, all its members."""
+        held = b""
+        while True:
+            while len(held) < 6 and (more := next(chunks, None)) is not None:
+                held = (held + more).lstrip(b"\0") if not held.strip(b"\0") else held + more
+            make = _decompressor(held[:6])
+            if make is None:
+                return
+            d = make()
+            try:
+                while not d.eof:
+                    if not held and getattr(d, "needs_input", True):
+                        held = next(chunks, None)
+                        if held is None:
+                            self.whole = False
+                            return
+                    got = d.decompress(held, CHUNK)
+                    held = getattr(d, "unconsumed_tail", b"")
+                    yield got
+            except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+                self.whole = False
+                return
+            held = d.unused_data.lstrip(b"\0")
+
     def pieces(self):
         """The text of the data, what is no UTF-8 replaced, in pieces that overlap and cut no run."""
         decoder, held, new, size, since = codecs.getincrementaldecoder("utf-8")("replace"), "", [], 0, 0
-        for got in self.chunks():
+        for got in self.unwrapped():
             new.append(decoder.decode(got))
             size += len(new[-1])
             if size < PIECE:
@@ -161,6 +210,15 @@ def _decompressor(head: bytes):
     return None
 
 
+def _inflates(head: bytes, ended: bool) -> bool:
+    """Whether data that begin so are compressed: they look like it, and something comes out of them, or may still."""
+    make = _decompressor(head[:6])
+    try:
+        return make is not None and (len(make().decompress(head, CHUNK)) > 0 or not ended)
+    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+        return False
+
+
 class Work:
     """What a scan may still take, and the spans of the text that it did not scan to their end."""
 
@@ -226,9 +284,14 @@ def unwrap_percent(layer: Layer, work: Work):
 
 
 def unwrap_escapes(layer: Layer, work: Work):
-    at, parts, run = 0, [], []
+    at, parts, run, high = 0, [], [], None
     for m in ESCAPE.finditer(layer.text):
         code = int(m.group(6)) if m.group(6) else int(next(g for g in m.groups() if g), 16)
+        if 0xDC00 <= code < 0xE000 and high and high[1].end() == m.start():  # the second half of a pair
+            both = chr(0x10000 + (high[0] - 0xD800 << 10) + code - 0xDC00)
+            parts += [(at, high[1].start()), (both, high[1].start(), m.end())]
+            at = m.end()
+        high = (code, m) if 0xD800 <= code < 0xDC00 else None
         if run and (code > 255 or run[-1][1].end() != m.start()):
             yield from _escaped_bytes(run, layer, work)
             run = []
@@ -422,7 +485,11 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with its secrets masked, all rows and columns; n_chars, where there is one, follows. Null texts stay null."""
+    """docs with its secrets masked, all rows and columns; n_chars, where there is one, follows.
+
+    Null texts stay null; empty ones and repeated rows are kept as they are or
+    masked alike; an empty table gives none; other columns may have any name.
+    """
     names = docs.columns
     schema = docs.schema
 

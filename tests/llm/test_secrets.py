@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import lzma
+import random
 import zlib
 
 import pytest
@@ -92,3 +93,34 @@ def test_compressed_bytes_as_escapes(pack, escape):
     _, every, _, unfinished = secrets.scan(text)
     assert not unfinished and any(k == 0 for _, _, k, _ in every)
     assert secrets.masked(text) == f"before {secrets.MASK} after"
+
+
+@pytest.mark.parametrize("outer", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+@pytest.mark.parametrize("inner", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_in_compressed(outer, inner):
+    for data in (outer(inner(TOKEN.encode())), outer(outer(inner(TOKEN.encode()))), outer(inner(b"first ") + inner(TOKEN.encode())), outer(inner(words(300_000).encode() + TOKEN.encode()))):
+        text = f"before {base64.b64encode(data).decode()} after"
+        _, every, _, unfinished = secrets.scan(text)
+        assert not unfinished and any(k == 0 for _, _, k, _ in every)
+    cut = outer(inner(random.Random(1).randbytes(1_200_000))[:-60])
+    assert secrets.scan(base64.b64encode(cut).decode())[3]
+
+
+def test_text_that_looks_compressed_and_layers_without_end(monkeypatch):
+    text = base64.b64encode(zlib.compress(b"x^ is no header: " + TOKEN.encode())).decode()
+    assert any(k == 0 for _, _, k, _ in secrets.scan(text)[1]) and not secrets.scan(text)[3]
+    data = TOKEN.encode()
+    for _ in range(8):
+        data = gzip.compress(data)
+    text = base64.b64encode(data).decode()
+    assert any(k == 0 for _, _, k, _ in secrets.scan(text)[1])
+    monkeypatch.setattr(secrets, "DEEPEST", 4)
+    assert secrets.scan(text)[3]
+
+
+def test_pairs_of_escapes_are_one_character():
+    for pair in ("\\ud83d\\ude00", "&#xd83d;&#xde00;"):
+        layer = next(secrets.unwrap_escapes(secrets.Layer(f"é {pair}! \\u0041", None, None), secrets.Work()))
+        assert layer.text == "é 😀! A" and layer.span(2, 3) == (2, 2 + len(pair))
+    lone = "\\ud83d x \\ude00 \\u0041"
+    assert next(secrets.unwrap_escapes(secrets.Layer(lone, None, None), secrets.Work())).text == "\\ud83d x \\ude00 A"
