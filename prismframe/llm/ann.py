@@ -175,14 +175,14 @@ def best(ids: np.ndarray, scores: np.ndarray, count: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:count]
 
 
-def search(table: DataFrame, every: int = EVERY, count: int = NEIGHBOURS) -> DataFrame:
+def search(table: DataFrame, every: int = EVERY, count: int = NEIGHBOURS, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its nearest other rows by inner product.
 
     Rows without id take no part; nor do vectors that are null, zero, with null or
     non-finite components, or of another length than most of the sample.  Of
     several rows with one id and vector one counts; ties go to the smaller id.
     Fewer candidates give fewer rows; an empty table gives none.  Other columns are
-    left out.
+    left out.  exact: all lists are visited and every vector is scored exactly.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     spark, rows = table.sparkSession, usable(table)
@@ -190,6 +190,7 @@ def search(table: DataFrame, every: int = EVERY, count: int = NEIGHBOURS) -> Dat
     if got is None:
         return spark.createDataFrame([], schema)
     index, probes = got
+    probes, rerank = (len(index.centres), None) if exact else (probes, RERANK)
     rows = rows.where(F.size("vector") == index.dim)
 
     def place(batches):
@@ -232,7 +233,7 @@ def search(table: DataFrame, every: int = EVERY, count: int = NEIGHBOURS) -> Dat
         q_ids, q = np.asarray(b.column("query_id")), matrix(b.column("query"), index.dim)
         out_q, out_v, out_s = [], [], []
         for query, vector, s in zip(q_ids.tolist(), q, index.scan(q, int(a.column("list")[0].as_py()), codes)):
-            pick = np.argpartition(-s, RERANK)[:RERANK] if len(s) > RERANK else np.arange(len(s))
+            pick = np.argpartition(-s, rerank)[:rerank] if rerank is not None and len(s) > rerank else np.arange(len(s))
             exact = (x[pick] * vector).sum(1)
             kept = pick[best(sorted_ids[members[begins[pick]]], exact, count + 1)]
             score = dict(zip(pick.tolist(), exact.tolist()))

@@ -248,3 +248,86 @@ def test_long_labelled_texts_are_shortened_over_their_whole_length():
     short = toxicity.shortened(pa.array([text, "A b", "", None]), 4096)
     words = short[0].split()
     assert len(words) == 4096 and words[0] == b"w0" and words[-1] == b"w19999" and short[1:] == [b"a b", b"", b""]
+
+
+def test_scores_against_plain_loops(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 12))) for _ in range(200)]
+    rows = [(k, " ".join([r.choice(vocabulary) for _ in range(r.randint(1, 40))] + (["Vileness!"] if k % 3 == 0 else ["né"])), "en") for k in range(200)] + [(200, "", None), (201, None, "en"), (202, "x" * 30_000 + " vile " * 5000, "de")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    got = {x.doc_id: x for x in toxicity.classify(docs, marks).collect()}
+    for k, text, lang in rows:
+        assert abs(got[k].score - cases.toxicity_score(text, model)) < 1e-4
+        assert got[k].rejected == (got[k].score >= model.thresholds.get(lang or "", model.threshold))
+
+
+def test_every_column_of_the_media_report(table):
+    rows = flac.report(table).collect()
+    media = collections.Counter((x.doc_id, len(x.media), hashlib.sha256(x.media).hexdigest()) for x in flac.store(table).collect())
+    assert collections.Counter((x.doc_id, x.media_bytes, x.media_sha256) for x in rows) == media
+    want = collections.Counter()
+    for x in table.collect():
+        raw = (x.text or "").encode()
+        payload = raw + b"\0" * (max(-(-len(raw) // 64), 1) * 64 - len(raw))
+        s = [b - 128 for b in payload]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(s, s[1:]))
+        said = f"{len(s)}:{sum(s)}:{sum(b * b for b in s)}:{turns}:{min(s)}:{max(s)}"
+        want[x.doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), said] += 1
+    assert collections.Counter((x.doc_id, x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.feature) for x in rows) == want
+
+
+def test_row_wise_operators_on_an_empty_table(spark):
+    none = spark.createDataFrame([], cases.SCHEMA)
+    path = vocabulary_path()
+    for out in (secrets.report(none), secrets.redact(none), packing.pack(none, path), bpe.encode(none, path), bpe.digest(none, path), flac.store(none), flac.report(none), flac.pcm_blocks(flac.store(none))):
+        assert out.collect() == []
+
+
+def test_row_wise_operators_on_clashing_columns(spark):
+    """Columns named as the operators' own, of other types, do no harm."""
+    rows = [(k, f"text {k} with password = abcdefghijkl{k}", "n", 1.5, "s", [1], "m") for k in range(5)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, score double, spans string, ids array<int>, media string")
+    plain, path = clash.select("doc_id", "text"), vocabulary_path()
+    for f in (secrets.report, flac.report, flac.store, lambda t: bpe.digest(t, path), lambda t: bpe.encode(t, path), lambda t: packing.pack(t, path).drop("sequence_id", "step_group")):
+        assert sorted(map(str, f(clash).collect())) == sorted(map(str, f(plain).collect()))
+    assert secrets.redact(clash).drop("text").collect() == clash.drop("text").collect()
+    marks = spark.createDataFrame([(k, k % 2, "x") for k in range(5)], "doc_id long, toxic int, text string")
+    assert toxicity.classify(clash, marks).count() == 5
+
+
+def test_neighbours_beside_clashing_columns(spark):
+    x = np.random.default_rng(5).normal(size=(60, 8))
+    rows = [(k, v.tolist(), "l", "c", 1, 2.0, "q") for k, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string, code string, rank int, score double, query_id string")
+    got = collections.defaultdict(list)
+    for r in ann.search(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in (0, 20, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s)[:20].tolist()
+
+
+def test_neighbours_end_to_end_recall(spark, sf):
+    """Against brute force over the whole table of the next size."""
+    table = spark.read.parquet(sf.replace("0.001", "0.1") + "/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float)
+    found = collections.defaultdict(set)
+    for r in ann.search(table).collect():
+        found[r.query_id].add(r.vec_id)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        top = ids[np.lexsort((ids, -s))[:20]]
+        hit, total = hit + len(found[ids[q]] & set(top.tolist())), total + 20
+    assert hit >= 0.95 * total
+    assert {(r.query_id, r.vec_id) for r in ann.search(table.where("vec_id < 400"), exact=True).collect()} == {(int(ids[q]), int(v)) for q in np.flatnonzero((ids % 20 == 0) & (ids < 400)) for v in brute(ids, x, q, ids < 400)}
+
+
+def brute(ids, x, q, some):
+    s = np.where(some, x @ x[q], -np.inf)
+    s[q] = -np.inf
+    return ids[np.lexsort((ids, -s))[:20]]
