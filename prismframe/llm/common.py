@@ -82,8 +82,10 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], total: int) -> D
     rows that big has.
     """
     hot, cold = small.where(F.col("n") * HOT_SHARE > total), small.where(F.col("n") * HOT_SHARE <= total)
-    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
-    return big.join(F.broadcast(hot), keys).unionByName(rest).drop("n")
+    # One broadcast for both sides: n is null where the key is not hot.
+    both = big.join(F.broadcast(hot), keys, "left")
+    rest = both.where("n is null").select(*big.columns).join(cold, keys)
+    return both.where("n is not null").unionByName(rest).drop("n")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -240,6 +240,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, least, ["u"], old[0]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = checkpointed(small)
+        free(links.sparkSession)
         new = state(edges)
         if new == old:
             break
@@ -252,7 +253,10 @@ def classes(chunks: DataFrame, least: float = SIMILARITY) -> DataFrame:
     spark = chunks.sparkSession
     total = chunks.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     bins = bins_for(chunks)
-    rows = checkpointed(apply_back(chunks, reduce_bins(emit(chunks, _emit(bins)), _frequencies), _apply(total, bins), ROWS_SCHEMA))
+    # Written down, so that the keys that were sent are gone before the chunks are.
+    frequencies = checkpointed(reduce_bins(emit(chunks, _emit(bins)), _frequencies))
+    free(spark)
+    rows = checkpointed(apply_back(chunks, frequencies, _apply(total, bins), ROWS_SCHEMA))
     free(spark)
     # Equal texts: the row with the least doc_id (null first) stands for them.
     texts = rows.groupBy("text_a", "text_b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "row"))["row"].alias("node"), F.count("*").alias("n"))
