@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def byte(data: Column, at: int | Column) -> Column:
@@ -34,6 +35,18 @@ def image_format(data: Column) -> Column:
     return F.when(starts(data, b"\xff\xd8"), "jpeg").when(starts(data, PNG), "png").otherwise("other")
 
 
+def is_image(data: Column) -> Column:
+    """Whether bytes begin like an image of a known format; null: false."""
+    known = starts(data, b"\xff\xd8\xff") | starts(data, PNG) | starts(data, b"GIF8") | starts(data, b"BM") | (starts(data, b"RIFF") & starts(data, b"WEBP", 8))
+    return F.coalesce(known, F.lit(False))
+
+
+def is_image_struct(kind: T.DataType) -> bool:
+    """Whether a column's type is a struct of encoded bytes, or of a path to them."""
+    fields = {f.name: f.dataType for f in kind} if isinstance(kind, T.StructType) else {}
+    return isinstance(fields.get("bytes"), T.BinaryType) or "bytes" in fields and isinstance(fields.get("path"), T.StringType)
+
+
 def _size(data: bytes | None) -> tuple[int, int]:
     """(width, height) by markers; (0, 0) where there are none."""
     if data and data[:2] == b"\xff\xd8":

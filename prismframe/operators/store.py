@@ -109,10 +109,21 @@ class Store:
 
 
 def index(df: DataFrame, field: str) -> DataFrame:
-    """(value, rows): the row ids of each value, ascending."""
+    """(value, rows): the row ids of each value, ascending. A value's rows are one list: for values that very many rows have, index_blocks()."""
     return df.groupBy(F.col(field).alias("value")).agg(F.array_sort(F.collect_list("_idx")).alias("rows"))
 
 
+def index_blocks(df: DataFrame, field: str, size: int = 1 << 16) -> DataFrame:
+    """(value, block, rows): index(), with the rows of a value cut where ids pass a multiple of `size`: no list grows with the table."""
+    block = F.floor(F.col("_idx") / size).cast("long")
+    return df.groupBy(F.col(field).alias("value"), block.alias("block")).agg(F.array_sort(F.collect_list("_idx")).alias("rows"))
+
+
+def lookup(df: DataFrame, field: str, values: list) -> DataFrame:
+    """(value, _idx) of the rows that have one of some values, without an index of the others."""
+    return df.where(F.col(field).isin(*values)).select(F.col(field).alias("value"), "_idx")
+
+
 def load_batch(rows: DataFrame, ids: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Rows for a table of (_at, _idx): repeats stay, _at gives the order. Spark broadcasts ids only where statistics show that they are small."""
     unknown = [f for f in fields or [] if f not in rows.columns]

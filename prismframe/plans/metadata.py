@@ -131,12 +131,6 @@ def store_pointers(spark, d):
     return store.pointers(blobs(spark, d), "text").select("_idx", "size", "ptr")
 
 
-@query("SELECT a.at AS _at, d.doc_id AS _idx, d.lang, d.n_chars AS n FROM (SELECT doc_id AS at, doc_id * 13 % 100 AS id FROM labels) a JOIN documents d ON d.doc_id = a.id")
-def store_load_batch_dups(spark, d):
-    ids = table(spark, d, "labels").select(F.col("doc_id").alias("_at"), (F.col("doc_id") * 13 % 100).alias("_idx"))
-    return store.load_batch(blobs(spark, d), ids, ["lang", "n"]).select("_at", "_idx", "lang", "n")
-
-
 @query("SELECT a.at AS _at, d.doc_id AS _idx, d.lang, d.n_chars AS n FROM (SELECT doc_id AS at, doc_id // 2 * 13 % (SELECT count(*) FROM documents) AS id FROM labels) a JOIN documents d ON d.doc_id = a.id")
 def store_load_batch_spread(spark, d):
     rows = blobs(spark, d)
@@ -156,12 +150,6 @@ def store_string_offsets(spark, d):
     return store.pointers(table(spark, d, "part").select(F.col("p_partkey").alias("_idx"), "p_name"), "p_name", "off").select("_idx", "size", "off")
 
 
-@query("SELECT doc_id AS _idx, n_chars AS n FROM documents UNION ALL SELECT doc_id + 1000000, n_chars FROM documents WHERE doc_id < 100")
-def store_merge_shards(spark, d):
-    rows = blobs(spark, d).select("_idx", "n")
-    return store.merged([rows, rows.where("_idx < 100")], [0, 1000000])
-
-
 @query("SELECT doc_id AS _idx, n_chars AS n FROM documents UNION ALL SELECT doc_id + 1 + (SELECT max(doc_id) FROM documents), n_chars FROM documents")
 def store_merge_whole_shards(spark, d):
     rows = blobs(spark, d).select("_idx", "n")
@@ -188,8 +176,12 @@ def index_string(spark, d):
 @query("SELECT doc_id AS _idx, lang FROM documents WHERE lang IN ('de', 'fr')")
 def index_lookup_subset(spark, d):
     rows = blobs(spark, d)
-    found = store.index(rows, "lang").where(F.col("value").isin("de", "fr")).select(F.explode("rows").alias("_idx"))
-    return rows.join(found, "_idx", "left_semi").select("_idx", "lang")
+    return store.lookup(rows, "lang", ["de", "fr"]).select("_idx", F.col("value").alias("lang"))
+
+
+@query("SELECT source AS value, doc_id // 512 AS block, list(doc_id ORDER BY doc_id) AS rows FROM documents GROUP BY 1, 2")
+def index_in_blocks(spark, d):
+    return store.index_blocks(blobs(spark, d), "source", 512)
 
 
 @query("SELECT f AS field, unnest(CASE t WHEN 'str' THEN [f || '.bin', f || '.offsets.npy'] WHEN 'ImageBytes' THEN [f || '.bin', f || '.meta.npy'] ELSE [f || '.npy'] END) AS file FROM (VALUES ('image','ImageBytes'),('label','int'),('path','str'),('score','float')) v(f,t)")

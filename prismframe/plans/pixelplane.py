@@ -150,12 +150,6 @@ def norm_stats_limit(spark, d):
     return store.normalization(px(spark, d), "px", HW, 100).select("channel", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("WITH t AS (SELECT CAST(i AS BIGINT) AS _idx, i*7%256 AS y, i*11%256-128 AS u, i*13%256-128 AS v FROM range(4096) r(i)), q AS (SELECT _idx, y + ((91881*v+32768)>>16) AS r, y + ((-22554*u-46802*v+32768)>>16) AS g, y + ((116130*u+32768)>>16) AS b FROM t) SELECT _idx, CAST(least(greatest(r,0),255) AS BIGINT) AS r, CAST(least(greatest(g,0),255) AS BIGINT) AS g, CAST(least(greatest(b,0),255) AS BIGINT) AS b FROM q")
-def yuv_to_rgb_fixed(spark, d):
-    i = F.col("id")
-    return spark.range(4096).select(i.alias("_idx"), imagebytes.yuv_to_rgb(i * 7 % 256, i * 11 % 256, i * 13 % 256).alias("c")).select("_idx", "c.*")
-
-
 def _headers(spark, d) -> DataFrame:
     """PNG, GIF, BMP, JPEG-like and other heads made from image sizes."""
     from prismframe.plans.metadata import meta
@@ -178,15 +172,6 @@ def image_dims(spark, d):
     return _headers(spark, d).select("_idx", imagebytes.image_size(F.col("data")).alias("s")).select("_idx", "s.width", "s.height")
 
 
-@query("WITH t AS (SELECT CAST(i AS BIGINT) AS _idx, [i*7%256, 1+i%3, 2, 3, 4, 5] AS b FROM range(500) r(i)) SELECT _idx, CAST(b[1] AS BIGINT) AS y0, CAST(b[5] AS BIGINT) AS u0, CAST(b[6] AS BIGINT) AS v0 FROM t")
-def yuv_planes(spark, d):
-    i = F.col("id")
-    h2 = lambda c: F.lpad(F.hex(c), 2, "0")
-    data = F.unhex(F.concat(h2(i * 7 % 256), h2(1 + i % 3), F.lit("02030405")))
-    p = imagebytes.yuv_planes(data, F.lit(2), F.lit(2))
-    return spark.range(500).select(i.alias("_idx"), p.alias("p")).select("_idx", imagebytes.byte(F.col("p.y"), 0).alias("y0"), imagebytes.byte(F.col("p.u"), 0).alias("u0"), imagebytes.byte(F.col("p.v"), 0).alias("v0"))
-
-
 @query("WITH t AS (SELECT p_partkey AS _idx, p_partkey*7%256 AS y, p_partkey*11%256-128 AS u, p_partkey*13%256-128 AS v FROM part), q AS (SELECT _idx, y + ((91881*v+32768)>>16) AS r, y + ((-22554*u-46802*v+32768)>>16) AS g, y + ((116130*u+32768)>>16) AS b FROM t) SELECT _idx, CAST(least(greatest(r,0),255) AS BIGINT) AS r, CAST(least(greatest(g,0),255) AS BIGINT) AS g, CAST(least(greatest(b,0),255) AS BIGINT) AS b FROM q")
 def yuv_to_rgb_table(spark, d):
     i = F.col("p_partkey")

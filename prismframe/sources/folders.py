@@ -90,6 +90,12 @@ def extract(archive: str, target: str) -> str:
     return target
 
 
+def content_root(target: str) -> str:
+    """What was unpacked, without a single folder around all of it."""
+    inner = [x for x in Path(target).iterdir() if x.name != MARKER]
+    return str(inner[0]) if len(inner) == 1 and inner[0].is_dir() and any(x.is_dir() for x in inner[0].iterdir()) else target
+
+
 def _files(root: Path) -> int:
     return sum(1 for x in root.rglob("*") if x.is_file() and x.name != MARKER)
 

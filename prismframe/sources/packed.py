@@ -10,8 +10,12 @@ variable-length field and sample, in the order in which pages were written.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from prismframe.operators.kernels import image_end
+
 #: Field types of the format.
 BYTES, INT, FLOAT, JSON, IMAGE = 0, 1, 2, 5, 255
 HEADER = np.dtype([("version", "<u2"), ("fields", "<u2"), ("page", "<u4"), ("samples", "<u8"), ("table", "<u8")], align=True)
@@ -21,53 +25,69 @@ ROWS = {IMAGE: np.dtype([("mode", "<u1"), ("width", "<u2"), ("height", "<u2"), (
 SQL = {IMAGE: "struct<data:binary,size:bigint,height:int,width:int>", INT: "bigint", FLOAT: "double", BYTES: "binary", JSON: "string"}
 
 
+def _open(path: str):
+    """A file of any file system that Arrow knows, by its URI, or a local path."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inner)
+
+
 class PackedFile:
     def __init__(self, path: str):
         self.path = path
-        self.header = np.fromfile(path, HEADER, 1)[0]
-        if self.header["version"] != 2:
-            raise ValueError(f"version {self.header['version']}")
-        n = int(self.header["fields"])
-        fields = np.fromfile(path, FIELD, n, offset=HEADER.itemsize)
+        with _open(path) as f:
+            self.header = np.frombuffer(f.read_at(HEADER.itemsize, 0), HEADER)[0]
+            if self.header["version"] != 2:
+                raise ValueError(f"version {self.header['version']}")
+            n = int(self.header["fields"])
+            fields = np.frombuffer(f.read_at(FIELD.itemsize * n, HEADER.itemsize), FIELD)
         self.names = [bytes(f["name"]).split(b"\0")[0].decode("ascii") for f in fields]
         self.kinds = [int(k) for k in fields["kind"]]
         self.row = np.dtype([(f"f{k}", ROWS.get(x, np.dtype("<u8"))) for k, x in enumerate(self.kinds)], align=True)
         self.start, self.samples = HEADER.itemsize + fields.nbytes, int(self.header["samples"])
-
-    def read(self, low: int, high: int):
-        """Rows low to high, as dicts."""
-        rows = np.fromfile(self.path, self.row, high - low, offset=self.start + low * self.row.itemsize)
-        table = np.fromfile(self.path, ENTRY, offset=int(self.header["table"]))
-        variable = [k for k, x in enumerate(self.kinds) if x in (IMAGE, BYTES, JSON)]
-        ends = {}
-        for at, k in enumerate(variable):
-            own = table[at :: len(variable)]
-            own = own[np.argsort(own["sample"], kind="stable")][low:high]
-            ends[k] = own["place"] + own["size"]
-        with open(self.path, "rb") as f:
-            for i in range(high - low):
-                out = {"_idx": low + i}
-                for k, (name, kind) in enumerate(zip(self.names, self.kinds)):
-                    v = rows[f"f{k}"][i]
-                    if kind == IMAGE:
-                        f.seek(int(v["place"]))
-                        data = f.read(int(ends[k][i]) - int(v["place"]))
-                        stop = data.find(b"\xff\xd9") if data[:2] == b"\xff\xd8" else -1
-                        data = data[: stop + 2] if stop >= 0 else data
-                        out[name] = (data, len(data), int(v["height"]), int(v["width"]))
-                    elif kind in (BYTES, JSON):
-                        f.seek(int(v["place"]))
-                        data = f.read(int(v["size"]))
-                        out[name] = data.rstrip(b"\0").decode() if kind == JSON else data
-                    else:
-                        out[name] = v.item()
-                yield out
+        self.variable = [k for k, x in enumerate(self.kinds) if x in (IMAGE, BYTES, JSON)]
+
+    def ends(self) -> dict[int, np.ndarray]:
+        """For each variable-length field where its pages' parts end, by sample."""
+        with _open(self.path) as f:
+            at = int(self.header["table"])
+            table = np.frombuffer(f.read_at((f.size() - at) // ENTRY.itemsize * ENTRY.itemsize, at), ENTRY)
+        out = {}
+        for at, k in enumerate(self.variable):
+            own = table[at :: len(self.variable)]
+            own = own[np.argsort(own["sample"], kind="stable")]
+            out[k] = (own["place"] + own["size"]).astype(np.int64)
+        return out
+
+    def read(self, low: int, high: int, ends: dict[int, np.ndarray], names: list[str]) -> pa.RecordBatch:
+        """The samples low to high; ends: of just these."""
+        with _open(self.path) as f:
+            rows = np.frombuffer(f.read_at((high - low) * self.row.itemsize, self.start + low * self.row.itemsize), self.row)
+            columns = {"_idx": pa.array(np.arange(low, high, dtype=np.int64))}
+            for k, (name, kind) in enumerate(zip(self.names, self.kinds)):
+                if name not in names:
+                    continue
+                v = rows[f"f{k}"]
+                if kind == IMAGE:
+                    data = [f.read_at(e - p, p) for p, e in zip(v["place"].tolist(), ends[k].tolist())]
+                    data = [d[: image_end(d)] for d in data]
+                    parts = [pa.array(data, pa.binary()), pa.array([len(d) for d in data], pa.int64()), pa.array(v["height"].astype(np.int32)), pa.array(v["width"].astype(np.int32))]
+                    columns[name] = pa.StructArray.from_arrays(parts, ["data", "size", "height", "width"])
+                elif kind in (BYTES, JSON):
+                    data = [f.read_at(n, p) for p, n in zip(v["place"].tolist(), v["size"].tolist())]
+                    columns[name] = pa.array([d.rstrip(b"\0").decode() for d in data], pa.string()) if kind == JSON else pa.array(data, pa.binary())
+                else:
+                    columns[name] = pa.array(np.ascontiguousarray(v))
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
 
 class Range(InputPartition):
-    def __init__(self, low: int, high: int):
+    """Samples, and where their parts end: the table of the file is read and sorted once, when the scan is planned."""
+
+    def __init__(self, low: int, high: int, ends: dict[int, np.ndarray]):
         super().__init__((low, high))
-        self.low, self.high = low, high
+        self.low, self.high, self.ends = low, high, ends
 
 
 class _Reader(DataSourceReader):
@@ -75,12 +95,17 @@ class _Reader(DataSourceReader):
         self.path, self.step, self.names = path, step, names
 
     def partitions(self):
-        n = PackedFile(self.path).samples
-        return [Range(k, min(k + self.step, n)) for k in range(0, n, self.step)] or [Range(0, 0)]
+        file = PackedFile(self.path)
+        ends, n = file.ends() if file.variable else {}, file.samples
+        return [Range(k, min(k + self.step, n), {c: e[k : k + self.step] for c, e in ends.items()}) for k in range(0, n, self.step)] or [Range(0, 0, {c: e[:0] for c, e in ends.items()})]
 
     def read(self, partition: Range):
-        for row in PackedFile(self.path).read(partition.low, partition.high):
-            yield tuple(row[c] for c in self.names)
+        yield PackedFile(self.path).read(partition.low, partition.high, partition.ends, self.names)
+
+
+def sample_info(df: DataFrame, image: str) -> DataFrame:
+    """(_idx, size, height, width) of a table of samples."""
+    return df.select("_idx", f"{image}.size", f"{image}.height", f"{image}.width")
 
 
 class PackedSource(DataSource):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismframe.functions import crops
+from prismframe.functions import crops, hashing, imagebytes
 from prismframe.functions.imagebytes import _size, rgb_to_yuv
 from prismframe.operators import kernels, stages, store
 from prismframe.operators.loader import Loader
@@ -132,6 +132,10 @@ def test_packed_file(spark, tmp_path):
     path.write_bytes(head.tobytes() + fields.tobytes() + rows.tobytes() + b"".join(d + b"\0\0" for d in images) + table.tobytes())
     spark.dataSource.register(packed.PackedSource)
     got = sorted(spark.read.format("packed").option("rows", 4).load(str(path)).collect())
+    table = spark.read.format("packed").option("rows", 4).load(f"file://{path}")
+    assert [tuple(r) for r in packed.sample_info(table, "image").orderBy("_idx").collect()] == [(k, 9, 2, 3) for k in range(6)]
+    ids = spark.createDataFrame([(0, 5), (1, 0), (2, 5)], "_at long, _idx long")
+    assert [r.label for r in store.load_batch(table, ids, ["label"]).orderBy("_at").collect()] == [50, 0, 50]
     assert [bytes(r.image.data) for r in got] == images and [r.label for r in got] == [0, 10, 20, 30, 40, 50] and got[0].image.width == 3
 
 
@@ -156,3 +160,61 @@ def test_streaming_ingest(spark, tmp_path, sizes):
         ingest(spark, src, sizes.schema, out, str(tmp_path / "ck"), {"width": "int", "height": "int"}).awaitTermination(60)
         assert spark.read.parquet(out).count() == want
         sizes.limit(10).write.mode("append").parquet(src)
+
+
+def test_remembered_hashes(tmp_path):
+    import hashlib
+    import os
+
+    path = tmp_path / "x.tar"
+    path.write_bytes(b"one")
+    want = hashlib.sha256(b"one").hexdigest()
+    assert hashing.remembered(str(path)) is None and hashing.file_hash(str(path)) == want[:12] and hashing.remembered(str(path)) == want
+    hashing.remember(str(path), "f" * 64)
+    assert hashing.file_hash(str(path)) == "f" * 12
+    os.utime(path, (1, 1))
+    assert hashing.file_hash(str(path), 20) == want[:20]
+    assert hashing.cache_path("abc", "/base") == "/base/dataset-abc"
+
+
+def test_which_bytes_and_types_are_images(spark):
+    rows = spark.createDataFrame([(0, b"\xff\xd8\xff\xe0"), (1, b"RIFF1234WEBP"), (2, b"plain text"), (3, b""), (4, None)], "k long, data binary")
+    assert [r.x for r in rows.select("k", imagebytes.is_image(F.col("data")).alias("x")).orderBy("k").collect()] == [True, True, False, False, False]
+    kinds = spark.createDataFrame([], "a struct<bytes: binary, path: string>, b struct<path: string>, c binary, d struct<bytes: string, path: string>").schema
+    assert [imagebytes.is_image_struct(f.dataType) for f in kinds] == [True, False, False, True]
+
+
+def test_archives_in_one_folder(tmp_path):
+    import tarfile
+
+    (tmp_path / "in" / "set" / "a").mkdir(parents=True)
+    (tmp_path / "in" / "set" / "a" / "1.png").write_bytes(b"x")
+    with tarfile.open(tmp_path / "x.tar", "w") as t:
+        t.add(tmp_path / "in" / "set", "set")
+    out = folders.extract(str(tmp_path / "x.tar"), str(tmp_path / "out"))
+    assert folders.content_root(out) == str(tmp_path / "out" / "set") and folders.content_root(str(tmp_path / "out" / "set")) == str(tmp_path / "out" / "set")
+
+
+def test_entry_offers_no_corpus_queries_only_where_they_are_absent(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert entry._corpus() == ({}, {})
+
+
+@pytest.mark.parametrize("name", ["supervised_train", "supervised_val", "simclr_symmetric", "simclr_standard", "ipcl", "multicrop"])
+def test_presets_give_finite_views(spark, name):
+    from functools import reduce
+
+    from prismframe.operators import jpeg
+    from prismframe.plans import presets
+
+    px = np.random.default_rng(3).integers(0, 256, (24, 32, 3)).astype(np.uint8)
+    rows = spark.createDataFrame([(k, 32, 24, bytearray(f(px))) for k, f in enumerate((kernels.encode_png, jpeg.encode))], "_idx long, width long, height long, image binary")
+    options = {"size": 16} if name.startswith("supervised") else {"size": 16, "seed": 1}
+    out = reduce(lambda d, f: f(d), getattr(presets, name)(**options), rows)
+    views = [c for c in out.columns if c == "px" or c.endswith("_px")]
+    got = out.collect()
+    assert views and len(got) == 2 and all(np.isfinite(r[c]).all() and len(r[c]) % 3 == 0 for r in got for c in views)
