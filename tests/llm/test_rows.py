@@ -256,10 +256,14 @@ def test_scores_against_plain_loops(spark):
     rows = [(k, " ".join([r.choice(vocabulary) for _ in range(r.randint(1, 40))] + (["Vileness!"] if k % 3 == 0 else ["né"])), "en") for k in range(200)] + [(200, "", None), (201, None, "en"), (202, "x" * 30_000 + " vile " * 5000, "de")]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
     model = toxicity.fit(docs, marks)
-    got = {x.doc_id: x for x in toxicity.classify(docs, marks).collect()}
+    got = {x.doc_id: x.score_of_text for x in toxicity.score(docs, model, ["doc_id"]).collect()}
+    kept = {x.doc_id for x in toxicity.score(docs, model, docs.columns, limit="lang").collect()}
     for k, text, lang in rows:
-        assert abs(got[k].score - cases.toxicity_score(text, model)) < 1e-4
-        assert got[k].rejected == (got[k].score >= model.thresholds.get(lang or "", model.threshold))
+        assert abs(got[k] - cases.toxicity_score(text, model)) < 1e-4
+        assert (k in kept) == (got[k] < model.thresholds.get(lang or "", model.threshold))
+    # What stands beside a text has no say in its score.
+    alone = {x.doc_id: x.score_of_text for k in (1, 7, 200) for x in toxicity.score(docs.where(f"doc_id = {k}"), model, ["doc_id"]).collect()}
+    assert all(abs(got[k] - v) < 1e-6 for k, v in alone.items())
 
 
 def test_every_column_of_the_media_report(table):
