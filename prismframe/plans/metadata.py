@@ -401,3 +401,22 @@ def sync_plan(spark, d):
     remote = table(spark, d, "documents").select(name(F.col("doc_id")))
     lab = table(spark, d, "labels")
     return hashing.sync_plan(lab.select(name(F.col("doc_id"))).unionByName(lab.where("doc_id % 5 = 0").select(name(F.col("doc_id") + 1000000))), remote)
+
+
+@query("SELECT p_partkey AS _idx, p_name AS name, CAST(p_size AS BIGINT) AS size, CAST(p_retailprice AS DOUBLE) AS price FROM part")
+def chunked_items(spark, d):
+    """part written as binary chunks of up to 100 items, and read back."""
+    import struct
+
+    import pyarrow as pa
+
+    from prismframe.sources import chunked
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("p_partkey")
+        items = [[n.encode(), struct.pack("<q", s), struct.pack("<d", p)] for n, s, p in zip(*(rows.column(c).to_pylist() for c in ("name", "size", "price")))]
+        return pa.table({"content": pa.array([chunked.encode(items)], pa.binary()), "first": pa.array([rows.column("p_partkey")[0].as_py()], pa.int64())})
+
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("long"), F.floor(F.col("p_partkey") / 100).alias("k"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
+    chunks = part.groupBy("k").applyInArrow(pack, "content binary, first long")
+    return chunked.unpacked(chunks, "content", "first", {"name": "str", "size": "int", "price": "float"})

@@ -25,7 +25,7 @@ ROWS = {IMAGE: np.dtype([("mode", "<u1"), ("width", "<u2"), ("height", "<u2"), (
 SQL = {IMAGE: "struct<data:binary,size:bigint,height:int,width:int>", INT: "bigint", FLOAT: "double", BYTES: "binary", JSON: "string"}
 
 
-def _open(path: str):
+def open_file(path: str):
     """A file of any file system that Arrow knows, by its URI, or a local path."""
     from pyarrow import fs
 
@@ -36,7 +36,7 @@ def _open(path: str):
 class PackedFile:
     def __init__(self, path: str):
         self.path = path
-        with _open(path) as f:
+        with open_file(path) as f:
             self.header = np.frombuffer(f.read_at(HEADER.itemsize, 0), HEADER)[0]
             if self.header["version"] != 2:
                 raise ValueError(f"version {self.header['version']}")
@@ -50,7 +50,7 @@ class PackedFile:
 
     def ends(self) -> dict[int, np.ndarray]:
         """For each variable-length field where its pages' parts end, by sample."""
-        with _open(self.path) as f:
+        with open_file(self.path) as f:
             at = int(self.header["table"])
             table = np.frombuffer(f.read_at((f.size() - at) // ENTRY.itemsize * ENTRY.itemsize, at), ENTRY)
         out = {}
@@ -62,7 +62,7 @@ class PackedFile:
 
     def read(self, low: int, high: int, ends: dict[int, np.ndarray], names: list[str]) -> pa.RecordBatch:
         """The samples low to high; ends: of just these."""
-        with _open(self.path) as f:
+        with open_file(self.path) as f:
             rows = np.frombuffer(f.read_at((high - low) * self.row.itemsize, self.start + low * self.row.itemsize), self.row)
             columns = {"_idx": pa.array(np.arange(low, high, dtype=np.int64))}
             for k, (name, kind) in enumerate(zip(self.names, self.kinds)):
