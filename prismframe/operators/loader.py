@@ -80,5 +80,10 @@ class Loader:
         """Batches one after the other, the next partitions fetched ahead."""
         return self.batches().orderBy("_batch").toLocalIterator(prefetchPartitions=True)
 
+    def warmup(self) -> dict[str, int]:
+        """Keeps the table in the executors' memory and disks, whole; how many rows and partitions it has. The epoch stays as it is."""
+        kept = self.table.persist()
+        return {"rows": kept.count(), "partitions": kept.rdd.getNumPartitions()}
+
     def shutdown(self) -> None:
         self.table.unpersist()

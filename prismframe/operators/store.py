@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prismframe.functions.imagebytes import image_format
 from prismframe.operators import ordinal
 
 BINARY_TAGS = ("ImageBytes", "HFImageDict", "bytes")
@@ -104,6 +105,53 @@ class Store:
             raise ValueError(f"{field} holds bytes")
         return index(self.rows(), field)
 
+    # --- tables beside the rows: saved indexes, planar YUV ---
+
+    def _beside(self, kind: str, field: str = "") -> str:
+        return f"{self.path}/{kind}/{field}".rstrip("/")
+
+    def save_index(self, field: str, size: int = 1 << 16) -> DataFrame:
+        """index_blocks() of a field, written in the order of values, so that a lookup reads few row groups."""
+        if self.manifest()["fields"][field]["type"] in BINARY_TAGS:
+            raise ValueError(f"{field} holds bytes")
+        index_blocks(self.rows(), field, size).repartitionByRange("value", "block").sortWithinPartitions("value", "block").write.mode("overwrite").parquet(self._beside("index", field))
+        return self.saved_index(field)
+
+    def saved_index(self, field: str) -> DataFrame:
+        if field not in self.indexes():
+            raise KeyError(field)
+        return self.spark.read.parquet(self._beside("index", field))
+
+    def indexes(self) -> list[str]:
+        """The fields whose indexes were saved whole."""
+        fs, path = self._fs()
+        root = path(self._beside("index"))
+        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(p.getName() for p in found if fs.exists(path(p, "_SUCCESS")))
+
+    def image_format(self, field: str) -> str:
+        """jpeg, png or other, as of the first image that is there; jpeg where there is none."""
+        if self.manifest()["fields"][field]["type"] not in BINARY_TAGS:
+            raise KeyError(field)
+        first = self.rows().where(F.col(field).isNotNull()).select(image_format(F.col(field)).alias("f")).first()
+        return first.f if first else "jpeg"
+
+    def build_yuv(self, field: str = "image") -> DataFrame:
+        """(_idx, field, height, width): the images as planar YUV 4:2:0, written once beside the rows; made again only if rows were added or lost."""
+        from prismframe.operators.prepare import to_yuv420
+
+        have = self.yuv(field)
+        if have is None or have.count() != self.manifest()["num_samples"]:
+            sizes = [c for c in ("height", "width") if c in self.rows().columns]
+            to_yuv420(field)(self.rows().select("_idx", field, *sizes)).write.mode("overwrite").parquet(self._beside("yuv420", field))
+        return self.yuv(field)
+
+    def yuv(self, field: str = "image") -> DataFrame | None:
+        """What build_yuv() wrote; null if there is nothing, or not all of it."""
+        fs, path = self._fs()
+        at = self._beside("yuv420", field)
+        return self.spark.read.parquet(at) if fs.exists(path(f"{at}/_SUCCESS")) else None
+
     def batch(self, ids: DataFrame, fields: list[str] | None = None) -> DataFrame:
         return load_batch(self.rows(), ids, fields)
 

@@ -420,3 +420,10 @@ def chunked_items(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").cast("long"), F.floor(F.col("p_partkey") / 100).alias("k"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
     chunks = part.groupBy("k").applyInArrow(pack, "content binary, first long")
     return chunked.unpacked(chunks, "content", "first", {"name": "str", "size": "int", "price": "float"})
+
+
+@query(f"WITH {META}, r AS (SELECT _idx, CASE WHEN width<=height THEN 256 ELSE 256*width//height END AS width, CASE WHEN width<=height THEN 256*height//width ELSE 256 END AS height FROM m), c AS (SELECT *, least(width,512) AS out_width, least(height,512) AS out_height FROM r), s AS (SELECT *, (width-out_width)//2 AS hx, (height-out_height)//2 AS hy FROM c) SELECT _idx, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, CAST(hx + (width-out_width)%2*(hx%2) AS BIGINT) AS x, CAST(hy + (height-out_height)%2*(hy%2) AS BIGINT) AS y, CAST(out_width AS BIGINT) AS out_width, CAST(out_height AS BIGINT) AS out_height FROM s")
+def prepare_short_long(spark, d):
+    from prismframe.operators.prepare import short_long_size
+
+    return meta(spark, d).select("_idx", short_long_size(W(), H()).alias("s")).select("_idx", "s.*")

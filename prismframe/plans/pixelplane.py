@@ -276,6 +276,50 @@ def decode_jpeg_solid(spark, d):
     return encoded.mapInArrow(decode, "_idx long, format string, width long, height long, least long, most long, total long")
 
 
+def _gray_pngs(spark, d) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    from prismframe.operators import kernels
+    from prismframe.plans.metadata import meta
+
+    def make(batches):
+        for b in batches:
+            data = [kernels.encode_png(np.full((h, w, 3), v, np.uint8)) for w, h, v in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["_idx", "image"])
+
+    rows = meta(spark, d).select("_idx", (1 + F.col("width") % 40).alias("w"), (1 + F.col("height") % 30).alias("h"), (F.col("_idx") * 29 % 256).alias("v"))
+    return rows.mapInArrow(make, "_idx long, image binary")
+
+
+_GRAYS = f"WITH {_SIZES}, g AS (SELECT _idx, 1 + width%40 AS w, 1 + height%30 AS h, v FROM m)"
+
+
+@query(f"{_GRAYS} SELECT _idx, h + h%2 AS height, w + w%2 AS width, (h + h%2)*(w + w%2)*3//2 AS size, repeat('80', CAST((h + h%2)*(w + w%2)//2 AS INTEGER)) AS chroma FROM g")
+def images_to_yuv420(spark, d):
+    """PNGs of one gray each as planar YUV: even sizes, and neutral chroma planes in hex."""
+    from prismframe.operators.prepare import to_yuv420
+
+    luma = (F.col("height") * F.col("width")).cast("int")
+    return to_yuv420()(_gray_pngs(spark, d)).select("_idx", "height", "width", F.octet_length("image").cast("long").alias("size"), F.hex(F.substring("image", luma + 1, luma)).alias("chroma"))
+
+
+@query(f"{_GRAYS}, r AS (SELECT _idx, v, CASE WHEN w<=h THEN 16 ELSE 16*w//h END AS w, CASE WHEN w<=h THEN 16*h//w ELSE 16 END AS h FROM g) SELECT _idx, CAST(least(w,32) AS BIGINT) AS width, CAST(least(h,32) AS BIGINT) AS height, v AS least, v AS most FROM r")
+def prepare_images(spark, d):
+    """PNGs of one gray each, short edge to 16, long edge cut to 32: size, least and greatest byte."""
+    import pyarrow as pa
+
+    from prismframe.operators import kernels, prepare
+
+    def look(batches):
+        for b in batches:
+            images = kernels.decode_all(b.column(1).to_pylist(), [0] * b.num_rows, [0] * b.num_rows)
+            got = [(x.shape[1], x.shape[0], int(x.min()), int(x.max())) for x in images]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.int64()) for k in range(4))], ["_idx", "width", "height", "least", "most"])
+
+    return prepare.short_long(16, 32)(_gray_pngs(spark, d)).mapInArrow(look, "_idx long, width long, height long, least long, most long")
+
+
 _MIX = (
     f"WITH {PAIR}, d1 AS (SELECT *, {u('mix/do')} < 0.8::DOUBLE AS does, {u('mix/switch')} < 0.5::DOUBLE AS cuts, {u('mix/cut')} AS lc, {u('mix/lam')} AS lm, CAST(floor({u('mix/cy')}*4) AS BIGINT) AS cy, CAST(floor({u('mix/cx')}*4) AS BIGINT) AS cx FROM w), "
     "d2 AS (SELECT _idx, other, label, other_label, cy, cx, does AND cuts AS cut, CASE WHEN NOT does THEN 1.0::DOUBLE WHEN cuts THEN lc ELSE lm END AS l0 FROM d1), "
