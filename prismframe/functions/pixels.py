@@ -291,6 +291,11 @@ def flat(rows: list[list]) -> Column:
     return F.array(*[x.cast("double") if isinstance(x, Column) else F.lit(float(x)) for row in rows for x in row])
 
 
+def bound(rows, *draws: Column) -> Column:
+    """flat(rows(*draws)), with each draw worked out once a row, however many entries use it."""
+    return let(F.struct(*[d.alias(f"d{k}") for k, d in enumerate(draws)]), lambda t: flat(rows(*[t[f"d{k}"] for k in range(len(draws))])))
+
+
 def held(m: Column, size: int = 3) -> list[list]:
     """The rows of a matrix that a column holds flat."""
     return [[F.get(m, F.lit(size * i + j)) for j in range(size)] for i in range(size)]

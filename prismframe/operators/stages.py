@@ -211,10 +211,10 @@ def _drawn(column: str, name: str, params: dict[str, Column], kernel: Step, keep
     return lambda df: (lambda out: out if keep else out.drop(*columns))(kernel(df.withColumns(columns)))
 
 
-def warped(column: str, shape: tuple[int, int, int], matrix: list[list], p: float, salt: str, name: str, mode: str = "zeros", keep: bool = False) -> Step:
-    """Seen through a matrix of columns, with probability p; else as it is."""
+def warped(column: str, shape: tuple[int, int, int], matrix: Column, p: float, salt: str, name: str, mode: str = "zeros", keep: bool = False) -> Step:
+    """Seen through a flat matrix, with probability p; else as it is."""
     still = [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
-    m = F.when(chosen(p, salt, K()), pixels.flat(matrix)).otherwise(pixels.flat(still))
+    m = F.when(chosen(p, salt, K()), matrix).otherwise(pixels.flat(still))
     kernel = batch_kernel(column, shape, lambda px, m: kernels.affine(px, m, mode), f"{column}_{name}_m")
     return _drawn(column, name, {"m": m}, kernel, keep)
 
@@ -223,18 +223,18 @@ def random_rotate(column: str, shape: tuple[int, int, int], p: float = 0.5, most
     """By up to `most` degrees either way, or by one of `angles`, about a point from 0 to 1."""
     u = uniform(salt + "/deg", K())
     degrees = between(-most, most, u) if angles is None else F.get(F.array(*[F.lit(float(a)) for a in angles]), F.floor(u * len(angles)).cast("int"))
-    return warped(column, shape, pixels.rotate_rows(degrees, between(*x, uniform(salt + "/x", K())), between(*y, uniform(salt + "/y", K()))), p, salt, "rotate", mode, keep)
+    return warped(column, shape, pixels.bound(pixels.rotate_rows, degrees, between(*x, uniform(salt + "/x", K())), between(*y, uniform(salt + "/y", K()))), p, salt, "rotate", mode, keep)
 
 
 def random_zoom(column: str, shape: tuple[int, int, int], p: float = 0.5, zoom=(0.5, 1.0), x=(0.5, 0.5), y=(0.5, 0.5), mode: str = "zeros", salt: str = "zoom", keep: bool = False) -> Step:
-    rows = pixels.zoom_rows(between(*zoom, uniform(salt + "/z", K())), between(*x, uniform(salt + "/x", K())), between(*y, uniform(salt + "/y", K())))
+    rows = pixels.bound(pixels.zoom_rows, between(*zoom, uniform(salt + "/z", K())), between(*x, uniform(salt + "/x", K())), between(*y, uniform(salt + "/y", K())))
     return warped(column, shape, rows, p, salt, "zoom", mode, keep)
 
 
 def random_rotate_object(column: str, shape: tuple[int, int, int], p: float = 0.5, most: float = 45, x=(0.5, 0.5), y=(0.5, 0.5), scale=(1.0, 2.0), to_x=(0.25, 0.75), to_y=(0.25, 0.75), mode: str = "border", salt: str = "object", keep: bool = False) -> Step:
     """Turned and scaled about a point that moves to another."""
     draw = lambda k, r: between(*r, uniform(f"{salt}/{k}", K()))
-    rows = pixels.rotate_object_rows(draw("deg", (-most, most)), draw("x", x), draw("y", y), draw("z", scale), draw("tx", to_x), draw("ty", to_y))
+    rows = pixels.bound(pixels.rotate_object_rows, draw("deg", (-most, most)), draw("x", x), draw("y", y), draw("z", scale), draw("tx", to_x), draw("ty", to_y))
     return warped(column, shape, rows, p, salt, "object", mode, keep)
 
 

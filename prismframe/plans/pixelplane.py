@@ -92,9 +92,9 @@ matrix("jitter_hsv", _jitter_sql(), None)
 
 
 def jitter_hsv(spark, d):
-    rows = pixels.jitter_rows(uniform("hue", "_idx") * 40 - 20, F.lit(0.5) + uniform("jsat", "_idx"), F.lit(0.8) + uniform("jval", "_idx") * 0.4)
+    m = pixels.bound(pixels.jitter_rows, uniform("hue", "_idx") * 40 - 20, F.lit(0.5) + uniform("jsat", "_idx"), F.lit(0.8) + uniform("jval", "_idx") * 0.4)
     # The matrix is a column of its own: worked out once a row, not once a pixel.
-    df = px(spark, d).withColumn("m", pixels.flat(rows))
+    df = px(spark, d).withColumn("m", m)
     return values(df, pixels.each(pixels.mixed(F.col("px"), HW, pixels.held(F.col("m"))), pixels.clamp))
 
 
@@ -239,8 +239,8 @@ matrix("jitter_twist", _twist_sql(), None)
 
 
 def jitter_twist(spark, d):
-    rows = pixels.jitter_rows(uniform("hue", "_idx") * 40 - 20, F.lit(0.5) + uniform("jsat", "_idx"), F.lit(0.8) + uniform("jval", "_idx") * 0.4)
-    df = px(spark, d).withColumn("m", pixels.flat(rows)).withColumn("b", F.lit(0.8) + uniform("tw/b", "_idx") * 0.4).withColumn("c", F.lit(0.5) + uniform("tw/c", "_idx"))
+    m = pixels.bound(pixels.jitter_rows, uniform("hue", "_idx") * 40 - 20, F.lit(0.5) + uniform("jsat", "_idx"), F.lit(0.8) + uniform("jval", "_idx") * 0.4)
+    df = px(spark, d).withColumn("m", m).withColumn("b", F.lit(0.8) + uniform("tw/b", "_idx") * 0.4).withColumn("c", F.lit(0.5) + uniform("tw/c", "_idx"))
     return values(df, pixels.twisted(F.col("px"), HW, pixels.held(F.col("m")), F.col("b"), F.col("c")))
 
 
@@ -423,20 +423,20 @@ _ROT = ["cos(d)", "sin(d)", "x-cos(d)*x-sin(d)*y", "-sin(d)", "cos(d)", "y+sin(d
 
 @query(f"WITH t AS (SELECT vec_id AS _idx FROM embeddings), q AS (SELECT _idx, {_DEG} AS d, {_X} AS x, {_Y} AS y FROM t) " + " UNION ALL ".join(f"SELECT _idx, {k} AS k, round(({e})::DOUBLE, 5) AS v FROM q" for k, e in enumerate(_ROT)))
 def rotate_matrix(spark, d):
-    rows = pixels.rotate_rows(uniform("deg", "_idx") * 90 - 45, uniform("cx", "_idx"), uniform("cy", "_idx"))
-    return values(px(spark, d), pixels.flat(rows))
+    m = pixels.bound(pixels.rotate_rows, uniform("deg", "_idx") * 90 - 45, uniform("cx", "_idx"), uniform("cy", "_idx"))
+    return values(px(spark, d), m)
 
 
 @query(f"WITH t AS (SELECT vec_id AS _idx FROM embeddings), q AS (SELECT _idx, {_Z} AS z, {_X} AS x, {_Y} AS y FROM t) " + " UNION ALL ".join(f"SELECT _idx, {k} AS k, round(({e})::DOUBLE, 5) AS v FROM q" for k, e in enumerate(["z", "0", "(1-z)*x", "0", "z", "(1-z)*y", "0", "0", "1"])))
 def zoom_matrix(spark, d):
-    return values(px(spark, d), pixels.flat(pixels.zoom_rows(F.lit(0.5) + uniform("zoom", "_idx"), uniform("cx", "_idx"), uniform("cy", "_idx"))))
+    return values(px(spark, d), pixels.bound(pixels.zoom_rows, F.lit(0.5) + uniform("zoom", "_idx"), uniform("cx", "_idx"), uniform("cy", "_idx")))
 
 
 @query(f"WITH t AS (SELECT vec_id AS _idx FROM embeddings), q AS (SELECT _idx, {_DEG} AS d, {_X} AS x, {_Y} AS y, {_Z} AS z, ({u('cx')}-{u('tx')})*2 AS sx, ({u('cy')}-{u('ty')})*2 AS sy FROM t), m AS (SELECT *, z*cos(d) AS a, z*sin(d) AS b, cos(d)*(1-z)*x + sin(d)*(1-z)*y + x-cos(d)*x-sin(d)*y AS c, -sin(d)*(1-z)*x + cos(d)*(1-z)*y + y+sin(d)*x-cos(d)*y AS f FROM q) " + " UNION ALL ".join(f"SELECT _idx, {k} AS k, round(({e})::DOUBLE, 5) AS v FROM m" for k, e in enumerate(["a", "b", "a*sx+b*sy+c", "-b", "a", "-b*sx+a*sy+f", "0", "0", "1"])))
 def rotate_object_matrix(spark, d):
     draw = lambda s: uniform(s, "_idx")
-    rows = pixels.rotate_object_rows(draw("deg") * 90 - 45, draw("cx"), draw("cy"), F.lit(0.5) + draw("zoom"), draw("tx"), draw("ty"))
-    return values(px(spark, d), pixels.flat(rows))
+    matrix = pixels.bound(pixels.rotate_object_rows, draw("deg") * 90 - 45, draw("cx"), draw("cy"), F.lit(0.5) + draw("zoom"), draw("tx"), draw("ty"))
+    return values(px(spark, d), matrix)
 
 
 @query()

@@ -27,9 +27,9 @@ def flip(column: str, size: int, s: str, p: float = 0.5) -> Step:
 
 def jitter(column: str, size: int, s: str, p: float = 0.8) -> Step:
     """Hue, saturation and value about their middle, in YIQ."""
-    rows = pixels.jitter_rows(between(-36, 36, uniform(s + "/h", "_idx")), between(0.6, 1.4, uniform(s + "/s", "_idx")), between(0.6, 1.4, uniform(s + "/v", "_idx")))
+    m = pixels.bound(pixels.jitter_rows, between(-36, 36, uniform(s + "/h", "_idx")), between(0.6, 1.4, uniform(s + "/s", "_idx")), between(0.6, 1.4, uniform(s + "/v", "_idx")))
     turned = lambda: pixels.each(pixels.mixed(F.col(column), size * size, pixels.held(F.col("_m"))), pixels.clamp)
-    return lambda df: df.withColumn("_m", pixels.flat(rows)).withColumn(column, F.when(chosen(p, s, "_idx"), turned()).otherwise(F.col(column))).drop("_m")
+    return lambda df: df.withColumn("_m", m).withColumn(column, F.when(chosen(p, s, "_idx"), turned()).otherwise(F.col(column))).drop("_m")
 
 
 def gray(column: str, size: int, s: str, p: float = 0.2) -> Step:
