@@ -48,7 +48,7 @@ def copied(files: DataFrame, source: str, target: str, spread: int = 64) -> Data
                 to = f"{out.rstrip('/')}/{name}"
                 b.create_dir(posixpath.dirname(to), recursive=True)
                 part, n = f"{to}.{uuid.uuid4().hex}.part", 0
-                with a.open_input_stream(f"{base.rstrip('/')}/{name}") as x, b.open_output_stream(part) as y:
+                with a.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None) as x, b.open_output_stream(part, compression=None) as y:
                     while piece := x.read(PIECE):
                         y.write(piece)
                         n += len(piece)

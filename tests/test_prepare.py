@@ -1,5 +1,7 @@
 """Prepared datasets, planar YUV and saved indexes of a store, copies between folders."""
 
+import gzip
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,8 +65,10 @@ def test_copies(spark, tmp_path):
     (a / "x").mkdir(parents=True)
     (a / "x/one").write_bytes(b"1" * 1000)
     (a / "two").write_bytes(b"")
+    (a / "three.gz").write_bytes(gzip.compress(b"3" * 9000))
     assert remote.exists(str(a)) and not remote.exists(str(b))
-    assert remote.copy_folder(spark, str(a), str(b)) == {"files": 2, "bytes": 1000}
+    assert remote.copy_folder(spark, str(a), str(b)) == {"files": 3, "bytes": 1000 + (a / "three.gz").stat().st_size}
+    assert (b / "three.gz").read_bytes() == (a / "three.gz").read_bytes()
     assert (b / "x/one").read_bytes() == b"1" * 1000 and not list(b.rglob("*.part"))
     assert remote.copy_folder(spark, str(a), f"file://{b}") == {"files": 0, "bytes": 0}
     (b / "three").write_bytes(b"333")
