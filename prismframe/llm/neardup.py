@@ -40,6 +40,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Texts of one side of a task that pairs a band's texts.
 GRID = 2000
+#: Shingles of the bags that a task compares others with at once.
+BLOCK = 1 << 19
 #: Precomputed draws of the sampling; a shingle takes one by its hash, another for each sample.
 POOL_BITS = 16
 
@@ -192,6 +194,55 @@ def similarity(a: list[np.ndarray], b: list[np.ndarray], total: int) -> float:
     return float(low / (wa.sum() + wb.sum() - low))
 
 
+def linked(a: np.ndarray, b: np.ndarray, bags: dict[int, bytes], total: int, least: float) -> np.ndarray:
+    """Which pairs (a, b) of rows, each pair once, have a similarity of at least `least`; bags: packed, by row.
+
+    A block of the bags of b is unpacked and its shingles are numbered; each text of
+    a then meets all its texts of the block in one pass over arrays, so a pair in a
+    large group costs some microseconds.  Sums of another order differ in their last
+    bits: pairs that close to `least` are left to similarity().
+    """
+    out = np.zeros(len(a), bool)
+    rows, of = np.unique(b, return_inverse=True)
+    order = np.lexsort((a, of))
+    begin = 0
+    while begin < len(rows):
+        block, items = [], 0
+        while begin + len(block) < len(rows) and (not block or items < BLOCK):
+            block.append(unpack_arrays(bags[int(rows[begin + len(block)])]))
+            items += len(block[-1][0])
+        size = np.array([len(x[0]) for x in block])
+        firsts = np.append(0, np.cumsum(size))
+        kinds, kind = np.unique(np.concatenate([x[0] for x in block]), return_inverse=True)
+        tf = np.concatenate([x[1].astype(np.int64) for x in block])
+        one = weights(np.ones(len(tf)), np.concatenate([x[2].astype(np.int64) for x in block]), total)
+        full = np.add.reduceat(tf * one, firsts[:-1])
+        own = order[slice(*np.searchsorted(of[order], [begin, begin + len(block)]))]
+        own = own[np.argsort(a[own], kind="stable")]
+        count = np.zeros(len(kinds), np.int64)
+        cuts = np.flatnonzero(np.append(True, a[own][1:] != a[own][:-1])) if len(own) else own
+        for pick in np.split(own, cuts[1:]):
+            mine = unpack_arrays(bags[int(a[pick[0]])])
+            weight = weights(mine[1].astype(np.int64), mine[2].astype(np.int64), total).sum()
+            at = np.searchsorted(kinds, mine[0])
+            at[at == len(kinds)] = 0
+            same = kinds[at] == mine[0]
+            count[at[same]] = mine[1][same]
+            to = of[pick] - begin
+            if len(to) == len(block):
+                low = np.add.reduceat(np.minimum(count[kind], tf) * one, firsts[:-1])[to]
+            else:
+                x = ragged(firsts[to], size[to])
+                low = np.add.reduceat(np.minimum(count[kind[x]], tf[x]) * one[x], np.append(0, np.cumsum(size[to])[:-1]))
+            count[at[same]] = 0
+            got = low / (weight + full[to] - low)
+            out[pick] = got >= least
+            for k in np.flatnonzero(np.abs(got - least) < 1e-9).tolist():
+                out[pick[k]] = similarity(mine, block[to[k]], total) >= least
+        begin += len(block)
+    return out
+
+
 def _verified(pairs: DataFrame, bags: DataFrame, total: int, least: float) -> DataFrame:
     """The pairs (a, b) of rows whose similarity is at least `least`.
 
@@ -210,13 +261,9 @@ def _verified(pairs: DataFrame, bags: DataFrame, total: int, least: float) -> Da
         if not x.num_rows or not y.num_rows:
             return none
         have = dict(zip(y.column("row").to_pylist(), y.column("bag").to_pylist()))
-        held, out = (None, None), []
-        for u, v in sorted(zip(x.column("a").to_pylist(), x.column("b").to_pylist())):
-            if held[0] != u:
-                held = (u, unpack_arrays(have[u]))
-            if similarity(held[1], unpack_arrays(have[v]), total) >= least:
-                out.append((u, v))
-        return pa.table([pa.array([k for k, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], names=["a", "b"])
+        a, b = (x.column(c).to_numpy() for c in ("a", "b"))
+        hit = linked(a, b, have, total, least)
+        return pa.table([pa.array(a[hit], pa.int64()), pa.array(b[hit], pa.int64())], names=["a", "b"])
 
     return dealt.groupBy("i", "j").cogroup(sent.groupBy("p", "q")).applyInArrow(run, "a long, b long")
 
