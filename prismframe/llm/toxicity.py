@@ -6,17 +6,20 @@ beginnings, so rare forms share what their stems have learnt.  Filters one, two
 text, each keeps its greatest response, and a logistic layer weighs those.  Only
 the places of the greatest responses carry a gradient, so training is cheap.
 
-What is learnt is learnt from a bounded sample of labelled rows (SAMPLE_PER_CLASS
-rows of each class, in the order of a hash of the id; of texts of more than
-TRAIN_WORDS words, stretches of so many); every document is scored, over its whole text.  A part of the sample is
-kept from training to set the thresholds: one for each language with enough rows
-of both classes, and one for the rest.  Language decides only the threshold,
-never the score.
+What is learnt is learnt from every labelled row whose remainder is not 0, over
+its whole text.  Those rows are dealt to shards of some SHARD_BYTES of text by a hash
+of the id.  In each epoch every shard goes on from the common model; then the shards'
+models are averaged, an embedding row over the shards that touched it.  One shard, as
+small tables have, is trained without a break.  A fifth of the rows, by another hash
+of the id, is kept from training to set the thresholds: one for each language with
+enough rows of both classes, and one for the rest.  Language decides only the
+threshold, never the score.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
-from .common import Texts, distinct_spans, lowered, remainder, span_hashes, word_bounds
+from .common import BACK_SCHEMA, Texts, back_rows, checkpointed, distinct_spans, free, give_back, lowered, narrow, pack_arrays, ragged, reduce_bins, remainder, span_hashes, unpack_arrays, word_bounds
 
 BUCKET_BITS = 16
 #: Beginnings of words, in bytes, that have rows too.
@@ -33,9 +36,12 @@ STEMS = (4, 5, 6, 7, 8, 9)
 WIDTH = 8
 FILTERS = 8
 SPANS = (1, 2, 3)
-SAMPLE_PER_CLASS = 4000
-#: Words of a labelled text that are trained on, and words of one stretch where a longer text is shortened to so many.
-TRAIN_WORDS, STRETCH = 4096, 64
+#: Text bytes of a shard of labelled rows, and of all rows that are searched for them at a time.
+SHARD_BYTES, PIECE_BYTES = 16 << 20, 32 << 20
+#: Blocks of the embedding table that are averaged apart, at least, and shards for each of them beyond that.
+BLOCKS, SHARDS_PER_BLOCK = 32, 16
+#: Words of one stretch where shortened() takes a long text's.
+STRETCH = 64
 EPOCHS = 8
 BATCH = 64
 #: Text bytes scored at a time.
@@ -79,8 +85,12 @@ def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Sample:
     """Texts for training as numbers of distinct words; an item is a text's embedding rows."""
 
-    def __init__(self, texts: pa.Array):
-        numbers, rows, self.numbers = {}, [np.zeros((0, 1 + len(STEMS)), np.int32)], []
+    def __init__(self, rows: np.ndarray, numbers: np.ndarray, firsts: np.ndarray):
+        self.rows, self.numbers, self.firsts = rows, numbers, firsts
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Sample:
+        numbers, rows, own, sizes = {}, [np.zeros((0, 1 + len(STEMS)), np.int32)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         for part in in_slices(pa.RecordBatch.from_arrays([texts], ["text"]), SLICE, 0):
             raw, starts, ends, firsts = words_of(part.column(0))
             code, first = distinct_spans(raw, starts, ends)
@@ -88,15 +98,19 @@ class Sample:
             new = np.array([k for k, w in enumerate(words) if w not in numbers], np.int64)
             numbers.update(zip([words[k] for k in new.tolist()], range(len(numbers), len(numbers) + len(new))))
             rows.append(rows_of(raw, starts[first[new]], ends[first[new]]))
-            own = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))[code]
-            self.numbers += [own[a:b] for a, b in zip(firsts.tolist(), firsts[1:].tolist())]
-        self.rows = np.concatenate(rows)
+            own.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))[code])
+            sizes.append(np.diff(firsts))
+        return cls(np.concatenate(rows), np.concatenate(own), np.cumsum(np.concatenate(sizes)))
 
     def __len__(self):
-        return len(self.numbers)
+        return len(self.firsts) - 1
 
     def __getitem__(self, k: int) -> np.ndarray:
-        return self.rows[self.numbers[k]]
+        return self.rows[self.numbers[self.firsts[k] : self.firsts[k + 1]]]
+
+    def some(self, keep: np.ndarray) -> Sample:
+        size = np.diff(self.firsts)[keep]
+        return Sample(self.rows, self.numbers[ragged(self.firsts[:-1][keep], size)], np.append(0, np.cumsum(size)))
 
 
 def shortened(texts: pa.Array, words: int) -> list[bytes]:
@@ -174,22 +188,24 @@ def responses(x: np.ndarray, f: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return y
 
 
-def train(texts, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Model:
-    """Adam over shuffled batches; texts: a sequence of their embedding rows. Without rows of both classes, the base rate is the score."""
-    rng = np.random.default_rng(seed)
-    labels = np.asarray(labels, np.float32)
-    if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros((1 << BUCKET_BITS, WIDTH), np.float32), [np.zeros((s, WIDTH, FILTERS), np.float32) for s in SPANS], np.zeros(len(SPANS) * FILTERS, np.float32), float(labels.mean()) if len(labels) else 0.0, trained=False)
+def start(rate: float, rng: np.random.Generator) -> tuple[np.ndarray, list[np.ndarray]]:
+    """An untrained table, and filters, weights and bias; rate: the share of rows with label 1."""
     table = rng.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
     table[0] = 0
     dense = [rng.normal(0, 0.4, (s, WIDTH, FILTERS)).astype(np.float32) for s in SPANS] + [np.full(len(SPANS) * FILTERS, 0.3, np.float32), np.zeros(1, np.float32)]
+    dense[-1][0] = np.log(rate / (1 - rate)) - 0.5
+    return table, dense
+
+
+def descend(table: np.ndarray, dense: list[np.ndarray], texts, labels: np.ndarray, epochs: Iterable[int], rng: np.random.Generator) -> np.ndarray:
+    """Adam over shuffled batches, in place; texts: a sequence of their embedding rows. Which rows of the table have changed."""
     m1, m2 = [np.zeros_like(d) for d in dense], [np.zeros_like(d) for d in dense]
     t1, t2 = np.zeros_like(table), np.zeros_like(table)
-    step, rate = 0, labels.mean()
-    dense[-1][0] = np.log(rate / (1 - rate)) - 0.5
-    for epoch in range(epochs):
+    touched = np.zeros(len(table), bool)
+    step = 0
+    for epoch in epochs:
         order = rng.permutation(len(texts))
-        pace = RATE * (1 - epoch / (epochs + 1))
+        pace = RATE * (1 - epoch / (EPOCHS + 1))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             parts = [texts[int(k)] for k in pick]
@@ -230,10 +246,11 @@ def train(texts, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Mod
             np.add.at(g, where, np.concatenate(steps))
             keep = rows > 0
             rows, g = rows[keep], g[keep]
+            touched[rows] = True
             t1[rows] = 0.9 * t1[rows] + 0.1 * g
             t2[rows] = 0.999 * t2[rows] + 0.001 * g * g
             table[rows] -= pace * (t1[rows] / fix1) / (np.sqrt(t2[rows] / fix2) + 1e-8)
-    return Model(table, dense[: len(SPANS)], dense[-2], float(dense[-1][0]))
+    return touched
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -248,47 +265,177 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.clip(cuts[best[np.argmin(np.abs(cuts[best] - 0.5))]], *THRESHOLDS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """A model from labelled rows whose remainder is not 0.
+def _packed(sample: Sample, y: np.ndarray, held: np.ndarray, lang: list[str]) -> bytes:
+    kinds = sorted(set(lang))
+    names = [x.encode() for x in kinds]
+    at = {x: k for k, x in enumerate(kinds)}
+    own = np.array([at[x] for x in lang], np.int64)
+    return pack_arrays(sample.rows.reshape(-1).astype(np.uint32), narrow(sample.numbers), narrow(np.diff(sample.firsts)), y.astype(np.uint8), held.astype(np.uint8), narrow(own), narrow(np.array([len(x) for x in names], np.int64)), np.frombuffer(b"".join(names), np.uint8))
+
+
+def _unpacked(blob: bytes) -> tuple[Sample, np.ndarray, np.ndarray, list[str]]:
+    rows, numbers, sizes, y, held, own, lengths, names = unpack_arrays(blob)
+    cuts = np.append(0, np.cumsum(lengths.astype(np.int64))).tolist()
+    kinds = [names[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:])]
+    sample = Sample(rows.astype(np.int32).reshape(-1, 1 + len(STEMS)), numbers.astype(np.int32), np.append(0, np.cumsum(sizes.astype(np.int64))))
+    return sample, y.astype(np.int64), held.astype(bool), [kinds[k] for k in own.tolist()]
+
+
+SHARD_SCHEMA = "shard long, blob binary, size long, n long, toxic long"
+
+
+def _shard(number: int, blob: bytes, size: int, y: np.ndarray) -> pa.Table:
+    return pa.table([pa.array([number], pa.int64()), pa.array([blob], pa.binary()), pa.array([size], pa.int64()), pa.array([len(y)], pa.int64()), pa.array([int(y.sum())], pa.int64())], names=["shard", "blob", "size", "n", "toxic"])
+
+
+def _none() -> pa.Table:
+    return _shard(0, b"", 0, np.zeros(0, np.int64)).slice(0, 0)
+
+
+def shards_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shard, blob, size, n, toxic): every labelled row of docs whose remainder is not 0, with its whole text, packed for training.
 
     Rows of labels without id or label are left out; of several labels of an id
     the greatest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(remainder("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = lambda k: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    # At most 2 * per_class rows of two numbers.
-    sample = F.broadcast(some(0).unionAll(some(1)))
     language = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), language.alias("lang")).join(sample, "doc_id")
-
-    def shrink(batches):
-        for b in (part for whole in batches for part in in_slices(whole, SLICE)):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shortened(b.column(1), TRAIN_WORDS), pa.large_binary()).cast(pa.large_string()).cast(pa.string()), b.column(2), b.column(3)], ["doc_id", "text", "lang", "toxic"])
-
-    got = rows.mapInArrow(shrink, "doc_id long, text string, lang string, toxic int").toArrow()
-    ids = got.column("doc_id").to_pylist()
-    digest = [zlib.crc32(x.as_buffer()) for x in got.column("text")]
-    order = pa.array(sorted(range(len(ids)), key=lambda k: (ids[k] * 2654435761 % 2**32, ids[k], digest[k])), pa.int64())
-    got = got.take(order)
-    y, lang = np.asarray(got.column("toxic").to_numpy(), np.int64), np.array(got.column("lang").to_pylist(), object)
-    held = np.arange(len(y)) % 5 == 0  # for the thresholds
-    if len(y) < 50:
-        held[:] = False
-    texts = got.column("text").combine_chunks()
-    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-    model = train(Sample(texts.filter(pa.array(~held))), y[~held])
-    if held.any() and model.trained and 0 < y[held].sum() < held.sum():
-        scorer = model.scorer()
-        parts = in_slices(pa.RecordBatch.from_arrays([texts.filter(pa.array(held))], ["text"]), SLICE, 0)
-        scores = np.concatenate([scorer(*buckets(part.column(0))) for part in parts])
-        model.threshold = best_threshold(scores, y[held])
-        for x in sorted(set(lang[held])):
-            own = lang[held] == x
-            if min((y[held][own] == k).sum() for k in (0, 1)) >= THRESHOLD_ROWS:
-                model.thresholds[x] = best_threshold(scores[own], y[held][own])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), language.alias("lang")).where("doc_id is not null").where(remainder("doc_id") != 0)
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    pieces = max(1, -(-total // PIECE_BYTES))
+    piece = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece")
+
+    def take(docs: pa.Table, known: pa.Table) -> pa.Table:
+        marks = dict(zip(known.column("doc_id").to_pylist(), known.column("toxic").to_pylist()))
+        ids = docs.column("doc_id").to_pylist()
+        at = [k for k, x in enumerate(ids) if x in marks]
+        if not at:
+            return _none()
+        docs = docs.take(pa.array(at, pa.int64())).combine_chunks()
+        ids, lang = docs.column("doc_id").to_pylist(), docs.column("lang").to_pylist()
+        texts = docs.column("text").chunk(0)
+        digest = [zlib.crc32(x.as_buffer()) for x in texts]
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] * 2654435761 % 2**32, ids[k], digest[k], lang[k]))
+        y = np.array([marks[ids[k]] for k in order], np.int64)
+        held = np.array([zlib.crc32(b"thresholds %d" % ids[k]) % 5 == 0 for k in order])
+        texts = texts.take(pa.array(order, pa.int64()))
+        out = _shard(docs.column("piece")[0].as_py(), _packed(Sample.of(texts), y, held, [lang[k] for k in order]), texts.nbytes, y)
+        give_back()
+        return out
+
+    shards = checkpointed(rows.select(piece(), "*").groupBy("piece").cogroup(known.select(piece(), "*").groupBy("piece")).applyInArrow(take, SHARD_SCHEMA))
+    free(docs.sparkSession)
+    got, size = shards.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    wanted = max(1, -(-size // SHARD_BYTES))
+    if got <= 2 * wanted and (got < 2 or wanted > 1):
+        return shards
+
+    def merge(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("shard").to_numpy())
+        parts = [_unpacked(table.column("blob")[int(k)].as_py()) for k in order]
+        sizes, words = [len(p[0].rows) for p in parts], [p[0].firsts for p in parts]
+        numbers = [p[0].numbers + np.int32(a) for p, a in zip(parts, np.cumsum([0, *sizes]).tolist())]
+        sample = Sample(np.concatenate([p[0].rows for p in parts]), np.concatenate(numbers), np.append(0, np.cumsum(np.concatenate([np.diff(x) for x in words]))))
+        y = np.concatenate([p[1] for p in parts])
+        return _shard(int(table.column("shard").to_numpy().min()), _packed(sample, y, np.concatenate([p[2] for p in parts]), [x for p in parts for x in p[3]]), sum(table.column("size").to_pylist()), y)
+
+    return checkpointed(shards.groupBy(F.pmod("shard", F.lit(wanted))).applyInArrow(merge, SHARD_SCHEMA))
+
+
+def _averaged(state: tuple, shards: DataFrame, epochs: list[int], hold: bool, blocks: int) -> tuple:
+    """The model after these epochs in every shard, averaged: filters, weights and bias by the shards' rows, a row of the table over the shards that touched it."""
+    given = shards.sparkSession.sparkContext.broadcast(state)
+    cuts = np.linspace(0, 1 << BUCKET_BITS, blocks + 1).astype(np.int64)
+
+    def run(batches):
+        for number, blob in ((n, x) for b in batches for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            table, dense = given.value[0].copy(), [d.copy() for d in given.value[1]]
+            sample, y, held, _ = _unpacked(blob)
+            if hold:
+                sample, y = sample.some(~held), y[~held]
+            touched = descend(table, dense, sample, y.astype(np.float32), epochs, np.random.default_rng([1, number, epochs[0]]))
+            rows = np.flatnonzero(touched)
+            of = np.searchsorted(rows, cuts)
+            packed = [pack_arrays(rows[a:b].astype(np.uint32), table[rows[a:b]].reshape(-1)) for a, b in zip(of.tolist(), of[1:].tolist())]
+            packed.append(pack_arrays(np.array([len(y)]), np.concatenate([d.reshape(-1) for d in dense])))
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array([number] * (blocks + 1), pa.int64()), pa.array(packed, pa.binary())], ["bin", "chunk", "blob"])
+            give_back()
+
+    def reduce(block: int, numbers: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        # In the shards' order, so that the sums come out alike each time.
+        if block == blocks:
+            total, rows = 0.0, 0
+            for k in np.argsort(numbers):
+                n, values = unpack_arrays(blobs[k])
+                total, rows = total + values.astype(np.float64) * int(n[0]), rows + int(n[0])
+            return back_rows([0], block, [pack_arrays((total / max(rows, 1)).astype(np.float32))])
+        low, high = int(cuts[block]), int(cuts[block + 1])
+        total, count = np.zeros((high - low, WIDTH)), np.zeros(high - low, np.int64)
+        for k in np.argsort(numbers):
+            rows, values = unpack_arrays(blobs[k])
+            total[rows.astype(np.int64) - low] += values.reshape(-1, WIDTH)
+            count[rows.astype(np.int64) - low] += 1
+        own = np.flatnonzero(count)
+        return back_rows([0], block, [pack_arrays((own + low).astype(np.uint32), (total[own] / count[own, None]).astype(np.float32).reshape(-1))])
+
+    parts = {r["bin"]: unpack_arrays(bytes(r["blob"])) for r in reduce_bins(shards.select("shard", "blob").mapInArrow(run, "bin int, chunk long, blob binary"), reduce, BACK_SCHEMA).collect()}
+    given.destroy()
+    table, dense = state[0].copy(), []
+    for k in range(blocks):
+        table[parts[k][0].astype(np.int64)] = parts[k][1].reshape(-1, WIDTH)
+    values, at = parts[blocks][0], 0
+    for d in state[1]:
+        dense.append(values[at : at + d.size].reshape(d.shape).copy())
+        at += d.size
+    return table, dense
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all labelled rows whose remainder is not 0, as shards_of() has them."""
+    shards = shards_of(docs, labels)
+    count, n, toxic = shards.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        # Without rows of both classes, the base rate is the score.
+        return Model(np.zeros((1 << BUCKET_BITS, WIDTH), np.float32), [np.zeros((s, WIDTH, FILTERS), np.float32) for s in SPANS], np.zeros(len(SPANS) * FILTERS, np.float32), toxic / n if n else 0.0, trained=False)
+    hold = n >= 50
+    state, blocks = start(toxic / n, np.random.default_rng(1)), max(BLOCKS, count // SHARDS_PER_BLOCK)
+    for epochs in [list(range(EPOCHS))] if count == 1 else [[k] for k in range(EPOCHS)]:
+        state = _averaged(state, shards, epochs, hold, blocks)
+        free(docs.sparkSession)
+    table, dense = state
+    model = Model(table, dense[: len(SPANS)], dense[-2], float(dense[-1][0]))
+    if hold:
+        scores, y, lang = _held_scores(shards, model)
+        if 0 < y.sum() < len(y):
+            model.threshold = best_threshold(scores, y)
+            for x in sorted(set(lang)):
+                own = lang == x
+                if min((y[own] == k).sum() for k in (0, 1)) >= THRESHOLD_ROWS:
+                    model.thresholds[x] = best_threshold(scores[own], y[own])
     return model
 
 
+def _held_scores(shards: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, label and language of all rows that were kept from training."""
+
+    def run(batches):
+        scorer = model.scorer()
+        for blob in (x for b in batches for x in b.column(1).to_pylist()):
+            sample, y, held, lang = _unpacked(blob)
+            sample = sample.some(held)
+            scores = np.zeros(len(sample))
+            begin = 0
+            while begin < len(sample):
+                end = max(begin + 1, int(np.searchsorted(sample.firsts, sample.firsts[begin] + (SLICE >> 3), "right")) - 1)
+                a, b = sample.firsts[begin], sample.firsts[end]
+                scores[begin:end] = scorer(sample.rows[sample.numbers[a:b]], sample.firsts[begin : end + 1] - a)
+                begin = end
+            yield pa.RecordBatch.from_arrays([pa.array(scores), pa.array(y[held]), pa.array([x for x, k in zip(lang, held.tolist()) if k], pa.string())], ["score", "toxic", "lang"])
+
+    got = shards.select("shard", "blob").mapInArrow(run, "score double, toxic long, lang string").toArrow()
+    return got.column("score").to_numpy(), got.column("toxic").to_numpy(), np.array(got.column("lang").to_pylist(), object)
+
+
 def score(docs: DataFrame, model: Model, keep: list[str], limit: str | None = None) -> DataFrame:
     """The columns `keep` of docs and, last, the score: from 0 to 1 for every row, null and empty texts too.
 

@@ -335,3 +335,41 @@ def brute(ids, x, q, some):
     s = np.where(some, x @ x[q], -np.inf)
     s[q] = -np.inf
     return ids[np.lexsort((ids, -s))[:20]]
+
+
+def test_every_word_of_every_labelled_row_is_learnt_from(spark):
+    """A word that only the places between a long text's evenly spaced stretches have still counts."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    rows = []
+    for k in range(800):
+        words = [r.choice(vocabulary) for _ in range(4200)]
+        if k % 3 == 0:
+            words[64] = "zzzvile"
+        rows.append((k, " ".join(words)))
+    assert b"zzzvile" not in toxicity.shortened(pa.array([rows[0][1]]), 4096)[0]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(800)], "doc_id long, toxic int")
+    held = [x for x in toxicity.classify(docs, marks).collect() if x.held_out]
+    assert sum(x.predicted == int(x.doc_id % 3 == 0) for x in held) >= 0.9 * len(held)
+
+
+def test_toxicity_of_many_shards(spark, monkeypatch):
+    """All labelled rows are in one shard each; what a few shards only have seen is learnt, and the model comes out alike each time."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(k, " ".join([r.choice(vocabulary) for _ in range(40)] + (["zzzvile" + r.choice("abcd")] if k % 4 == 0 else [])), "en") for k in range(3000)] + [(10_000 + k, "x y z", "en") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    marks = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(3000)], "doc_id long, toxic int")
+    wanted = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(3000))
+    models = []
+    for shard, piece in ((200_000, 300_000), (200_000, 30_000)):  # as dealt at first, and merged
+        monkeypatch.setattr(toxicity, "SHARD_BYTES", shard)
+        monkeypatch.setattr(toxicity, "PIECE_BYTES", piece)
+        got = toxicity.shards_of(docs, marks).collect()
+        assert sum(x.n for x in got) == wanted and 2 <= len(got) <= 4 and len({x.shard for x in got}) == len(got)
+        assert sum(len(toxicity._unpacked(bytes(x.blob))[0]) for x in got) == wanted
+        held = [x for x in toxicity.classify(docs, marks).collect() if x.held_out and x.doc_id < 3000]
+        assert sum(x.predicted == int(x.doc_id % 4 == 0) for x in held) >= 0.95 * len(held)
+        models.append(toxicity.fit(docs, marks))
+    again = toxicity.fit(docs.repartition(3), marks)
+    assert (again.table == models[1].table).all() and (again.weights == models[1].weights).all()
