@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .common import Texts, distinct_spans, give_back, id_and_text, ragged
 
 #: The byte-level word pattern of the public vocabulary files.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept with their ids by one worker; when there are more, all are forgotten and encoded anew.
+#: Words kept with their ids by one worker; when there are more, those go that were not met for longest.
 CACHE_WORDS = 250_000
 #: Pairs of tokens known to be compatible or not, likewise.
 COMPATIBLE = 500_000
@@ -283,14 +284,15 @@ class Encoder:
         code, first = distinct_spans(t.bytes, starts, ends)
         raw, cache = t.bytes.tobytes(), self.cache
         words = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
-        found = list(map(cache.get, words))
+        found = list(map(cache.pop, words, repeat(None)))
         new = [k for k, x in enumerate(found) if x is None]
         if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
             order = sorted(new, key=words.__getitem__)
             for k, ids in zip(order, self.fresh([words[k] for k in order])):
-                cache[words[k]] = found[k] = array("i", ids).tobytes()
+                found[k] = array("i", ids).tobytes()
+        cache.update(zip(words, found))  # at its end, so that its first words are those not met for longest
+        for w in list(islice(cache, max(0, len(cache) - CACHE_WORDS))):
+            del cache[w]
         table = np.frombuffer(b"".join(found), np.int32)
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         per_word = size[code]

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import Encoder, in_slices
+from .bpe import Encoder, byte_symbols, in_slices
 from .common import id_and_text
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 END = 1
+#: The least byte that begins a character from U+0500 on.
+LATE = 0xD4
 #: Windows of one training step.
 STEP_WINDOWS = 8
 
@@ -46,15 +48,27 @@ class LibraryEncoder(Encoder):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        of = byte_symbols()
+        self.symbols = np.array([ord(c) for c in sorted(of, key=of.get)], "<u4")
         super().__init__(path)
 
     def _walk(self):
         return self._library_ids
 
     def _library_ids(self, words: list[bytes]) -> list[list[int]]:
-        # Each is one word of the library's own pattern, so it stands for itself.
-        many = self.library.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [x.ids for x in many]
+        # Each is one word of the library's own pattern, so its model may take it, in the
+        # characters that stand for bytes. Which later characters are letters depends on the
+        # version of Unicode, and the library may know another: it cuts those words itself.
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        late = np.maximum.reduceat(raw, ends - size) >= LATE
+        text, split = self.symbols[raw].tobytes().decode("utf-32-le"), self.library.model.tokenize
+        out = [[] if x else [t.id for t in split(text[a:b])] for a, b, x in zip((ends - size).tolist(), ends.tolist(), late.tolist())]
+        rest = np.flatnonzero(late).tolist()
+        for k, x in zip(rest, self.library.encode_batch_fast([words[k].decode("utf-8") for k in rest], add_special_tokens=False)):
+            out[k] = x.ids
+        return out
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}

@@ -223,6 +223,40 @@ def test_words_are_told_apart_by_their_bytes(library):
         assert [ids[a:b].tolist() for a, b in zip(firsts, firsts[1:])] == want
 
 
+@pytest.mark.parametrize("make", [bpe.Encoder, packing.LibraryEncoder])
+def test_words_met_lately_are_not_encoded_again(make, library, monkeypatch):
+    e, asked = make(vocabulary_path()), []
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 60)
+    monkeypatch.setattr(e, "fresh", lambda words, fresh=e.fresh: asked.extend(words) or fresh(words))
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03}")
+    for k in range(12):
+        text = "".join(f" {name(x)}" for x in [*range(20), *range(20 + 10 * k, 30 + 10 * k)])
+        assert e.ids(pa.array([text], pa.large_string()))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(e.cache) <= 60
+    assert len(asked) == len(set(asked)) == 140
+    asked.clear()
+    e.ids(pa.array([f" {name(25)}"], pa.large_string()))
+    assert asked == [f" {name(25)}".encode()]  # not met for longest, so gone
+
+
+def test_only_late_characters_take_the_whole_library(library):
+    e, asked = packing.LibraryEncoder(vocabulary_path()), []
+
+    class Watched:
+        model = library.model
+
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return library.encode_batch_fast(words, **options)
+
+    e.library = Watched()
+    late = [0x500, 0x558, 0x58B, 0x208F, 0x65E5, 0xA7CE, 0x1F642, 0x323B0]  # some of a later Unicode than the library's
+    texts = [f"{x}{chr(c)}{y}" for c in [*range(0x500), *late] for x, y in (("a", "b c"), ("1", "2"), (" ", "a"), ("", "! d"))]
+    ids, firsts = e.ids(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(firsts, firsts[1:])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert asked and all(max(map(ord, w)) >= 0x500 for w in asked)
+
+
 def test_distinct_spans_when_hashes_collide(monkeypatch):
     raw = np.frombuffer(b"one two one three two one", np.uint8)
     starts, ends = np.array([0, 4, 8, 12, 18, 22]), np.array([3, 7, 11, 17, 21, 25])
