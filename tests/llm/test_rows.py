@@ -365,6 +365,32 @@ def test_neighbours_end_to_end_recall(spark, sf):
     assert {(r.query_id, r.vec_id) for r in ann.search(table.where("vec_id < 400"), exact=True).collect()} == {(int(ids[q]), int(v)) for q in np.flatnonzero((ids % 20 == 0) & (ids < 400)) for v in brute(ids, x, q, ids < 400)}
 
 
+def test_neighbours_of_any_rows_are_the_true_ones(spark, monkeypatch):
+    """Near copies that share a code, queries unlike the other rows, a few long vectors; a sample of a tenth and blocks of a few rows: as by brute force."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(3000, 16)))
+    x[1000:2000] = unit(x[7] + 1e-4 * rng.normal(size=(1000, 16)))
+    x[2000:] = unit(x[:10][rng.integers(0, 10, 1000)] + 0.1 * rng.normal(size=(1000, 16)))
+    x[2001:2981:70] *= 50
+    x[2500:2560] = x[2500]
+    x[::40] = unit(rng.normal(size=(75, 16)))
+    ids, fit = np.arange(3000), ann.fit
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "fit", lambda rows: fit(rows, 300))
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 500)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 40)
+    got = collections.defaultdict(list)
+    for r in ann.search(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 3000, 20))
+    for q, found in got.items():
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        top = np.lexsort((ids, -s))[:20]
+        assert found == list(zip(top.tolist(), s[top].tolist()))
+
+
 def brute(ids, x, q, some):
     s = np.where(some, x @ x[q], -np.inf)
     s[q] = -np.inf
