@@ -55,6 +55,12 @@ def _slices(batch: pa.RecordBatch, image: str, limit: int = 8 << 20):
         start = stop
 
 
+def dealt(df: DataFrame, key: str = "_idx") -> DataFrame:
+    """Rows dealt to tasks by a key, before a step that takes far longer than reading: a file of a few MB, or of one row group, is read by one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def stacked(column: pa.Array, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The lists of a column that are there, as one array [n, *shape]; and which are."""
     return np.asarray(column.flatten(), np.float64).reshape(-1, *shape), np.asarray(column.is_valid())

@@ -280,7 +280,7 @@ def _gray_pngs(spark, d) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    from prismframe.operators import kernels
+    from prismframe.operators import kernels, stages
     from prismframe.plans.metadata import meta
 
     def make(batches):
@@ -289,7 +289,7 @@ def _gray_pngs(spark, d) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["_idx", "image"])
 
     rows = meta(spark, d).select("_idx", (1 + F.col("width") % 40).alias("w"), (1 + F.col("height") % 30).alias("h"), (F.col("_idx") * 29 % 256).alias("v"))
-    return rows.mapInArrow(make, "_idx long, image binary")
+    return stages.dealt(rows).mapInArrow(make, "_idx long, image binary")
 
 
 _GRAYS = f"WITH {_SIZES}, g AS (SELECT _idx, 1 + width%40 AS w, 1 + height%30 AS h, v FROM m)"

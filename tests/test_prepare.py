@@ -75,3 +75,11 @@ def test_copies(spark, tmp_path):
     (a / "four").write_bytes(b"4444")
     assert remote.sync(spark, str(a), str(b)) == {"download": {"files": 1, "bytes": 3}, "upload": {"files": 1, "bytes": 4}}
     assert remote.local_name("s3://x/y/") == remote.local_name("s3://x/y/") != remote.local_name("s3://z/y/")
+
+
+@pytest.mark.parametrize("name", ["prepare_images", "images_to_yuv420"])
+def test_images_of_one_small_file_are_dealt_to_tasks(spark, sf, name):
+    from prismframe.plans.pixelplane import QUERIES
+
+    assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() == 1
+    assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= 4
