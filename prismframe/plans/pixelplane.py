@@ -492,6 +492,7 @@ def preset_simclr(spark, d):
 
 
 def _png_rows(spark, d) -> DataFrame:
+    from prismframe.operators.stages import dealt
     from prismframe.plans.metadata import meta
 
     def make(batches):
@@ -504,4 +505,5 @@ def _png_rows(spark, d) -> DataFrame:
             img = [encode_png(np.add.outer(np.arange(h), np.arange(w) * 3)[..., None].repeat(3, 2).astype(np.uint8)) for w, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(img, pa.binary())], [*b.schema.names, "image"])
 
-    return meta(spark, d).select("_idx", (16 + F.col("width") % 16).alias("width"), (16 + F.col("height") % 16).alias("height")).mapInArrow(make, "_idx long, width long, height long, image binary")
+    rows = meta(spark, d).select("_idx", (16 + F.col("width") % 16).alias("width"), (16 + F.col("height") % 16).alias("height"))
+    return dealt(rows).mapInArrow(make, "_idx long, width long, height long, image binary")
