@@ -256,7 +256,7 @@ def decode_jpeg_solid(spark, d):
     import numpy as np
     import pyarrow as pa
 
-    from prismframe.operators import jpeg, kernels
+    from prismframe.operators import jpeg, kernels, stages
     from prismframe.plans.metadata import meta
 
     rows = meta(spark, d).select("_idx", (1 + F.col("width") % 40).alias("w"), (1 + F.col("height") % 30).alias("h"), (F.col("_idx") * 29 % 256).alias("v"))
@@ -272,7 +272,7 @@ def decode_jpeg_solid(spark, d):
             got = [(x.shape[1], x.shape[0], int(x.min()), int(x.max()), int(x.sum(dtype=np.int64))) for x in images]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in zip(*got))], ["_idx", "format", "width", "height", "least", "most", "total"])
 
-    encoded = rows.mapInArrow(make, "_idx long, image binary").withColumn("format", imagebytes.image_format(F.col("image")))
+    encoded = stages.dealt(rows).mapInArrow(make, "_idx long, image binary").withColumn("format", imagebytes.image_format(F.col("image")))
     return encoded.mapInArrow(decode, "_idx long, format string, width long, height long, least long, most long, total long")
 
 

@@ -77,7 +77,7 @@ def test_copies(spark, tmp_path):
     assert remote.local_name("s3://x/y/") == remote.local_name("s3://x/y/") != remote.local_name("s3://z/y/")
 
 
-@pytest.mark.parametrize("name", ["prepare_images", "images_to_yuv420", "preset_simclr", "stage_resize_crop_png"])
+@pytest.mark.parametrize("name", ["prepare_images", "images_to_yuv420", "preset_simclr", "stage_resize_crop_png", "decode_jpeg_solid"])
 def test_images_of_one_small_file_are_dealt_to_tasks(spark, sf, name):
     from prismframe.plans.pixelplane import QUERIES
 
