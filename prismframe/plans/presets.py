@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prismframe.functions import pixels
 from prismframe.functions.rng import between, chosen, uniform
 from prismframe.operators import kernels
-from prismframe.operators.stages import Step, multi_crop, pixel_kernel, random_resized_crop, resize_crop, to_float
+from prismframe.operators.stages import Step, batch_kernel, multi_crop, random_resized_crop, resize_crop, to_float
 
 #: What is added to a base seed for each kind of draw.
 OFFSETS = {"crop": 1234, "flip": 1111, "color": 2222, "gray": 3333, "solar": 4444, "blur": 5555}
@@ -43,7 +43,7 @@ def solarise(column: str, s: str, p: float = 0.2) -> Step:
 def blurred(column: str, size: int, s: str, p: float = 0.5) -> Step:
     """sigma is a column: null where the draw leaves the image alone."""
     draw = F.when(chosen(p, s, "_idx"), between(0.1, 2.0, uniform(s + "/sigma", "_idx")))
-    kernel = pixel_kernel(column, (3, size, size), lambda px, sigma: px if sigma is None else kernels.blur(px, sigma), f"{column}_sigma")
+    kernel = batch_kernel(column, (3, size, size), lambda px, sigmas: kernels.blur_all(px, sigmas.astype(float)), f"{column}_sigma")
     return lambda df: kernel(df.withColumn(f"{column}_sigma", draw))
 
 

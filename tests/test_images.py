@@ -178,3 +178,10 @@ def test_mixing_wants_even_batches_and_known_columns(small):
     assert len(rows) == 40 and all(abs(sum(r.label) - 1) < 1e-9 and 0 <= r._lam <= 1 for r in rows) and {r._cut for r in rows} == {True, False}
     draws = whole.select(mixup.beta(0.5, "b", F.col("_idx")).alias("x")).collect()
     assert all(0 <= r.x <= 1 for r in draws)
+
+
+def test_blur_of_a_batch_is_that_of_its_images():
+    r = np.random.default_rng(4)
+    px, sigmas = r.random((150, 3, 8, 9)), r.uniform(0.1, 2, 150)
+    sigmas[::7] = np.nan
+    assert all((a == (p if np.isnan(s) else kernels.blur(p, s))).all() for a, p, s in zip(kernels.blur_all(px, sigmas), px, sigmas))
